@@ -2,18 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import bpe, langid, lm, recipes, simhash
 from .common import table
 
 
+def _remainder(of: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(of))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(_remainder(3) != 1))
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return langid.predict(docs, net, ["doc_id"]).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), _remainder(7) != 2)
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, words64=1, most_bits=3)
     hexed = F.lower(F.lpad(F.hex("f0"), 16, "0"))
     return found.select(F.col("id").alias("doc_id"), hexed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op6_simhash_neardup": op6_simhash_neardup}
-ORACLES: dict[str, str] = {}
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recipes.classes(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP7_SQL = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents
+), g AS (
+  SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id
+  FROM t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
+"""
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
+
+
+QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op2_lm_scoring": op2_lm_scoring,
+    "op6_simhash_neardup": op6_simhash_neardup,
+    "op7_exact_dedup": op7_exact_dedup,
+    "op8_bpe": op8_bpe,
+}
+ORACLES = {"op7_exact_dedup": OP7_SQL}
