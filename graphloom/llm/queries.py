@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lm, recipes, simhash
+from . import bpe, chat, html, itq, langid, lm, mixing, recipes, simhash, urls
 from .common import table
 
 
@@ -25,6 +25,68 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumnRenamed("id", "doc_id")
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+WITH counts AS (
+  SELECT source, count(*) AS n FROM documents GROUP BY source
+), rates AS (
+  SELECT source, 1.0::DOUBLE / (SELECT count(*) FROM counts) * (SELECT sum(n) FROM counts)::DOUBLE / n AS rate FROM counts
+), means AS (
+  SELECT source, greatest(1, ceil(rate / 500))::INT AS pieces, rate / greatest(1, ceil(rate / 500)) AS mean FROM rates
+), cdf AS (
+  SELECT source, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM means, unnest(range(0, ceil(mean + 12 * sqrt(mean) + 20)::BIGINT + 1)) AS t(k)
+), cdfs AS (
+  SELECT source, list(c) AS cs FROM cdf GROUP BY source
+), u AS (
+  SELECT d.doc_id, d.source, p,
+         ('0x' || substr(md5('17|' || coalesce(d.doc_id::VARCHAR, '') || '|' || p), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT DISTINCT doc_id, source FROM documents) d
+  JOIN means m ON d.source IS NOT DISTINCT FROM m.source, unnest(range(1, m.pieces + 1)) AS t(p)
+), drawn AS (
+  SELECT u.doc_id, u.source, sum(len(list_filter(cs, lambda c: c <= u.u)))::INT AS n_copies
+  FROM u JOIN cdfs ON u.source IS NOT DISTINCT FROM cdfs.source GROUP BY ALL
+)
+SELECT d.*, k::INT AS copy_number, n_copies, md5('17/order|' || coalesce(d.doc_id::VARCHAR, '') || '|' || k) AS mix_key
+FROM documents d JOIN drawn ON d.doc_id IS NOT DISTINCT FROM drawn.doc_id AND d.source IS NOT DISTINCT FROM drawn.source,
+     unnest(range(1, n_copies + 1)) AS t(k)
+"""
+
+#: The rules of the contract: (host, path, verdict).
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    found = urls.judged(table(spark, sf_dir, "pages"), rules)
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = r"""
+WITH rules(rule_host, rule_path, v) AS (
+  VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+         ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), p AS (
+  SELECT row_number() OVER () AS r, page_id,
+         translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), met AS (
+  SELECT r, rule_host || rule_path AS rule, v,
+         row_number() OVER (PARTITION BY r ORDER BY length(rule_host || rule_path) DESC, v DESC) AS nth
+  FROM p JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN met ON p.r = met.r AND nth = 1
+"""
+
+
 def op6_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, words64=1, most_bits=3)
     hexed = F.lower(F.lpad(F.hex("f0"), 16, "0"))
@@ -57,11 +119,27 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], turns.schema)
+    return chat.read_back(chat.formatted(turns.unionByName(more)))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
+    "op3_embedding_neardup": op3_embedding_neardup,
+    "op4_mixing": op4_mixing,
+    "op5_url_filter": op5_url_filter,
     "op6_simhash_neardup": op6_simhash_neardup,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_bpe": op8_bpe,
+    "op9_chat_format": op9_chat_format,
+    "op10_html_extraction": op10_html_extraction,
 }
-ORACLES = {"op7_exact_dedup": OP7_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_exact_dedup": OP7_SQL}

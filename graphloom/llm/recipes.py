@@ -68,7 +68,7 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, id_bits: int = 64) -> D
                     counts.append(len(ends))
                     if len(ends) == 1:
                         parts.append(whole.digest())
-                    else:
+                    elif ends:
                         parts += [hashlib.sha256(data[x:y]).digest() for x, y in zip([begin, *ends[:-1]], ends, strict=True)]
             longs = np.frombuffer(b"".join(parts), ">i8").astype(np.int64).reshape(-1, 4)
             ids = longs[:, 0] & np.int64(-1 if id_bits == 64 else (1 << id_bits) - 1)
