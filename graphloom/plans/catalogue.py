@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import documents, entities, search  # noqa: F401  (they register their queries)
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
