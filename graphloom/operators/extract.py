@@ -77,5 +77,6 @@ def by_dictionary(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """A stand-in for a language model: responses that name the dictionary words (label, key_name, term) a chunk has."""
     words = chunks.select(F.col("id").alias("chunk_id"), "idx", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([\p{L}\d]+)"), 1))).alias("term"))
     hit = words.join(terms, "term")
-    entity = F.struct(F.col("label"), F.create_map("key_name", "term").alias("properties"))
-    return hit.groupBy("chunk_id", "idx").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("term", entity.alias("e")))).getField("e").alias("entities"))).alias("response"))
+    found = F.array_sort(F.collect_list(F.struct("term", "label", "key_name")))
+    entities = F.transform(found, lambda x: F.struct(x["label"].alias("label"), F.create_map(x["key_name"], x["term"]).alias("properties")))
+    return hit.groupBy("chunk_id", "idx").agg(F.to_json(F.struct(entities.alias("entities"))).alias("response"))

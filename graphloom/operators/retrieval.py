@@ -35,7 +35,7 @@ def embedded(rows: DataFrame, embed: Callable[[pd.Series], pd.Series], key: str
                 part = frame.iloc[a : a + batch]
                 for left in range(retries - 1, -1, -1):
                     try:
-                        yield pd.DataFrame({key: part[key], "text_embedding": embed(part["embedding_input"])})
+                        yield pd.DataFrame({key: part[key].tolist(), "text_embedding": list(embed(part["embedding_input"]))})
                         break
                     except (OSError, RuntimeError):
                         if not left:

@@ -25,7 +25,7 @@ def described(rows: DataFrame, describe: Callable[[pd.DataFrame], pd.Series]) ->
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"], "text_description": describe(frame)}).dropna()
+            yield pd.DataFrame({"id": frame["id"].tolist(), "text_description": list(describe(frame))}).dropna()
 
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, text_description string")
 
