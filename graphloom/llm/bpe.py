@@ -195,6 +195,18 @@ class Codec:
         return " ".join(self.vocabulary.name[i] for i in ids)
 
 
+#: The codec of the vocabulary that this Python worker used last, with the words it knows; Spark keeps workers for the next task.
+_LAST: dict[int, Codec] = {}
+
+
+def _codec(data: str) -> Codec:
+    key = hash(data)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Codec(data)
+    return _LAST[key]
+
+
 def encoded(docs: DataFrame, path: str, id_cols: list[str], text_col: str = "text", ids: bool = False) -> DataFrame:
     """(*id_cols, n_tokens, ids_sha256, decoded_sha256) of every whole text, and ``ids`` array<int> if asked for.
 
@@ -207,7 +219,7 @@ def encoded(docs: DataFrame, path: str, id_cols: list[str], text_col: str = "tex
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols) + ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches):
-        codec = Codec(data.value)
+        codec = _codec(data.value)
         for batch in batches:
             texts, n, a, b, lists = batch.column(batch.num_columns - 1), [], [], [], []
             for text in texts:

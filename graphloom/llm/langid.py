@@ -12,7 +12,8 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -20,7 +21,7 @@ from . import kernels as K
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 8
 #: Training takes at most this many labelled documents of each language, those with the smallest hashes, and of each at
 #: most SAMPLE_WINDOWS windows, spread evenly over the whole text.
-SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, SEED = 1500, 3, 6, 20240601
+SAMPLE_DOCS, SAMPLE_WINDOWS, UPDATES, SEED = 1500, 3, 550, 20240601
 #: Languages learned at most; the bound on what training collects is the product of all of these and WINDOW.
 MOST_LANGUAGES = 200
 _PAD = 3  # bytes read past a window by the widest filter
@@ -95,7 +96,7 @@ class Network:
         r, params = np.random.default_rng(SEED), ("embed", "bank", "bias", "out", "out_bias")
         m, v, t = {p: 0.0 for p in params}, {p: 0.0 for p in params}, 0
         weight = (len(y) / np.maximum(np.bincount(y, minlength=len(self.labels)), 1) / len(self.labels)).astype(np.float32)
-        for _ in range(EPOCHS):
+        while t < UPDATES:  # passes over the sample, as many as its size needs
             order = r.permutation(len(y))
             for a in range(0, len(y), 128):
                 i = order[a : a + 128]
@@ -177,15 +178,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     return net
 
 
-def predict(docs: DataFrame, net: Network | None, id_cols: list[str], text_col: str = "text", keep: Column | None = None) -> DataFrame:
+def predict(docs: DataFrame, net: Network | None, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """(*id_cols, lang_pred, score) of every row, from its whole text.
 
     score is the predicted language's mean probability, 0 to 1.  ``und`` with score 0: the text is null or has no letter
     (Unicode), or nothing was learned.  Ties go to the first label in order.  Repeated rows are predicted alike; null
     ids and other columns are carried or left alone.  An empty table gives no rows.
     """
-    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*id_cols, F.when(letter, F.col(text_col)).alias("_text"))
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter")
+    carried = [*id_cols] if text_col in id_cols else [*id_cols, text_col]  # the text goes to Python once
+    at_text = carried.index(text_col)
+    rows = docs.select(*carried, letter)
     model = pickle.dumps(net)
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in id_cols) + ", lang_pred string, score double"
 
@@ -193,7 +196,9 @@ def predict(docs: DataFrame, net: Network | None, id_cols: list[str], text_col:
         net = pickle.loads(model)
         pairs = net.pairs() if net else None
         for batch in batches:
-            texts, n = batch.column(batch.num_columns - 1), batch.num_rows
+            texts, n, letter = batch.column(at_text), batch.num_rows, batch.column(batch.num_columns - 1)
+            if letter.false_count:
+                texts = pc.if_else(letter, texts, None)
             pred, score = np.full(n, "und", object), np.zeros(n)
             if net and n:
                 buf, offsets = K.flat(texts)
@@ -210,6 +215,6 @@ def predict(docs: DataFrame, net: Network | None, id_cols: list[str], text_col:
                 mean = total[full] / total[full].sum(axis=1, keepdims=True)
                 pred[full] = np.array(net.labels, object)[mean.argmax(axis=1)]
                 score[full] = mean.max(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0))], names=[*id_cols, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0))], names=[*id_cols, "lang_pred", "score"])
 
     return rows.mapInArrow(run, schema)
