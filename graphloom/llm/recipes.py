@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,13 +128,13 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of rows that repeat the kept id and text, one stays.  Rows are matched by id and text hash.
     """
-    from pyspark.sql import Window
-
     kept = classes(docs, id_col, text_col).where("kept").select(_id("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    rows = docs.withColumns({"_id": _id(id_col), "_hash": F.xxhash64(text_col)})
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # no name can clash with those added here
+    at = [f"c{docs.columns.index(name)}" for name in (id_col, text_col)]
+    rows = plain.withColumns({"_id": _id(at[0]), "_hash": F.xxhash64(at[1])})
     rows = rows.join(kept.hint("merge"), ["_id", "_hash"], "left_semi")
     nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_id"))
-    return rows.withColumn("_nth", nth).where("_nth = 1").drop("_id", "_hash", "_nth").select(*docs.columns)
+    return rows.withColumn("_nth", nth).where("_nth = 1").select(*plain.columns).toDF(*docs.columns)
 
 
 def _id(name: str):
