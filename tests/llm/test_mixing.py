@@ -19,7 +19,7 @@ def draw(seed, i, mean):
             term *= mean / pieces / k
             c += term
             total += 1
-            if term < 1e-30:
+            if k > mean and term < 1e-30:  # past the mode; before it, the terms of a large mean are smaller still
                 break
     return total
 
