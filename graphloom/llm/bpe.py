@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words whose encodings a task keeps between batches, and token pairs whose adjacency it keeps; then it starts anew.
-MOST_WORDS, MOST_PAIRS = 400_000, 1_000_000
+#: Words whose encodings a worker keeps between batches, and token pairs whose adjacency it keeps; then it starts anew.
+#: Most words beyond these are seen once, so keeping more of them costs memory (about 0.6 KB each) and saves little.
+MOST_WORDS, MOST_PAIRS = 100_000, 200_000
 #: White space as the vocabulary's regular expressions understand it.
 _SPACE = r"\t\n\x0b\f\r\x85\p{Z}"
 
