@@ -7,13 +7,12 @@ these into language probabilities.  A text's probabilities are the mean over its
 
 from __future__ import annotations
 
-import heapq
 import pickle
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -140,30 +139,34 @@ def _bytes_at(buf: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarra
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Network | None:
     """Learns from the rows given with non-null text and language; None if there are none.
 
-    Ties of the sampling hash are broken by the text, so the sample does not depend on the order of rows.
+    The sample is those with the smallest hashes of id and text, repeated rows taken once; ties are broken by the text, so it does not depend on
+    the order of rows.  Languages are counted first, and a hash over what SAMPLE_DOCS rows of a language need (with six
+    standard deviations to spare) is left out in the scan, so no language is one large group however many rows it has.
+    Beyond MOST_LANGUAGES, the languages that sort last are not learned.
     """
     rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0) & F.col(lang_col).isNotNull())
-    rows = rows.select(F.xxhash64(F.lit(SEED), key_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.select(F.xxhash64(F.lit(SEED), key_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    counts = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES).collect()
+    if not counts:
+        return None
+    spare = SAMPLE_DOCS + 6 * SAMPLE_DOCS**0.5
+    cut = {r["lang"]: (1 << 63) - 1 if r["count"] <= spare else int(spare / r["count"] * 2.0**64) - (1 << 63) for r in counts}
+    most = F.create_map(*(x for name, h in cut.items() for x in (F.lit(name), F.lit(h).cast("long"))))
+    rows = rows.where(F.col("h") <= F.try_element_at(most, F.col("lang")))
 
-    def smallest(batches):  # of each task, what could be in the sample; the driver keeps as many again
-        best: dict[str, list] = {}
+    def cut_up(batches):
         for batch in batches:
-            h, lang, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)
-            for i, (x, name) in enumerate(zip(h, lang, strict=True)):
-                heap = best.setdefault(name, [])
-                if len(heap) < SAMPLE_DOCS or -x > heap[0][0]:
-                    data = texts[i].as_py().encode()
-                    at, n, _ = windows(np.array([0, len(data)]), SAMPLE_WINDOWS)
-                    (heapq.heappush if len(heap) < SAMPLE_DOCS else heapq.heapreplace)(heap, (-x, b"".join(data[a : a + m].ljust(WINDOW, b"\0") for a, m in zip(at.tolist(), n.tolist(), strict=True)), n.tolist()))
-        out = [(-x, name, data, n) for name, heap in best.items() for x, data, n in heap]
-        cols = list(zip(*out, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.list_(pa.int64()))], names=["h", "lang", "data", "n"])
-
-    from pyspark.sql import Window
-
-    found = rows.mapInArrow(smallest, "h long, lang string, data binary, n array<bigint>")
+            buf, offsets = K.flat(batch.column(1))
+            data, n = [], []
+            for k in range(batch.num_rows):
+                at, size, _ = windows(offsets[k : k + 2], SAMPLE_WINDOWS)
+                data.append(b"".join(buf[x : x + m].tobytes().ljust(WINDOW, b"\0") for x, m in zip(at.tolist(), size.tolist(), strict=True)))
+                n.append(size.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary()), pa.array(n, pa.list_(pa.int64()))], names=["h", "lang", "data", "n"])
+
+    found = rows.mapInArrow(cut_up, "h long, lang string, data binary, n array<bigint>").dropDuplicates(["lang", "h", "data"])
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "data"))
-    found = found.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS).drop("nth").orderBy("lang", "h", "data").limit(SAMPLE_DOCS * MOST_LANGUAGES)
+    found = found.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS).drop("nth").orderBy("lang", "h", "data")
     sample = found.toArrow().to_pylist()
     if not sample:
         return None
