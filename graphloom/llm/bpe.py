@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words whose encodings a worker keeps between batches, and token pairs whose adjacency it keeps; then it starts anew.
-#: Most words beyond these are seen once, so keeping more of them costs memory (about 0.6 KB each) and saves little.
-MOST_WORDS, MOST_PAIRS = 100_000, 200_000
+#: Words whose encodings a worker gathers between batches (about 0.5 KB each) before it begins a new generation; words of
+#: the generation before that are met again move on to the new one, and the rest are forgotten.
+MOST_WORDS = 120_000
+#: Token pairs whose adjacency a worker keeps before it starts anew.
+MOST_PAIRS = 300_000
 #: White space as the vocabulary's regular expressions understand it.
 _SPACE = r"\t\n\x0b\f\r\x85\p{Z}"
 
@@ -152,7 +154,8 @@ class Codec:
 
     def __init__(self, data: str):
         self.vocabulary = Vocabulary(data)
-        self.words: dict[str, tuple[str, str, int]] = {}
+        self.words: dict[str, tuple[str, str]] = {}
+        self.earlier: dict[str, tuple[str, str]] = {}
         self.library = Tokenizer.from_str(data)
 
     def pieces(self, text: str) -> list[str]:
@@ -176,15 +179,21 @@ class Codec:
         """Encodes those words that are not kept yet."""
         v = self.vocabulary
         if len(self.words) > MOST_WORDS:
-            self.words.clear()
-        new = [w for w in words if w not in self.words]
-        for w in [w for w in new if w[0] == "\0" and w[1:] in v.added]:
-            self.words[w] = (str(v.added[w[1:]]), w[1:], 1)
-        symbols = {w: v.word(w) for w in new if w not in self.words}
+            self.earlier, self.words = self.words, {}
+        new = []
+        for w in words:
+            if w not in self.words:
+                if w in self.earlier:
+                    self.words[w] = self.earlier[w]
+                elif w[0] == "\0" and w[1:] in v.added:
+                    self.words[w] = (str(v.added[w[1:]]), w[1:])
+                else:
+                    new.append(w)
+        symbols = {w: v.word(w) for w in new}
         found = v.encode(list(symbols.values()))
         for w, s in symbols.items():
             ids = found[s]
-            self.words[w] = (" ".join(map(str, ids)), " ".join(v.name[i] for i in ids), len(ids))
+            self.words[w] = (" ".join(map(str, ids)), " ".join([v.name[i] for i in ids]))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces(text)
@@ -232,7 +241,7 @@ def encoded(docs: DataFrame, path: str, id_cols: list[str], text_col: str = "tex
                     codec.learn(set(pieces))
                     rows = [codec.words[w] for w in pieces]
                 spelled = " ".join([r[0] for r in rows])
-                n.append(sum([r[2] for r in rows]))
+                n.append(spelled.count(" ") + 1 if rows else 0)
                 a.append(hashlib.sha256(spelled.encode()).hexdigest())
                 b.append(hashlib.sha256(" ".join([r[1] for r in rows]).encode()).hexdigest())
                 if ids:
