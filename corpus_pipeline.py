@@ -10,13 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, langid, mixing, recipes, simhash
+from graphloom.llm import bpe, langid, mixing, recipes, shingles
 from graphloom.llm.common import table, written
 
 #: Texts whose best language is less probable than this are rejected, as are those without any letter.
 LEAST_SCORE = 0.3
-#: Near-duplicates: five-word shingles, fingerprints of 256 bits.  A word-shingle similarity of 0.8 is a cosine of 0.89 and
-#: an expected difference of 39 bits with a standard deviation of 6; 48 bits find it nearly always.
+#: Near-duplicates: distinct five-word shingles with a similarity of 0.8 (``shingles.LEAST``).  The 256 bits and 48 bits
+#: apart are the former measure of similarity, which tests/llm/test_pipeline.py still compares with; no stage uses them.
 SHINGLE, WORDS64, MOST_BITS = 5, 4, 48
 
 
@@ -35,10 +35,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id.  Rows with a null id stay."""
-    found = simhash.classes(docs, shingle=SHINGLE, words64=WORDS64, most_bits=MOST_BITS)
-    dropped = found.where(F.col("id") != F.col("component")).select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near-duplicates: the smallest id, then text hash.  Rows with a null id stay."""
+    found = shingles.classes(docs, shingle=SHINGLE)
+    dropped = found.where("id <> keep_id or text_hash <> keep_hash").select("id", "text_hash").distinct()
+    plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # no name can clash with those of the classes
+    at = [F.col(f"c{docs.columns.index(name)}") for name in ("doc_id", "text")]
+    same = (at[0] == F.col("id")) & (F.xxhash64(at[1]) == F.col("text_hash"))
+    return plain.join(dropped, same, "left_anti").toDF(*docs.columns)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
