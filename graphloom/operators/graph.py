@@ -76,13 +76,33 @@ def chain(nodes: DataFrame, parent: list[str], order: list[str], key: str = "id"
     return nodes.select(*parent, F.col(key).alias("src"), F.lead(key).over(w).alias("dst")).where("dst is not null")
 
 
-def walk(nodes: DataFrame, edges: DataFrame, depth: int, key: str = "id") -> DataFrame:
-    """(id, head, position) along NEXT edges from each node without an inbound one; ids in cycles are orphans at -1."""
-    heads = linked(nodes, edges, key, "dst", negate=True).select(F.col(key).alias("id"))
-    found = reachable(edges, heads, depth).select("id", F.col("root").alias("head"), F.col("depth").alias("position"))
-    found = found.unionByName(heads.select("id", F.col("id").alias("head"), F.lit(0).alias("position")))
-    orphans = nodes.select(F.col(key).alias("id")).join(found, "id", "left_anti")
-    return found.unionByName(orphans.select("id", F.col("id").alias("head"), F.lit(-1).alias("position")))
+def walk(nodes: DataFrame, edges: DataFrame, depth: int | None = None, key: str = "id") -> DataFrame:
+    """(id, head, position) along NEXT edges from each node without an inbound one; ids in cycles are orphans at -1.
+
+    Chains of any length: each round doubles the hops that a node looks back, so rounds grow with the logarithm of the
+    longest chain.  A node is settled when it sees a head; the walk ends when a round settles no more.  A node that is
+    reached in several ways has a row for each head, with the least position.  Nodes beyond ``depth``, if given, are orphans.
+    """
+    ids = nodes.select(F.col(key).alias("id")).distinct()
+    back = edges.select(F.col("dst").alias("id"), F.col("src").alias("up"))
+    heads = ids.join(back.select("id"), "id", "left_anti")
+    found = heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("position")).localCheckpoint()
+    jumps = back.distinct().withColumn("hops", F.lit(1).cast("long")).localCheckpoint()
+    settled = found.count()
+    while True:
+        # whoever jumps to a settled node is settled; jumps then double
+        ahead = jumps.join(found.withColumnRenamed("id", "up"), "up").select("id", "head", (F.col("hops") + F.col("position")).alias("position"))
+        found = found.unionByName(ahead).groupBy("id", "head").agg(F.min("position").alias("position")).localCheckpoint()
+        count = found.count()
+        if count == settled:
+            break
+        settled = count
+        then = jumps.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("hops").alias("more"))
+        jumps = jumps.join(then, "up").groupBy("id", F.col("top").alias("up")).agg(F.min(F.col("hops") + F.col("more")).alias("hops")).localCheckpoint()
+    if depth is not None:
+        found = found.where(F.col("position") <= depth)
+    out = nodes.select(F.col(key).alias("id")).join(found, "id", "left")
+    return out.select("id", F.coalesce("head", "id").alias("head"), F.coalesce(F.col("position").cast("int"), F.lit(-1)).alias("position"))
 
 
 def numbered(rows: DataFrame, parent: list[str], order: list[str], prefix: Column, infix: str, width: int = 4) -> DataFrame:

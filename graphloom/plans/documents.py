@@ -94,7 +94,7 @@ def next_chain(spark, sf_dir):
 @query("SELECT conv_id * 1000 + turn AS id, conv_id * 1000 AS head, turn AS position FROM conversations")
 def chain_walk(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"))
-    return graph.walk(turns, graph.chain(turns, ["conv_id"], ["turn"]), 8).select("id", "head", F.col("position").cast("long").alias("position"))
+    return graph.walk(turns, graph.chain(turns, ["conv_id"], ["turn"])).select("id", "head", F.col("position").cast("long").alias("position"))
 
 
 _CUT = "turn % 3 <> 1"

@@ -196,3 +196,16 @@ def test_orphans_and_statistics(spark, sf):
     e = elements(spark, sf)
     assert verify.orphans(e, chunk.by_page(e)).count() == 0
     assert graph.repeated_keys(e, "id").count() == 0
+
+
+def test_walk_follows_chains_of_any_length(spark, tmp_path):
+    from graphloom.plans import documents
+
+    rows = [(c, t) for c, n in ((1, 300), (2, 9), (3, 1), (4, 10)) for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, documents.chain_walk(spark, str(tmp_path)).collect()))
+    assert got == sorted((c * 1000 + t, c * 1000, t) for c, t in rows)
+    nodes = spark.createDataFrame([(k,) for k in range(8)], "id long")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 1), (5, 6), (6, 5)], "src long, dst long")
+    got = sorted(map(tuple, graph.walk(nodes, edges).collect()))
+    assert got == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 3, 0), (4, 4, 0), (5, 5, -1), (6, 6, -1), (7, 7, 0)]
