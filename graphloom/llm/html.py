@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped, which leaves one line per block.  Lines of parts that are never article (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts, ...) count as blank, and so do lines outside the article where a page
-marks one, and lines that are mostly links elsewhere.  The lengths of the lines are summed over sliding windows of
-WINDOW lines.  Text begins at a surge point, where the sum rises over the threshold, and goes on to a dive point, where
-it falls to zero; the lines between are kept.
+sidebars, notices, adverts, forms, comments, scripts, ...) count as blank, and so do lines that are mostly links outside
+a marked article.  The lengths of the lines are summed over sliding windows of WINDOW lines.  Text begins at a surge
+point, where the sum rises over the threshold, and goes on to a dive point, where it falls to zero; the lines between are
+kept.  An element that a page marks as article (article, main) is evidence: if no stretch outside such elements is
+longer than the longest of them, its marks are believed, and every stretch inside them is kept, those outside are not.
+Otherwise marked and other stretches are treated alike.
 """
 
 from __future__ import annotations
@@ -55,24 +57,24 @@ def _says_never(name: str, rest: str) -> bool:
 
 
 class _Lines:
-    """Collects (text, never, in article, characters in links) of each block."""
+    """Collects (text, never, number of the outermost article or 0, characters in links) of each block."""
 
     def __init__(self):
-        self.lines: list[tuple[str, bool, bool, int]] = []
+        self.lines: list[tuple[str, bool, int, int]] = []
         self.parts: list[str] = []
         self.linked = 0
 
-    def end(self, never: bool, inside: bool) -> None:
+    def end(self, never: bool, inside: int) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             self.lines.append((text, never, inside, self.linked))
         self.parts, self.linked = [], 0
 
 
-def lines(page: str) -> list[tuple[str, bool, bool, int]]:
+def lines(page: str) -> list[tuple[str, bool, int, int]]:
     out, at = _Lines(), 0
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are never article
-    never = inside = links = 0
+    never = inside = links = article = 0
 
     def pop() -> None:
         nonlocal never, inside, links
@@ -92,7 +94,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if name[0] == "/":
             name = name[1:]
             if name in BLOCKS:
-                out.end(never > 0, inside > 0)
+                out.end(never > 0, article * (inside > 0))
             elif name == "br":
                 out.parts.append(" ")
             if any(x[0] == name for x in stack):
@@ -101,7 +103,7 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
                 pop()
             continue
         if name in BLOCKS:
-            out.end(never > 0, inside > 0)
+            out.end(never > 0, article * (inside > 0))
         elif name == "br":
             out.parts.append(" ")
         while stack and name in ENDS.get(stack[-1][0], ()):
@@ -116,42 +118,54 @@ def lines(page: str) -> list[tuple[str, bool, bool, int]]:
         if name not in VOID and not token["rest"].endswith("/"):
             no = _says_never(name, token["rest"])
             if no and name not in BLOCKS:
-                out.end(never > 0, inside > 0)
+                out.end(never > 0, article * (inside > 0))
             stack.append((name, no))
+            article += name in ("article", "main") and not inside
             never, inside, links = never + no, inside + (name in ("article", "main")), links + (name == "a")
     if at < len(page):
         out.parts.append(html.unescape(page[at:]))
-    out.end(never > 0, inside > 0)
+    out.end(never > 0, article * (inside > 0))
     return out.lines
 
 
 def main_text(page: str) -> str:
     """The lines between surge and dive points, with one line feed between."""
-    found = lines(page)
-    marked = any(inside and not never for _, never, inside, _ in found)
-    text, length = [], []
-    for line, never, inside, linked in found:
-        if never or (not inside if marked else 2 * linked > len(line)):
+    text, length, marks = [], [], []
+    was = 0
+    for line, never, article, linked in lines(page):
+        blank = never or (not article and 2 * linked > len(line))
+        if blank or (article > 0) != (was > 0):
             text += [""] * WINDOW  # blank for a whole window: the sum dives to zero
             length += [0] * WINDOW
-        else:
+            marks += [0] * WINDOW
+        if not blank:
             text.append(line)
             length.append(len(line))
+            marks.append(article)
+            was = article
     length += [0] * WINDOW
     sums = [sum(length[i : i + WINDOW]) for i in range(len(text))]
-    kept, best, i, n = [], None, 0, len(text)
+    pieces, i, n = [], 0, len(text)
     while i < n:
         if not sums[i]:
             i += 1
             continue
         dive = next((k for k in range(i, n) if not sums[k]), n)
-        piece = (max(sums[i:dive]), [x for x in text[i : min(n, dive + WINDOW - 1)] if x])
-        if piece[0] > (0 if marked else SURGE):
-            kept += piece[1]
-        elif best is None or piece[0] > best[0]:
-            best = piece
+        at = [k for k in range(i, min(n, dive + WINDOW - 1)) if text[k]]
+        pieces.append((max(sums[i:dive]), marks[at[0]] > 0, at))
         i = dive
-    return "\n".join(kept or (best[1] if best else []))
+    sizes: dict[int, int] = {}
+    for k in range(n):
+        if marks[k]:
+            sizes[marks[k]] = sizes.get(marks[k], 0) + length[k]
+    outside = max((sum(length[k] for k in at) for _, marked, at in pieces if not marked), default=0)
+    if sizes and outside <= max(sizes.values()):
+        kept = [at for _, marked, at in pieces if marked]
+    else:
+        kept = [at for most, _, at in pieces if most > SURGE]
+        if not kept and pieces:
+            kept = [max(pieces, key=lambda x: x[0])[2]]
+    return "\n".join(text[k] for at in kept for k in at)
 
 
 def extracted(pages: DataFrame, id_cols: list[str], html_col: str = "html") -> DataFrame:

@@ -42,3 +42,13 @@ def test_null_html_and_empty_table(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, "<p>x", "a")], "page_id long, html string, text string")
     assert sorted((str(r.page_id), r.text) for r in html.extracted(df, ["page_id"]).collect()) == [("1", ""), ("1", ""), ("None", "x")]
     assert html.extracted(df.limit(0), ["page_id"]).count() == 0
+
+
+def test_teasers_in_articles_do_not_replace_an_unmarked_story():
+    teaser = '<article><h2>Card</h2><p>A teaser of some words.</p></article>'
+    story = [f"{'word ' * 30}{k}" for k in range(5)]
+    text = html.main_text(page(f"{teaser * 3}<div>{''.join(f'<p>{x}</p>' for x in story)}</div>{teaser * 3}"))
+    assert text.split("\n") == story
+    own = "".join(f"<p>{x}</p>" for x in story)
+    text = html.main_text(page(f"<article>{own}<aside>no</aside><p>end</p></article><div>{'site ' * 30}</div>"))
+    assert text.split("\n") == [*story, "end"]
