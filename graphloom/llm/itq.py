@@ -22,10 +22,8 @@ from .hamming import Forest, by_run, dealt, keyed, pairs
 
 #: The rotation is learned from at most this many vectors (those with the smallest hashes) and this many numbers.
 SAMPLE, SAMPLE_NUMBERS, ROUNDS, SEED = 20_000, 8_000_000, 30, 5
-#: Chance to find a pair at the threshold, by which the number of tables is chosen.
-RECALL = 0.95
-#: Distinct lengths of vectors that are compared, each on its own.
-MOST_LENGTHS = 64
+#: Bits of a segment, and the chance to find a pair at the threshold, by which the number of tables is chosen.
+BITS, RECALL = 16, 0.999
 
 
 def learn(sample: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray]:
@@ -48,14 +46,14 @@ def learn(sample: np.ndarray, rotations: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shape(rows: int, cosine: float) -> tuple[int, int, int]:
-    """Bits of a segment, rotations, and the Hamming distance up to which pairs are compared."""
-    bits = 8 if rows <= 4096 else 16 if rows <= 1 << 24 else 32
+    """Bits of a segment, rotations, and the Hamming distance up to which pairs are compared: the same for any number of
+    rows, so that what is found does not depend on it."""
     flip = math.acos(cosine) / math.pi
-    hit = (1 - flip) ** bits + bits * flip * (1 - flip) ** (bits - 1)
+    hit = (1 - flip) ** BITS + BITS * flip * (1 - flip) ** (BITS - 1)
     tables = math.log(1 - RECALL) / math.log(1 - hit)
-    rotations = max(1, round(tables / (64 // bits)))
+    rotations = max(1, math.ceil(tables / (64 // BITS)))
     total = 64 * rotations
-    return bits, rotations, math.ceil(total * flip + 4 * math.sqrt(total * flip * (1 - flip)))
+    return BITS, rotations, math.ceil(total * flip + 4 * math.sqrt(total * flip * (1 - flip)))
 
 
 def usable(vector: Column) -> Column:
@@ -77,8 +75,8 @@ def near(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector
     good = rows.where(usable(F.col("v")) & F.col("vec_id").isNotNull())
     nodes = written(good.groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vectors")
     found = None
-    for length, n in nodes.groupBy(F.size("v").alias("d")).count().orderBy("d").limit(MOST_LENGTHS + 1).collect():
-        part = _links(nodes.where(F.size("v") == length), length, n, cosine)
+    for length, n in nodes.groupBy(F.size("v").alias("d")).count().where("count > 1").orderBy("d").collect():
+        part = checkpoint(_links(nodes.where(F.size("v") == length), length, n, cosine))
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "id long, links long, other long")

@@ -70,3 +70,34 @@ def test_odd_vectors(spark):
     assert rows(itq.near(df)) == brute(ids, v)
     assert itq.near(df.limit(0)).count() == 0
     assert rows(itq.near(df.where("vec_id < 3"))) == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
+
+
+def test_near_finds_pairs_at_the_threshold_among_more_than_4096_vectors(spark):
+    r = np.random.default_rng(11)
+    a = r.normal(size=(2200, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = r.normal(size=a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = r.uniform(0.9005, 0.92, (len(a), 1))
+    v = np.concatenate([a, c * a + np.sqrt(1 - c * c) * side])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    got = np.zeros(len(v), int)
+    for x in itq.near(df).select("vec_id", "n_links").collect():
+        got[x.vec_id] = x.n_links
+    assert len(v) > 4096 and (got <= want).all() and got.sum() >= 0.995 * want.sum()
+
+
+def test_vectors_of_every_length_are_compared(spark, monkeypatch):
+    seen = []
+
+    def none(nodes, d, n, cosine):
+        seen.append((d, n))
+        return spark.createDataFrame([], "id long, links long, other long")
+
+    monkeypatch.setattr(itq, "_links", none)
+    v = [[1.0] * d for d in range(1, 71)] + [[1.0] * (d - 1) + [2.0] for d in range(2, 71)]
+    df = spark.createDataFrame(list(enumerate(v)), "vec_id long, embedding array<double>")
+    assert itq.near(df).count() == len(v) and seen == [(d, 2) for d in range(2, 71)]
