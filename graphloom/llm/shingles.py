@@ -4,7 +4,7 @@ Candidates are filters only, the sets of shingles decide.  Close copies come fir
 (64-bit SimHash of the distinct shingles, 3 bits) and shared least hashes; what they link need not meet again.  The rest is
 a search that is whole by the pigeonhole principle: two sets with a similarity of p / q share one of their first
 n - ceil(n * p / q) + 1 shingles in any common order (here: those common in a sample last).  Where they first meet, their
-sizes, places and the Hamming distance of 256 parity bits (never more than the sets' difference) prune.
+sizes, places and the Hamming distance of 128 parity bits (never more than the sets' difference) prune.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from .simhash import links
 #: Least similarity that links, as a fraction.
 LEAST = (4, 5)
 #: Least hashes of a set, words of its parity bits, and the bits within which operator 6 looks for close copies.
-HASHES, PARITY, CLOSE_BITS = 4, 4, 3
+HASHES, PARITY, CLOSE_BITS = 4, 2, 3
 #: The order of shingles comes from about so many sets and at most so many shingles; it never decides what is found.
 SAMPLE, COMMON = 20_000, 50_000
 #: Tables of up to so many rows are broadcast (16 to 24 bytes a row); larger ones are joined by a shuffle.
 BROADCAST = 500_000
-#: Shingles in one numpy step.
-STEP = 1 << 18
+#: Shingles, and pairs, in one numpy step.
+STEP = 1 << 17
 
 
 def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -165,18 +165,20 @@ def rest(rows: DataFrame, groups: DataFrame) -> DataFrame:
         col = {x: whole.column(x).to_numpy() for x in whole.column_names}
         n, place, part = col["n"].astype(np.int64), col["place"].astype(np.int64), col["part"]
         bits, out = np.stack([col[f"s{k}"].view(np.uint64) for k in range(PARITY)]), []
-        for i, j in pairs(bounds, np.zeros(len(n), np.int8), col["own"], col["lo"], col["hi"]):
-            ok = part[i] != part[j]
-            i, j = i[ok], j[ok]
-            both = n[i] + n[j]
-            need = -(-both * p // (p + q))
-            apart = both - 2 * need
-            ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (place[i] + place[j] <= apart)
-            i, j, apart = i[ok], j[ok], apart[ok]
-            ok = np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0, dtype=np.int64) <= apart
-            if ok.any():
-                x, y = col["id"][i[ok]], col["id"][j[ok]]
-                out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+        for whole_i, whole_j in pairs(bounds, np.zeros(len(n), np.int8), col["own"], col["lo"], col["hi"]):
+            for at in range(0, len(whole_i), STEP):
+                i, j = whole_i[at : at + STEP], whole_j[at : at + STEP]
+                ok = part[i] != part[j]
+                i, j = i[ok], j[ok]
+                both = n[i] + n[j]
+                need = -(-both * p // (p + q))
+                apart = both - 2 * need
+                ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (place[i] + place[j] <= apart)
+                i, j, apart = i[ok], j[ok], apart[ok]
+                ok = np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0, dtype=np.int64) <= apart
+                if ok.any():
+                    x, y = col["id"][i[ok]], col["id"][j[ok]]
+                    out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
         if out:
             a, b = np.unique(np.concatenate(out, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
