@@ -13,8 +13,11 @@ def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def library(text):
-    t = Tokenizer.from_file(PATH)
+    t = TOKENIZER
     ids = t.encode(text or "", add_special_tokens=False).ids
     return len(ids), sha(" ".join(map(str, ids))), sha(t.decode(ids, skip_special_tokens=False))
 
@@ -44,3 +47,23 @@ def test_odd_rows_and_ids(spark, monkeypatch):
     ids = bpe.encoded(df.where("doc_id = 4"), PATH, ["doc_id"], ids=True).first().ids
     assert sha(" ".join(map(str, ids))) == library(rows[3][1])[1]
     assert bpe.encoded(df.limit(0), PATH, ["doc_id"]).count() == 0
+
+
+def test_random_words_equal_merging_by_rank():
+    """Words of the vocabulary's own parts, encoded together through the trie and one by one by the definition."""
+    v, r = bpe.Vocabulary(open(PATH).read()), random.Random(9)
+    parts = r.sample([t for t in v.id if len(t) < 7], 300)
+    words = {"".join(r.choices(parts, k=r.randint(1, 5))) for _ in range(5000)} | {"a" * n for n in range(1, 200)}
+    found = v.encode(words)
+    assert found.keys() == words and all(found[w] == v.merged(w) for w in words)
+
+
+def test_slices_do_not_change_the_result(monkeypatch):
+    texts = ["one two", "", "three " * 30, "one onetwo twothree"] * 5
+    codec = bpe.Codec(open(PATH).read())
+    want = list(codec.spelled(texts))
+    import pyarrow as pa
+
+    for size in (1, 50):
+        monkeypatch.setattr(bpe, "SLICE", size)
+        assert [x for part in bpe._slices(pa.array([t or None for t in texts])) for x in codec.spelled(part)] == want
