@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from graphloom.llm import hamming, itq
+from graphloom.llm import itq
 
 
 def brute(ids, vectors, cosine=0.9):
@@ -38,29 +38,32 @@ def near_groups(seed, groups, size, noise, d=64, alone=150):
     return [x.tolist() for x in v]
 
 
-@pytest.mark.parametrize("most", [4096, 7])
+@pytest.mark.parametrize("most", [1024, 7])
 def test_tight_groups_and_copies_equal_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(hamming.dealt, "__defaults__", (most,))
+    monkeypatch.setattr(itq, "BLOCK", most)
     v = near_groups(1, 8, 12, 0.15, alone=40) + near_groups(2, 1, 1, 0, alone=1) * 20
     ids = list(range(len(v)))[::-1]
     df = spark.createDataFrame(list(zip(ids, v, ["x"] * len(v))), "vec_id long, embedding array<float>, n_links string")
     assert rows(itq.near(df)) == brute(ids, v)
 
 
-def test_recall_at_the_threshold(spark):
-    """Pairs at a cosine just over 0.9, with the number of tables that a million rows get."""
-    bits, rotations, most = itq.shape(1 << 20, 0.9)
-    r = np.random.default_rng(3)
-    a = r.normal(size=(3000, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    side = r.normal(size=a.shape)
-    side -= (side * a).sum(axis=1, keepdims=True) * a
-    side /= np.linalg.norm(side, axis=1, keepdims=True)
-    b = 0.905 * a + np.sqrt(1 - 0.905**2) * side
-    mean, project = itq.learn(a, rotations)
-    x, y = ((v - mean) @ project >= 0 for v in (a, b))
-    apart = (x != y).reshape(len(a), -1, bits).sum(axis=2)
-    assert ((apart.min(axis=1) <= 1) & (apart.sum(axis=1) <= most)).mean() >= 0.9
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    v = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.99, 0.01, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.01]]
+    ids = [1, 1, 2, 1, 7]
+    df = spark.createDataFrame(list(zip(ids, v)), "vec_id long, embedding array<double>")
+    assert rows(itq.near(df)) == brute(ids, v)
+
+
+def test_shape_keeps_its_chances_at_every_size():
+    import math
+
+    for n in (2, 1 << 20, 1 << 26, 1 << 30):
+        bits, tables, most = itq.shape(n, 0.9)
+        hit = (1 - math.acos(0.9) / math.pi) ** bits
+        assert 1 - (1 - hit) ** tables >= itq.RECALL and n / 2**bits <= itq.STRANGERS and 18 < most < 40
+        at = itq.segments(bits, tables)
+        used = (at[:, None] + np.arange(bits)).reshape(-1)
+        assert len(at) == tables and len(set(used.tolist())) == len(used)
 
 
 def test_odd_vectors(spark):
@@ -72,7 +75,10 @@ def test_odd_vectors(spark):
     assert rows(itq.near(df.where("vec_id < 3"))) == [(0, 0, 0), (1, 0, 1), (2, 0, 2)]
 
 
-def test_near_finds_pairs_at_the_threshold_among_more_than_4096_vectors(spark):
+@pytest.mark.parametrize("least_bits", [16, 26])
+def test_near_finds_pairs_at_the_threshold_among_more_than_4096_vectors(spark, monkeypatch, least_bits):
+    """End to end, at the segments of a million vectors and at those of a billion."""
+    monkeypatch.setattr(itq, "LEAST_BITS", least_bits)
     r = np.random.default_rng(11)
     a = r.normal(size=(2200, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
@@ -95,7 +101,7 @@ def test_vectors_of_every_length_are_compared(spark, monkeypatch):
 
     def none(nodes, d, n, cosine):
         seen.append((d, n))
-        return spark.createDataFrame([], "id long, links long, other long")
+        return spark.createDataFrame([], "node long, links long, other long")
 
     monkeypatch.setattr(itq, "_links", none)
     v = [[1.0] * d for d in range(1, 71)] + [[1.0] * (d - 1) + [2.0] for d in range(2, 71)]
