@@ -5,11 +5,12 @@
 The weights of each bucket are learned by expectation-maximisation on counts of a deleted part of the training text,
 with the estimates taken from the rest.
 
-How it runs.  Documents are dealt into groups by a hash of their id and text.  A group asks for each n-gram once: it
+How it runs.  Documents are dealt into folds and groups by hashes of their id and text; how many groups there are
+follows from the bytes of text and does not change a result.  A group asks for each n-gram once: it
 sends its sorted 64-bit n-gram hashes with its own counts, cut into ranges; whoever holds a range adds up all groups'
 counts and answers each group in the order in which it asked, so answers carry no keys.  A group then scores its
 documents with numpy.  Traffic is one key per distinct n-gram and group, and a frequent n-gram is one key there too.
-N-grams that share a 64-bit hash are counted as one (a chance of n * n / 2 ** 65 for n distinct n-grams).
+N-grams of one kind that share their 63 bits of hash are counted as one (a chance of n * n / 2 ** 64 for n of them).
 """
 
 from __future__ import annotations
@@ -22,10 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import partitions, written
+from .common import in_arrow, partitions, written
 
-#: One group in so many is the deleted part.
+#: A document's hash gives it one of so many folds; the first is the deleted part.  A group has documents of one fold.
 FOLDS = 7
+#: Bytes of text of a group, about: what a worker holds as arrays at a time (some 20 bytes a byte of text).
+GROUP_BYTES = 24 << 20
 #: Context frequencies share a bucket by their binary logarithm.
 BUCKETS = 40
 #: Bins a decade for held-out estimates, and the lowest decade.
@@ -59,11 +62,13 @@ class Grams:
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.ids: list = []
         self.train: list[bool] = []
+        self.held: list = []
         self.counts: list[np.ndarray] = []
 
-    def add(self, ids: pa.Array, texts: pa.Array, train: pa.Array) -> None:
+    def add(self, ids: pa.Array, texts: pa.Array, train: pa.Array, held: pa.Array | None = None) -> None:
         buf, offsets = K.flat(texts)
         self.ids.append(ids)
+        self.held.append(held)
         self.train.append(train.to_numpy(zero_copy_only=False).astype(bool))
         for a, b in K.slices(offsets):
             part = K.LOWER[buf[offsets[a] : offsets[b]]]
@@ -173,7 +178,7 @@ def _joined(batches, need_deleted: bool):
                     deleted.append(_unpack(row["deleted"], row["n"]).astype(np.int64))
             if split < x.num_rows:
                 docs = x.slice(split)
-                grams.add(docs.column("id"), docs.column("text"), docs.column("train"))
+                grams.add(docs.column("id"), docs.column("text"), docs.column("train"), docs.column("held_out"))
         uni, bi, n, train = grams.arrays()
         if not len(n):
             continue
@@ -219,28 +224,33 @@ def learn(bins: np.ndarray, p0: float) -> np.ndarray:
     return shares[:BUCKETS]
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    ``train`` says which rows are learned from (null: not).  Tokens: A-Z lower-cased words without [\\x20\\x09-\\x0D], then one
+    ``train`` says which rows are learned from (null: not); ``held_out`` is carried (null: false), by default what is not
+    learned from.  Tokens: A-Z lower-cased words without [\\x20\\x09-\\x0D], then one
     end.  base_score: add-one unigram log10 probability over the training tokens; score: log10 probability of the
     text under the interpolated bigram model.  Null texts count as empty (one token, the end).  Null ids and repeated
     rows are scored and counted like any others.  Without training rows every count is 0, base_score is 0 and only
     the uniform part of the model is left.  An empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
-    groups = partitions(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("id", "text"), F.lit(groups)).cast("int"))
-    asked = rows.repartitionById(groups, F.col("grp")).sortWithinPartitions("grp").mapInArrow(_ask(groups), _ASKED)
-    answers = asked.repartitionById(groups, F.col("part")).sortWithinPartitions("part", "grp").mapInArrow(_answer, _ANSWERED)
+    named = F.coalesce(~F.coalesce(train, F.lit(False)) if held_out is None else held_out, F.lit(False)).alias("held_out")
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    each = -(-max(partitions(spark), -(-size // GROUP_BYTES)) // FOLDS)
+    groups = FOLDS * each
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), named)
+    fold, nth = (F.pmod(F.xxhash64(F.lit(k), "id", "text"), F.lit(n)) for k, n in enumerate((FOLDS, each)))
+    rows = rows.withColumn("grp", (fold + FOLDS * nth).cast("int"))
+    asked = in_arrow(rows.drop("held_out").repartitionById(groups, F.col("grp")).sortWithinPartitions("grp"), _ask(groups), _ASKED)
+    answers = in_arrow(asked.repartitionById(groups, F.col("part")).sortWithinPartitions("part", "grp"), _answer, _ANSWERED)
     answers = written(answers, "lm-counts")
     types, tokens, gone = (x or 0 for x in answers.where("grp = -1").agg(F.sum("types"), F.sum("tokens"), F.sum("deleted_tokens")).first())
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def together(only: Column) -> DataFrame:
-        a = answers.where("grp >= 0").where(only).select("grp", F.lit(False).alias("is_doc"), "part", "n", "counts", "deleted", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("train"))
-        d = rows.where(only).select("grp", F.lit(True).alias("is_doc"), F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("deleted"), "id", "text", "train")
+        a = answers.where("grp >= 0").where(only).select("grp", F.lit(False).alias("is_doc"), "part", "n", "counts", "deleted", F.lit(None).cast(id_type).alias("id"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("train"), F.lit(False).alias("held_out"))
+        d = rows.where(only).select("grp", F.lit(True).alias("is_doc"), F.lit(0).alias("part"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("deleted"), "id", "text", "train", "held_out")
         return a.unionByName(d).repartitionById(groups, F.col("grp")).sortWithinPartitions("grp", "is_doc", "part")
 
     main, p0 = tokens - gone, 1 / (types + 1)
@@ -255,7 +265,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             log = [np.bincount(at, np.log10(np.where(p > 0, p, 1)), len(names)) for p in (p2, p1)]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(at, minlength=len(names)).astype(float)), *map(pa.array, log)], names=["k", "n", "s2", "s1"])
 
-    bins = together(F.col("grp") % FOLDS == 0).mapInArrow(held_out_bins, "k long, n double, s2 double, s1 double")
+    bins = in_arrow(together(F.col("grp") % FOLDS == 0), held_out_bins, "k long, n double, s2 double, s1 double")
     # At most BUCKETS * (DECADES * BINS + 2) ** 2 rows, whatever the input.
     bins = bins.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("n", "s2", "s1"))).orderBy("k").toPandas()
     k = bins["k"].to_numpy(np.int64)
@@ -268,8 +278,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
             base = np.log10((word + 1) / (tokens + types + 1))
             at = np.cumsum(n) - n
             yield pa.RecordBatch.from_arrays([
-                pa.chunked_array(grams.ids).combine_chunks(), pa.array(~learned), pa.array(n), pa.array(np.add.reduceat((word > 0).astype(np.int64), at)),
+                pa.chunked_array(grams.ids).combine_chunks(), pa.chunked_array(grams.held).combine_chunks(), pa.array(n), pa.array(np.add.reduceat((word > 0).astype(np.int64), at)),
                 pa.array(np.full(len(n), tokens, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(np.log10(p), at)),
             ], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return together(F.lit(True)).mapInArrow(scores, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return in_arrow(together(F.lit(True)), scores, f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
