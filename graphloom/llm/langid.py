@@ -16,27 +16,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import in_arrow
 
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 8, (2, 3, 4), 8
-#: Training takes at most this many labelled documents of each language, those with the smallest hashes, and of each at
-#: most SAMPLE_WINDOWS windows, spread evenly over the whole text.
-SAMPLE_DOCS, SAMPLE_WINDOWS, UPDATES, SEED = 1500, 3, 550, 20240601
-#: Languages learned at most; the bound on what training collects is the product of all of these and WINDOW.
-MOST_LANGUAGES = 200
+#: Training takes this many windows of each language's whole labelled texts at most, those with the smallest hashes, and
+#: this many windows (of WINDOW bytes) in all, in equal parts; and this many updates at least.
+SAMPLE, MOST_SAMPLE, UPDATES, SEED = 4000, 400_000, 550, 20240601
+#: More distinct labels than this are an error: they are no languages.
+MOST_LANGUAGES = 5000
 _PAD = 3  # bytes read past a window by the widest filter
 _STEP = 1024  # windows in one numpy step
 
 
-def windows(offsets: np.ndarray, per_row: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths and rows of the windows that cut every row whole; or of ``per_row`` spread over each."""
+def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and rows of the windows that cut every row whole."""
     size = np.diff(offsets)
     n = -(-size // WINDOW)
     row = np.repeat(np.arange(len(size)), n)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    if per_row is not None:
-        m = n[row]
-        keep = (m <= per_row) | ((nth * per_row) // np.maximum(m, 1) != ((nth - 1) * per_row) // np.maximum(m, 1))
-        row, nth = row[keep], nth[keep]
     at = offsets[row] + nth * WINDOW
     return at, np.minimum(WINDOW, offsets[row + 1] - at), row
 
@@ -139,41 +136,34 @@ def _bytes_at(buf: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarra
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Network | None:
     """Learns from the rows given with non-null text and language; None if there are none.
 
-    The sample is those with the smallest hashes of id and text, repeated rows taken once; ties are broken by the text, so it does not depend on
-    the order of rows.  Languages are counted first, and a hash over what SAMPLE_DOCS rows of a language need (with six
-    standard deviations to spare) is left out in the scan, so no language is one large group however many rows it has.
-    Beyond MOST_LANGUAGES, the languages that sort last are not learned.
+    The sample is of windows of the whole texts: those with the smallest hashes of id, text and place, repeated rows taken
+    once, so it does not depend on the order of rows.  Windows are counted by language first, and a hash over what a
+    language's part of the sample needs (with six standard deviations to spare) is left out in the scan, so no language
+    is one large group however many rows it has.  Raises if there are more than MOST_LANGUAGES labels.
     """
-    rows = docs.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0) & F.col(lang_col).isNotNull())
-    rows = rows.select(F.xxhash64(F.lit(SEED), key_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy("lang").limit(MOST_LANGUAGES).collect()
+    size = F.octet_length(text_col)
+    rows = docs.where(F.col(text_col).isNotNull() & (size > 0) & F.col(lang_col).isNotNull())
+    rows = rows.select(F.xxhash64(F.lit(SEED), key_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.ceil(size / WINDOW).cast("int").alias("n"))
+    counts = rows.groupBy("lang").agg(F.sum("n").alias("count")).limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return None
-    spare = SAMPLE_DOCS + 6 * SAMPLE_DOCS**0.5
-    cut = {r["lang"]: (1 << 63) - 1 if r["count"] <= spare else int(spare / r["count"] * 2.0**64) - (1 << 63) for r in counts}
-    most = F.create_map(*(x for name, h in cut.items() for x in (F.lit(name), F.lit(h).cast("long"))))
-    rows = rows.where(F.col("h") <= F.try_element_at(most, F.col("lang")))
-
-    def cut_up(batches):
-        for batch in batches:
-            buf, offsets = K.flat(batch.column(1))
-            data, n = [], []
-            for k in range(batch.num_rows):
-                at, size, _ = windows(offsets[k : k + 2], SAMPLE_WINDOWS)
-                data.append(b"".join(buf[x : x + m].tobytes().ljust(WINDOW, b"\0") for x, m in zip(at.tolist(), size.tolist(), strict=True)))
-                n.append(size.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(data, pa.binary()), pa.array(n, pa.list_(pa.int64()))], names=["h", "lang", "data", "n"])
-
-    found = rows.mapInArrow(cut_up, "h long, lang string, data binary, n array<bigint>").dropDuplicates(["lang", "h", "data"])
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "data"))
-    found = found.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_DOCS).drop("nth").orderBy("lang", "h", "data")
-    sample = found.toArrow().to_pylist()
-    if not sample:
-        return None
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} distinct languages")
+    most = min(SAMPLE, MOST_SAMPLE // len(counts))
+    spare = most + 6 * most**0.5
+    cut = {r["lang"]: (1 << 63) - 1 if r["count"] <= spare else int(spare / r["count"] * 2.0**64) - (1 << 63) for r in sorted(counts)}
+    limit = F.try_element_at(F.create_map(*(x for name, h in cut.items() for x in (F.lit(name), F.lit(h).cast("long")))), F.col("lang"))
+    found = rows.withColumn("limit", limit).select("lang", "h", "limit", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("w"))
+    found = found.withColumn("by", F.xxhash64("h", "w")).where("by <= limit")
+    found = found.select("lang", "by", "h", "w", F.substring(F.col("text").cast("binary"), F.col("w") * WINDOW + 1, F.lit(WINDOW)).alias("data"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("by", "h", "w"))
+    found = found.distinct().withColumn("nth", nth).where(F.col("nth") <= most).orderBy("lang", "nth")
+    sample = found.select("lang", "data").toArrow().to_pylist()
     labels = sorted({x["lang"] for x in sample})
-    data = np.frombuffer(b"".join(x["data"] for x in sample), np.uint8).reshape(-1, WINDOW)
-    lengths = np.array([m for x in sample for m in x["n"]])
-    y = np.repeat([labels.index(x["lang"]) for x in sample], [len(x["n"]) for x in sample])
+    data = np.frombuffer(b"".join(x["data"].ljust(WINDOW, b"\0") for x in sample), np.uint8).reshape(-1, WINDOW)
+    lengths = np.array([len(x["data"]) for x in sample])
+    number = {name: k for k, name in enumerate(labels)}
+    y = np.array([number[x["lang"]] for x in sample])
     x = np.full((len(data), WINDOW + _PAD), 256, np.int16)
     x[:, :WINDOW] = np.where(np.arange(WINDOW)[None] < lengths[:, None], data, 256)
     net = Network(labels)
@@ -220,4 +210,4 @@ def predict(docs: DataFrame, net: Network | None, id_cols: list[str], text_col:
                 score[full] = mean.max(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(id_cols)], pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0))], names=[*id_cols, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from graphloom.llm import langid, queries
 
@@ -29,7 +30,51 @@ def test_windows_cover_every_byte():
     offsets = np.array([0, 0, 5, 133, 1000])
     at, n, row = langid.windows(offsets)
     assert np.concatenate([np.arange(a, a + m) for a, m in zip(at, n)]).tolist() == list(range(1000))
-    assert np.bincount(langid.windows(offsets, 3)[2], minlength=4).tolist() == [0, 1, 1, 3]
+    assert np.bincount(row, minlength=4).tolist() == [0, 1, 1, 7]
+
+
+def plain(net, text):
+    """Mean probabilities of a text's windows, one multiplication after another."""
+    data, total = text.encode(), np.zeros(len(net.labels))
+    for a in range(0, len(data), langid.WINDOW):
+        window, top = data[a : a + langid.WINDOW], []
+        for f, width in enumerate(net.width):
+            seen = []
+            for i in range(max(1, len(window) - width + 1)):
+                x = [window[i + k] if i + k < len(window) else 256 for k in range(width)]
+                seen.append(sum(float(net.embed[b, e]) * float(net.bank[k * langid.EMBED + e, f]) for k, b in enumerate(x) for e in range(langid.EMBED)))
+            top.append(max(0.0, max(seen) + float(net.bias[f])))
+        z = np.array([sum(t * float(net.out[f, c]) for f, t in enumerate(top)) + float(net.out_bias[c]) for c in range(len(net.labels))])
+        p = np.exp(z - z.max())
+        total += len(window) * p / p.sum()
+    return total / len(data)
+
+
+def test_prediction_equals_a_plain_network(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    net = langid.fit(docs)
+    texts = [r.text[:n] for r, n in zip(docs.where("length(text) > 700").orderBy("doc_id").limit(8).collect(), (3, 40, 127, 128, 129, 200, 300, 700))]
+    got = langid.predict(spark.createDataFrame(list(enumerate([*texts, "é", "ß!"])), "doc_id long, text string"), net, ["doc_id"])
+    for r, text in zip(sorted(got.collect()), [*texts, "é", "ß!"]):
+        want = plain(net, text)
+        assert abs(r.score - want.max()) < 1e-4 and r.lang_pred == net.labels[int(want.argmax())]
+
+
+def test_every_language_is_learned_and_the_sample_covers_whole_texts(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid.Network, "train", lambda self, x, lengths, y: seen.update(labels=self.labels, x=x, lengths=lengths, y=y))
+    rows = [(i, f"text {i} " * 3, f"l{i:03}") for i in range(201)] + [(900, "a" * 12_800 + "b" * 12_799, "long"), (900, "a" * 12_800 + "b" * 12_799, "long")]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen["labels"]) == 202 and sorted(set(seen["y"].tolist())) == list(range(202))
+    mine = seen["x"][seen["y"] == seen["labels"].index("long")]
+    assert len(mine) == 200 and (mine[:, 0] == ord("a")).sum() == 100 and sorted(seen["lengths"])[-1] == 128
+    monkeypatch.setattr(langid, "SAMPLE", 50)
+    langid.fit(spark.createDataFrame(rows[:-1], "doc_id long, text string, lang string"))
+    mine = seen["x"][seen["y"] == seen["labels"].index("long")]
+    assert len(mine) == 50 and 10 < (mine[:, 0] == ord("a")).sum() < 40
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 100)
+    with pytest.raises(ValueError):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
 
 
 def test_gradients_are_those_of_the_loss():
