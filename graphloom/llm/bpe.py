@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import in_arrow
+
 #: Words whose encodings a worker keeps between slices (about 0.4 KB each) before it begins a new generation; words of
 #: the generation before that are met again move on to the new one, and the rest are forgotten.
 MOST_WORDS = 60_000
@@ -307,4 +309,4 @@ def encoded(docs: DataFrame, path: str, id_cols: list[str], text_col: str = "tex
                 columns, names = [*columns, pa.array(lists, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(*id_cols, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return in_arrow(docs.select(*id_cols, F.col(text_col).alias("_text")), run, schema)

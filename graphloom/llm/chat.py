@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 Turn = tuple[str, str]
 
 
@@ -120,7 +122,7 @@ def formatted(turns: DataFrame, template=None, conv_col: str = "conv_id", turn_c
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string()), pa.array(spans, kind), pa.array(changed, pa.bool_())], names=["conv_id", "formatted", "spans", "rewrites_history"])
 
     conv = turns.schema[conv_col].dataType.simpleString()
-    return grouped.mapInArrow(run, f"conv_id {conv}, formatted string, spans {_SPANS}, rewrites_history boolean")
+    return in_arrow(grouped, run, f"conv_id {conv}, formatted string, spans {_SPANS}, rewrites_history boolean")
 
 
 def read_back(chats: DataFrame, template=None, loss_role: str = "assistant") -> DataFrame:
@@ -146,4 +148,4 @@ def read_back(chats: DataFrame, template=None, loss_role: str = "assistant") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True)), batch.column(3)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history"])
 
     conv = chats.schema["conv_id"].dataType.simpleString()
-    return chats.mapInArrow(run, f"conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean")
+    return in_arrow(chats, run, f"conv_id {conv}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean")

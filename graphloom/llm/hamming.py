@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, partitions
+from .common import checkpoint, in_arrow, partitions
 
 #: Rows of one key in a block.
 BLOCK = 4096
@@ -83,7 +83,7 @@ def by_run(rows: DataFrame, work: Callable[[pa.Table, np.ndarray], Iterator[pa.R
             whole = pa.Table.from_batches(held)
             yield from work(whole, _bounds(whole))
 
-    return sorted_rows.mapInArrow(run, schema)
+    return in_arrow(sorted_rows, run, schema)
 
 
 def _columns(batch) -> list[np.ndarray]:

@@ -17,6 +17,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_arrow
+
 #: Lines in a window, and the characters over which a window's sum is a surge where the page marks no article.
 WINDOW, SURGE = 3, 86
 
@@ -181,4 +183,4 @@ def extracted(pages: DataFrame, id_cols: list[str], html_col: str = "html") -> D
             text = [main_text(page.as_py() or "") for page in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*id_cols, "text", "n_chars"])
 
-    return pages.select(*id_cols, html_col).mapInArrow(run, schema)
+    return in_arrow(pages.select(*id_cols, html_col), run, schema)

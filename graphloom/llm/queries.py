@@ -21,7 +21,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(table(spark, sf_dir, "documents"), _remainder(7) != 2)
+    scored = lm.score(table(spark, sf_dir, "documents"), _remainder(7) != 2, held_out=_remainder(7) == 2)
     return scored.withColumnRenamed("id", "doc_id")
 
 

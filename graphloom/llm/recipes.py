@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import written
+from .common import in_arrow, written
 
 #: Bytes of a chunk, least and most; a cut is expected every 2 ** CUT_BITS bytes after the least.
 LEAST, MOST, CUT_BITS, WINDOW = 2048, 16384, 11, 32
@@ -79,7 +79,7 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, id_bits: int = 64) -> D
                 pa.ListArray.from_arrays(pa.array(first), pa.array(ids)), pa.ListArray.from_arrays(pa.array(3 * first), pa.array(proof)),
             ], names=schema.names)
 
-    return docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col).mapInArrow(run, schema)
+    return in_arrow(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), run, schema)
 
 
 def _per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:

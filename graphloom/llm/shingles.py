@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import checkpoint, written
+from .common import checkpoint, in_arrow, written
 from .components import components
 from .hamming import by_run, dealt, pairs
 from .simhash import links
@@ -86,7 +86,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[shown[row]].view(np.int64)), mask=pa.array(~shown))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x.view(np.int64)) for x in cols), lists], names=schema.names)
 
-    return docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col).mapInArrow(run, schema)
+    return in_arrow(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), run, schema)
 
 
 def verified(found: DataFrame, rows: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame
                 copied = [batch.column(k).to_numpy()[a:b][row] for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(x[by][keep]), pa.array(place[keep].astype(np.int32)), *map(pa.array, copied)], names=["key", "place", "id", "n", "part", *names])
 
-    return rows.select("node", F.col("n").cast("int"), "part", *names, "shingles").mapInArrow(run, "key long, place int, id long, n int, part long, " + ", ".join(f"{x} long" for x in names))
+    return in_arrow(rows.select("node", F.col("n").cast("int"), "part", *names, "shingles"), run, "key long, place int, id long, n int, part long, " + ", ".join(f"{x} long" for x in names))
 
 
 def rest(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import checkpoint
+from .common import checkpoint, in_arrow
 from .components import components
 from .hamming import Forest, by_run, dealt, keyed, pairs
 
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3,
                     out[k, a:b] = K.pack_bits(2 * bits > count[:, None])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x.view(np.int64)) for x in out)], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return in_arrow(docs.select(id_col, text_col), run, schema)
 
 
 def links(prints: DataFrame, words64: int, most_bits: int) -> DataFrame:
