@@ -21,13 +21,14 @@ from .common import checkpoint, in_arrow, partitions
 BLOCK = 4096
 #: Pairs looked at in one numpy step.
 STEP = 1 << 20
+#: Heavy keys are looked for among the rows of one id in so many; they decide how work is dealt, not what is found.
+SAMPLED = 16
 #: A table of heavy keys up to this many rows is broadcast (16 bytes a row); beyond it, it is joined by a shuffle.
 HEAVY_BROADCAST = 100_000
 
 
-def keyed(segment: Column, table: int | Column, bits: int, number: int) -> Column:
+def keyed(segment: Column, salt: Column, bits: int, number: int) -> Column:
     """array<struct<segment, key, role>> of segment ``number``: its own key and the keys with one zero bit set."""
-    salt = F.lit(table).cast("long") if isinstance(table, int) else table
 
     def row(x: Column, role: int) -> Column:
         return F.struct(F.lit(number).cast("byte").alias("segment"), F.xxhash64(salt, x).alias("key"), F.lit(role).cast("byte").alias("role"))
@@ -37,19 +38,24 @@ def keyed(segment: Column, table: int | Column, bits: int, number: int) -> Colum
     return F.concat(F.array(row(segment, 0)), F.filter(F.array(*others), lambda x: x.isNotNull()))
 
 
-def dealt(rows: DataFrame, most: int = BLOCK) -> DataFrame:
-    """Rows with ``key`` -> the same with (own, lo, hi): the row's block and the pair of blocks it is copied to.
+def dealt(rows: DataFrame, most: int | None = None, some: DataFrame | None = None) -> DataFrame:
+    """Rows with ``key`` and ``id`` -> the same with (own, lo, hi): the row's block and the pair of blocks it is copied to.
 
-    Keys of at most ``most`` rows have the one block pair (0, 0).  The row's block comes from ``id``.
+    Keys of at most about ``most`` rows have the one block pair (0, 0).  The row's block comes from ``id``.  Keys are
+    counted over the rows of one id in SAMPLED, or over ``some`` that hold as large a part.
     """
-    heavy = checkpoint(rows.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("blocks")))
+    most = most or BLOCK
+    if some is None:
+        some = rows.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLED)) == 0)
+    many = F.col("count") * SAMPLED
+    heavy = checkpoint(some.groupBy("key").count().where(many > most).select("key", F.ceil(many / most).cast("int").alias("blocks")))
     n = heavy.count()
     if n == 0:
         zero = F.lit(0).cast("int")
         return rows.withColumns({"own": zero, "lo": zero, "hi": zero})
     rows = rows.join(F.broadcast(heavy) if n <= HEAVY_BROADCAST else heavy, "key", "left")
     blocks = F.coalesce("blocks", F.lit(1))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(F.lit(1), "id"), blocks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return rows.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("blocks", "other")
 

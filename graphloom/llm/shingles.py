@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from . import kernels as K
 from .common import checkpoint, in_arrow, written
 from .components import components
-from .hamming import by_run, dealt, pairs
+from .hamming import SAMPLED, by_run, dealt, pairs
 from .simhash import links
 
 #: Least similarity that links, as a fraction.
@@ -33,67 +33,87 @@ BROADCAST = 500_000
 STEP = 1 << 17
 
 
+def _sets(column: pa.Array, shingle: int):
+    """For each slice of texts: its rows, all distinct shingles' hashes, their row, how many each row has and where they
+    begin, and the number that stands for each row's set."""
+    buf, offsets = K.flat(column)
+    for a, b in K.slices(offsets):
+        part = K.LOWER[buf[offsets[a] : offsets[b]]]
+        starts, ends, first = K.tokens(part, offsets[a : b + 1] - offsets[a])
+        words, at, to = K.squeeze(part, starts, ends)
+        many = np.diff(first)
+        count = np.where(many >= shingle, many - shingle + 1, np.minimum(many, 1))
+        row_at = np.concatenate([[0], np.cumsum(count)])
+        row = np.repeat(np.arange(b - a), count)
+        begin = np.arange(row_at[-1]) - row_at[row] + first[row]
+        last = np.minimum(begin + shingle, first[row + 1]) - 1
+        h = K.xxh64(words, at[begin], to[last], 42)
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        h, row = h[new], row[new]
+        n = np.bincount(row, minlength=b - a)
+        row_at = np.concatenate([[0], np.cumsum(n)])
+        with np.errstate(over="ignore"):
+            node = K.mix(_per_row(np.add, K.mix(h, 21), row_at) ^ K.mix(n.astype(np.uint64), 22))
+        yield a, b, h, row, n, row_at, node
+
+
+def _per_row(f: np.ufunc, x: np.ndarray, row_at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(row_at) - 1, np.uint64)
+    full = np.flatnonzero(np.diff(row_at))
+    if len(full):
+        out[full] = f.reduceat(x, row_at[:-1][full])
+    return out
+
+
+def _first(node: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Rows whose set is not empty and did not come before in the slice."""
+    out = np.zeros(len(node), bool)
+    out[np.unique(node, return_index=True)[1]] = True
+    return out & (n > 0)
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, text_hash, node, n, f0, m0.., s0.., shingles) of every row: ``node`` stands for the set of shingles.
+    """(id, text_hash, node, n, f0, m0..) of every row: ``node`` stands for the set of its n shingles.
 
-    Words and shingles are those of ``simhash.fingerprints``, each counted once.  ``shingles`` is null where the set is
-    empty or came before in the batch.
+    Words and shingles are those of ``simhash.fingerprints``, each counted once.  f0: SimHash, m: least hashes.
     """
-    names = [f"m{k}" for k in range(HASHES)] + [f"s{k}" for k in range(PARITY)]
-    longs = ["text_hash", "node", "n", "f0", *names]
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in longs), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    longs = ["text_hash", "node", "n", "f0", *(f"m{k}" for k in range(HASHES))]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in longs)])
 
     def run(batches):
         for batch in batches:
-            buf, offsets = K.flat(batch.column(2))
-            for a, b in K.slices(offsets):
-                part = K.LOWER[buf[offsets[a] : offsets[b]]]
-                starts, ends, first = K.tokens(part, offsets[a : b + 1] - offsets[a])
-                words, at, to = K.squeeze(part, starts, ends)
-                many = np.diff(first)
-                count = np.where(many >= shingle, many - shingle + 1, np.minimum(many, 1))
-                row_at = np.concatenate([[0], np.cumsum(count)])
-                row = np.repeat(np.arange(b - a), count)
-                begin = np.arange(row_at[-1]) - row_at[row] + first[row]
-                last = np.minimum(begin + shingle, first[row + 1]) - 1
-                h = K.xxh64(words, at[begin], to[last], 42)
-                order = np.lexsort((h, row))
-                h, row = h[order], row[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-                h, row = h[new], row[new]
-                n = np.bincount(row, minlength=b - a)
-                row_at = np.concatenate([[0], np.cumsum(n)])
-                full = np.flatnonzero(n)
-
-                def per_row(f, x, full=full, row_at=row_at, size=b - a):
-                    out = np.zeros(size, np.uint64)
-                    if len(full):
-                        out[full] = f.reduceat(x, row_at[:-1][full])
-                    return out
-
-                with np.errstate(over="ignore"):
-                    node = K.mix(per_row(np.add, K.mix(h, 21)) ^ K.mix(n.astype(np.uint64), 22))
-                place = K.mix(h, 23)
-                bit, word = np.uint64(1) << (place & np.uint64(63)), (place >> np.uint64(6)) % np.uint64(PARITY)
+            for a, b, h, _, n, row_at, node in _sets(batch.column(2), shingle):
                 cols = [node, n.astype(np.uint64), K.pack_bits(2 * K.bit_counts(h, row_at) > n[:, None])]
-                cols += [per_row(np.minimum, K.mix(h, 31 + k)) for k in range(HASHES)]
-                cols += [per_row(np.bitwise_xor, np.where(word == np.uint64(k), bit, np.uint64(0))) for k in range(PARITY)]
-                shown = np.zeros(b - a, bool)
-                shown[np.unique(node, return_index=True)[1]] = True
-                shown &= n > 0
-                size = np.where(shown, n, 0)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[shown[row]].view(np.int64)), mask=pa.array(~shown))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x.view(np.int64)) for x in cols), lists], names=schema.names)
+                cols += [_per_row(np.minimum, K.mix(h, 31 + k), row_at) for k in range(HASHES)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x.view(np.int64)) for x in cols)], names=schema.names)
 
     return in_arrow(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), run, schema)
 
 
-def verified(found: DataFrame, rows: DataFrame) -> DataFrame:
+def lists(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, shingles) of the sets that are not empty; a set may come more than once.  Worked out from the texts wherever
+    it is needed: kept as a table, eight bytes a word would be twice the input."""
+
+    def run(batches):
+        for batch in batches:
+            for _, _, h, row, n, _, node in _sets(batch.column(0), shingle):
+                shown = _first(node, n)
+                ends = np.concatenate([[0], np.cumsum(n[shown])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(node[shown].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[shown[row]].view(np.int64)))], names=["node", "shingles"])
+
+    return in_arrow(docs.select(text_col), run, "node long, shingles array<bigint>")
+
+
+def verified(found: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """Those of the candidates (a, b), distinct nodes, whose sets are similar enough; few rows may be joined twice."""
     found = checkpoint(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    some = rows.where("shingles is not null").select("node", "shingles")
+    one = rows.join(_small(ends.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("h"))
+    texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    some = lists(texts.join(_small(checkpoint(one.select("h").distinct())), "h", "left_semi"), "text", shingle)
     both = some.join(_small(ends), "node").groupBy("a", "b").agg(*(F.max(F.when(F.col("node") == F.col(x), F.col("shingles"))).alias(f"set_{x}") for x in "ab"))
     p, q = LEAST
     return checkpoint(both.where((p + q) * F.size(F.array_intersect("set_a", "set_b")) >= p * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
@@ -105,7 +125,7 @@ def _small(rows: DataFrame) -> DataFrame:
 
 def close(rows: DataFrame) -> DataFrame:
     """Candidates (a, b) among close copies: near SimHashes, equal ones, and equal least hashes, each with the first."""
-    nodes = rows.where("shingles is not null")
+    nodes = rows.where("n > 0")
     prints = nodes.groupBy("f0").agg(F.min("node").alias("id"))
     out = links(checkpoint(prints.select("id", "f0")), 1, CLOSE_BITS)
     keys = F.explode(F.array("f0", *(F.xxhash64(F.lit(k), f"m{k}") for k in range(HASHES)))).alias("key")
@@ -114,47 +134,47 @@ def close(rows: DataFrame) -> DataFrame:
     return out.unionByName(keyed.join(first, "key").select(F.col("node").alias("a"), "b"))
 
 
-def common(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common(docs: DataFrame, text_col: str, shingle: int, every: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of more than a few sets of a sample, sorted, and their counts."""
-    nodes = rows.where("shingles is not null")
-    every = max(1, nodes.count() // SAMPLE)
-    some = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select(F.explode("shingles").alias("x"))
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).select(F.col(text_col).alias("text"))
+    some = lists(some, "text", shingle).select(F.explode("shingles").alias("x"))
     some = some.groupBy("x").count().where("count > 3").orderBy(F.desc("count"), "x").limit(COMMON).orderBy("x").toArrow()
     return some["x"].to_numpy(), some["count"].to_numpy()
 
 
-def prefixes(rows: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(key, id, n, place, part, s0..) of the first shingles of each set; ``id`` is the node."""
+def prefixes(docs: DataFrame, text_col: str, shingle: int, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(key, place, id, n, s0..) of the first shingles of each set; ``id`` is the node."""
     names = [f"s{k}" for k in range(PARITY)]
     p, q = LEAST
+    order = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
-        often, counts = order
+        often, counts = order.value
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            h, offsets = column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64)
-            offsets = offsets - offsets[0]
-            for a, b in K.slices(offsets, STEP):
-                x, n = h[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1])
-                row, rank = np.repeat(np.arange(b - a), n), np.zeros(len(x), np.int64)
+            for a, b, h, row, n, row_at, node in _sets(batch.column(0), shingle):
+                rank = np.zeros(len(h), np.int64)
                 if len(often):
-                    k = np.minimum(np.searchsorted(often, x), len(often) - 1)
+                    k = np.minimum(np.searchsorted(often, x := h.view(np.int64)), len(often) - 1)
                     rank = np.where(often[k] == x, counts[k], 0)
-                by = np.lexsort((x, rank, row))
-                place = np.arange(len(x)) - np.repeat(offsets[a:b] - offsets[a], n)
-                keep = place < (n - -(-n * p // q) + 1)[row]
-                row = row[keep]
-                copied = [batch.column(k).to_numpy()[a:b][row] for k in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(x[by][keep]), pa.array(place[keep].astype(np.int32)), *map(pa.array, copied)], names=["key", "place", "id", "n", "part", *names])
+                by = np.lexsort((h, rank, row))
+                place = np.arange(len(h)) - np.repeat(row_at[:-1], n)
+                keep = (place < (n - -(-n * p // q) + 1)[row]) & _first(node, n)[row]
+                at = K.mix(h, 23)
+                bit, word = np.uint64(1) << (at & np.uint64(63)), (at >> np.uint64(6)) % np.uint64(PARITY)
+                bits = [_per_row(np.bitwise_xor, np.where(word == np.uint64(k), bit, np.uint64(0)), row_at) for k in range(PARITY)]
+                mine = row[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(h[by][keep].view(np.int64)), pa.array(place[keep].astype(np.int32)), pa.array(node[mine].view(np.int64)), pa.array(n[mine].astype(np.int32)), *(pa.array(x[mine].view(np.int64)) for x in bits)], names=["key", "place", "id", "n", *names])
 
-    return in_arrow(rows.select("node", F.col("n").cast("int"), "part", *names, "shingles"), run, "key long, place int, id long, n int, part long, " + ", ".join(f"{x} long" for x in names))
+    return in_arrow(docs.select(text_col), run, "key long, place int, id long, n int, " + ", ".join(f"{x} long" for x in names))
 
 
-def rest(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def rest(rows: DataFrame, groups: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """Candidates (a, b) of all that may be similar enough, but for those already in one of ``groups``."""
-    order = common(rows)
-    known = _small(groups.select("node", F.col("component").alias("part")))
-    nodes = rows.where("shingles is not null").join(known, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    order = common(docs, text_col, shingle, max(1, rows.where("n > 0").count() // SAMPLE))
+    known = _small(groups.select(F.col("node").alias("id"), F.col("component").alias("part")))
+    first = prefixes(docs, text_col, shingle, order).join(known, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0)
+    some = prefixes(some, text_col, shingle, order)
     p, q = LEAST
 
     def work(whole: pa.Table, bounds: np.ndarray):
@@ -183,7 +203,7 @@ def rest(rows: DataFrame, groups: DataFrame) -> DataFrame:
             a, b = np.unique(np.concatenate(out, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return by_run(dealt(prefixes(nodes, order)), work, "a long, b long")
+    return by_run(dealt(first, some=some), work, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
@@ -194,8 +214,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     of null ids only has a null keep_id.  Repeated rows stay repeated.  An empty table gives no rows.
     """
     rows = written(sets(docs, id_col, text_col, shingle), "shingles")
-    first = verified(close(rows), rows)
-    second = verified(rest(rows, checkpoint(components(first))), rows)
+    first = verified(close(rows), rows, docs, text_col, shingle)
+    second = verified(rest(rows, checkpoint(components(first)), docs, text_col, shingle), rows, docs, text_col, shingle)
     groups = components(first.unionByName(second))
     named = rows.select("id", "text_hash", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))).alias("best")

@@ -5,9 +5,6 @@ segment on, every chain of 1, 2, ... m consecutive segments differs in at most (
 of that chain are the index: with t < m the first segment is equal and the second differs in at most one bit, so the
 key is an exact segment with its successor within one bit (32 bits of key for 64-bit fingerprints and t = 3).  The
 longer chains prune candidates before the full Hamming check.
-
-Where t >= m the guarantee would ask for keys within t / m bits.  There the key is a segment within one bit, which is a
-multi-index search whose recall rises with the number of segments (see the README); the Hamming check stays exact.
 """
 
 from __future__ import annotations
@@ -58,16 +55,15 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3,
 
 
 def links(prints: DataFrame, words64: int, most_bits: int) -> DataFrame:
-    """Distinct fingerprints (id, f0, ...) -> links (a, b) that span the graph of all pairs within ``most_bits``."""
+    """Distinct fingerprints (id, f0, ...) -> links (a, b) that span the graph of all pairs within ``most_bits``
+    (fewer than there are segments)."""
     words = [f"f{k}" for k in range(words64)]
     per = 64 // SEGMENT
     m = words64 * per
     seg = [F.shiftrightunsigned(words[k // per], SEGMENT * (k % per)).bitwiseAND(F.lit((1 << SEGMENT) - 1).cast("long")) for k in range(m)]
-    ring = most_bits < m
-    keys = []
-    for k in range(m):
-        salt = F.xxhash64(F.lit(k), seg[k]) if ring else k
-        keys.append(keyed(seg[(k + 1) % m] if ring else seg[k], salt, SEGMENT, k))
+    if most_bits >= m:
+        raise ValueError(f"{most_bits} bits apart need more than {m} segments")
+    keys = [keyed(seg[(k + 1) % m], F.xxhash64(F.lit(k), seg[k]), SEGMENT, k) for k in range(m)]
     rows = prints.select("id", *words, F.explode(F.concat(*keys)).alias("x")).select("x.key", "x.role", "x.segment", "id", *words)
 
     def work(whole: pa.Table, bounds: np.ndarray):
@@ -81,14 +77,14 @@ def links(prints: DataFrame, words64: int, most_bits: int) -> DataFrame:
         forest, out = Forest(col["id"]), []
         for i, j in pairs(bounds, col["role"], col["own"], col["lo"], col["hi"]):
             differ = codes[:, i] ^ codes[:, j]
-            if ring:  # the chain from this segment on, length by length
-                good, total = np.ones(len(i), bool), np.zeros(len(i), np.int64)
-                for step in range(1, m):
-                    k = (col["segment"][i].astype(np.int64) + step - 1) % m
-                    word = differ[k // per, np.arange(len(i))] >> (SEGMENT * (k % per)).astype(np.uint64)
-                    total += np.bitwise_count(word & np.uint64((1 << SEGMENT) - 1))
-                    good &= total * m <= step * most_bits
-                i, j, differ = i[good], j[good], differ[:, good]
+            # the chain from this segment on, length by length
+            good, total = np.ones(len(i), bool), np.zeros(len(i), np.int64)
+            for step in range(1, m):
+                k = (col["segment"][i].astype(np.int64) + step - 1) % m
+                word = differ[k // per, np.arange(len(i))] >> (SEGMENT * (k % per)).astype(np.uint64)
+                total += np.bitwise_count(word & np.uint64((1 << SEGMENT) - 1))
+                good &= total * m <= step * most_bits
+            i, j, differ = i[good], j[good], differ[:, good]
             near = np.bitwise_count(differ).sum(axis=0) <= most_bits
             out += forest.link(i[near], j[near])
         if out:

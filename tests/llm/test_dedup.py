@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from graphloom.llm import components, hamming, kernels, queries, recipes, simhash
@@ -57,36 +58,25 @@ def test_simhash_odd_rows(spark):
     assert simhash.classes(df.limit(0)).count() == 0
 
 
-def test_pigeonring_links_random_codes_as_brute_force_does(spark, monkeypatch):
+@pytest.mark.parametrize("words64, most_bits", [(1, 3), (2, 7)])
+def test_pigeonring_links_random_codes_as_brute_force_does(spark, monkeypatch, words64, most_bits):
     r = random.Random(4)
-    codes = [r.getrandbits(64) for _ in range(60)]
+    codes = [r.getrandbits(64 * words64) for _ in range(60)]
     for _ in range(600):
         x = r.choice(codes)
-        for k in r.sample(range(64), r.choice([1, 2, 3, 3, 4, 5])):
+        for k in r.sample(range(64 * words64), r.choice([1, 2, 3, 3, 4, 5, 7, 8])):
             x ^= 1 << k
         codes.append(x)
     prints = list(enumerate(dict.fromkeys(codes)))
-    df = spark.createDataFrame([(i, int(np.uint64(f).view(np.int64))) for i, f in prints], "id long, f0 long")
-    want = classes(prints)
+    words = lambda f: [int(np.uint64(f >> 64 * k & (2**64 - 1)).view(np.int64)) for k in range(words64)]
+    df = spark.createDataFrame([(i, *words(f)) for i, f in prints], "id long, " + ", ".join(f"f{k} long" for k in range(words64)))
+    want = classes(prints, most_bits)
     for most in (4096, 5):  # in one block, and split
-        monkeypatch.setattr(hamming.dealt, "__defaults__", (most,))
-        got = {r.node: r.component for r in components.components(simhash.links(df, 1, 3)).collect()}
+        monkeypatch.setattr(hamming, "BLOCK", most)
+        got = {r.node: r.component for r in components.components(simhash.links(df, words64, most_bits)).collect()}
         assert [got.get(i, i) for i, _ in prints] == want
-
-
-def test_wide_fingerprints_catch_near_copies_and_leave_others(spark):
-    r = random.Random(6)
-    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(3000)]
-    docs = [r.choices(words, k=300) for _ in range(60)]
-    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
-    for i, d in enumerate(docs[:30]):  # four words in 300 changed: a similarity of 0.87
-        e = list(d)
-        for k in r.sample(range(300), 4):
-            e[k] = r.choice(words)
-        rows.append((100 + i, " ".join(e)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {x.id: x.component for x in simhash.classes(df, shingle=5, words64=4, most_bits=48).collect()}
-    assert sum(got[100 + i] == i for i in range(30)) >= 29 and all(got[i] == i for i in range(60))
+    with pytest.raises(ValueError):
+        simhash.links(df, words64, 4 * words64)
 
 
 def test_components(spark):

@@ -53,7 +53,7 @@ def documents():
 
 @pytest.mark.parametrize("most", [4096, 4])
 def test_stage_equals_brute_force_jaccard(spark, monkeypatch, most):
-    monkeypatch.setattr(hamming.dealt, "__defaults__", (most,))
+    monkeypatch.setattr(hamming, "BLOCK", most)
     rows = documents()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == kept(rows)
