@@ -15,9 +15,9 @@ from graphloom.llm.common import table, written
 
 #: Texts whose best language is less probable than this are rejected, as are those without any letter.
 LEAST_SCORE = 0.3
-#: Near-duplicates: distinct five-word shingles with a similarity of 0.8 (``shingles.LEAST``).  The 256 bits and 48 bits
-#: apart are the former measure of similarity, which tests/llm/test_pipeline.py still compares with; no stage uses them.
-SHINGLE, WORDS64, MOST_BITS = 5, 4, 48
+#: Words of a shingle; documents whose distinct shingles have a similarity of 0.8 (``shingles.LEAST``) are near-duplicates.
+SHINGLE = 5
+
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
