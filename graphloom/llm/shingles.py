@@ -4,7 +4,8 @@ Candidates are filters only, the sets of shingles decide.  Close copies come fir
 (64-bit SimHash of the distinct shingles, 3 bits) and shared least hashes; what they link need not meet again.  The rest is
 a search that is whole by the pigeonhole principle: two sets with a similarity of p / q share one of their first
 n - ceil(n * p / q) + 1 shingles in any common order (here: those common in a sample last).  Where they first meet, their
-sizes, places and the Hamming distance of 128 parity bits (never more than the sets' difference) prune.
+sizes, places and the Hamming distance of 128 parity bits prune; before sets are compared, parity bits as many as shingles
+do.  A bit is the parity of the shingles that fall to it, so two sets differ in no more bits than shingles.
 """
 
 from __future__ import annotations
@@ -75,20 +76,43 @@ def _first(node: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out & (n > 0)
 
 
+def _parity(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The parity bits of each row, in bytes from the lowest."""
+    bits = 1 << np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(bits)])
+    place = at[row] + (K.mix(h, 24) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    raw = np.packbits((np.bincount(place, minlength=at[-1]) & 1).astype(bool), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((at // 8).astype(np.int32)), pa.py_buffer(raw)])
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """How many parity bits differ; more bits are folded to as many as the other has."""
+    a, b = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    n, m = 8 * len(x), 8 * len(y)
+    while n > m:
+        n //= 2
+        a = (a >> n) ^ (a & ((1 << n) - 1))
+    while m > n:
+        m //= 2
+        b = (b >> m) ^ (b & ((1 << m) - 1))
+    return (a ^ b).bit_count()
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, text_hash, node, n, f0, m0..) of every row: ``node`` stands for the set of its n shingles.
+    """(id, text_hash, node, n, f0, m0.., parity) of every row: ``node`` stands for the set of its n shingles.
 
-    Words and shingles are those of ``simhash.fingerprints``, each counted once.  f0: SimHash, m: least hashes.
+    Words and shingles are those of ``simhash.fingerprints``, each counted once.  f0: SimHash, m: least hashes, parity:
+    the parity bits, a power of two and n at least.
     """
     longs = ["text_hash", "node", "n", "f0", *(f"m{k}" for k in range(HASHES))]
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in longs)])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(x, T.LongType()) for x in longs), T.StructField("parity", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            for a, b, h, _, n, row_at, node in _sets(batch.column(2), shingle):
+            for a, b, h, row, n, row_at, node in _sets(batch.column(2), shingle):
                 cols = [node, n.astype(np.uint64), K.pack_bits(2 * K.bit_counts(h, row_at) > n[:, None])]
                 cols += [_per_row(np.minimum, K.mix(h, 31 + k), row_at) for k in range(HASHES)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x.view(np.int64)) for x in cols)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *(pa.array(x.view(np.int64)) for x in cols), _parity(h, row, n)], names=schema.names)
 
     return in_arrow(docs.select(id_col, F.xxhash64(text_col).alias("text_hash"), text_col), run, schema)
 
@@ -110,12 +134,23 @@ def lists(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
 def verified(found: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """Those of the candidates (a, b), distinct nodes, whose sets are similar enough; few rows may be joined twice."""
     found = checkpoint(found.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    p, q = LEAST
+
+    def prune(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (batch.column(k).to_pylist() for k in range(6))
+            keep = [(i + j) - 2 * (-(-(i + j) * p // (p + q))) >= _apart(s, t) for i, j, s, t in zip(n, m, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    bits = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("parity").alias("parity"))
+    for x in "ab":
+        found = found.join(bits.select(*(F.col(c).alias(f"{c}_{x}") for c in bits.columns)), F.col(x) == F.col(f"node_{x}"))
+    found = checkpoint(in_arrow(found.select("a", "b", "n_a", "n_b", "parity_a", "parity_b"), prune, "a long, b long"))
     ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
     one = rows.join(_small(ends.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("h"))
     texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     some = lists(texts.join(_small(checkpoint(one.select("h").distinct())), "h", "left_semi"), "text", shingle)
     both = some.join(_small(ends), "node").groupBy("a", "b").agg(*(F.max(F.when(F.col("node") == F.col(x), F.col("shingles"))).alias(f"set_{x}") for x in "ab"))
-    p, q = LEAST
     return checkpoint(both.where((p + q) * F.size(F.array_intersect("set_a", "set_b")) >= p * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
 
 

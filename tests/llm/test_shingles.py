@@ -68,3 +68,18 @@ def test_rows_that_share_an_id_are_dropped_one_by_one(spark):
     rows = [(1, "one text of six words here"), (2, "quite another text with other words"), (2, "one text of six words HERE"), (None, "one text of six words here"), (None, "x")]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(map(tuple, got), key=repr) == sorted([rows[0], rows[1], rows[3], rows[4]], key=repr)
+
+
+def test_parity_bits_differ_in_no_more_places_than_sets():
+    import numpy as np
+
+    from graphloom.llm import shingles as S
+
+    r = np.random.default_rng(5)
+    for n, m in ((1, 1), (60, 70), (300, 260), (1000, 1030), (2000, 2100)):
+        both = r.integers(0, 2**63, n // 2).astype(np.uint64)
+        x, y = (np.concatenate([both, r.integers(0, 2**63, k - len(both)).astype(np.uint64)]) for k in (n, m))
+        bits = S._parity(np.concatenate([x, y]), np.repeat([0, 1], [n, m]), np.array([n, m])).to_pylist()
+        differ = len({*x.tolist()} ^ {*y.tolist()})
+        assert S._apart(*bits) <= differ and S._apart(bits[0], bits[0]) == 0
+        assert n < 64 or S._apart(*bits) > 0.3 * min(n, m)  # enough bits to tell most pairs apart
