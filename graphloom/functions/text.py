@@ -34,6 +34,12 @@ def placeholders(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\[(IMAGE|TABLE): ([^\]]+)\]"), 2)
 
 
+def data_uri(c: Column) -> Column:
+    """struct<mime, data> of a data:<mime>;base64,<data> address; null for anything else."""
+    parts = lambda k: F.regexp_extract(c, r"^data:([^;,]+);base64,([A-Za-z0-9+/=]*)$", k)
+    return F.when(parts(1) != "", F.struct(parts(1).alias("mime"), F.unbase64(parts(2)).alias("data")))
+
+
 def embedding_text(*parts: Column) -> Column:
     """Parts with one space between; an empty part leaves its space."""
     return F.trim(reduce(lambda a, b: F.concat(a, F.lit(" "), b), [F.coalesce(p, F.lit("")) for p in parts]))

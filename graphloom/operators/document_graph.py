@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,8 @@ ELEMENT_TYPES = {
     "picture": "image", "figure": "image", "caption": "caption", "footnote": "footnote", "formula": "formula", "code": "code", "document_index": "table_of_contents",
 }
 FURNITURE = ("page_header", "page_footer")
+# Parse modes whose parser brings its own chunks or pages.
+CHUNKED_MODES = ("pymupdf", "text_only", "page_image")
 
 
 def relabelled(items: DataFrame, skip_furniture: bool = True) -> DataFrame:
@@ -87,7 +90,7 @@ def merged(graph: Graph, more: Graph) -> Graph:
 def with_chunks(graph: Graph, strategy: str, clear: bool = False, size: int = 500, overlap: int = 50) -> Graph:
     """Chunks every document; an earlier set stays as an inactive version, or goes if ``clear``.
 
-    Adds PART_OF and NEXT_CHUNK, and HAS_ELEMENT from chunks to elements for strategies that know them.
+    Adds PART_OF and NEXT_CHUNK, and CHUNK_ELEMENT from chunks to elements for strategies that know them.
     """
     g, e = graph.nodes, graph.nodes["element"]
     member = layout.current_section(e).where("section_seq is not null").select(F.col("id").alias("element_id"), F.concat_ws("_sec_", "document_id", "section_seq").alias("section_id"), F.col("seq").alias("pos"))
@@ -140,16 +143,27 @@ def read(graph: Graph, sql: str) -> DataFrame:
     spark = next(iter(graph.nodes.values())).sparkSession
     if not spark.range(1).select(is_read_only(F.lit(sql))).first()[0]:
         raise PermissionError("only reading is allowed")
-    return spark.sql(sql_views(graph, sql))
+    text, names = sql_views(graph, sql)
+    try:
+        return spark.sql(text)  # names are resolved here, so the views may go
+    finally:
+        for name in names:
+            spark.catalog.dropTempView(name)
 
 
-def sql_views(graph: Graph, sql: str) -> str:
-    """Registers the tables under names of this call and rewrites ``{table}`` in the text."""
+def sql_views(graph: Graph, sql: str) -> tuple[str, list[str]]:
+    """Registers the tables under names of this call and rewrites ``{table}`` in the text; other braces stay."""
     tag, names = uuid.uuid4().hex[:8], {}
     for name, table in {**graph.nodes, **{k.lower(): v for k, v in graph.edges.items()}}.items():
         names[name] = f"{name}_{tag}"
         table.createOrReplaceTempView(names[name])
-    return sql.format(**names)
+    return re.sub(r"\{(\w+)\}", lambda m: names.get(m[1], m[0]), sql), list(names.values())
+
+
+def needs_chunking(documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Active documents without a chunk whose parser makes none by itself (parse_mode)."""
+    rows = documents.where(F.coalesce("active", F.lit(True)) & ~F.coalesce("parse_mode", F.lit("")).isin(*CHUNKED_MODES))
+    return rows.join(chunks.select(F.col("document_id").alias("id")), "id", "left_anti")
 
 
 def searchable(properties: list[str], chunks: DataFrame) -> list[str]:

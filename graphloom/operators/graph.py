@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint
+
 
 @dataclass(frozen=True)
 class Graph:
@@ -60,14 +62,23 @@ def lookup(ids: DataFrame, *tables: DataFrame, key: str = "id") -> DataFrame:
     return ids.join(reduce(DataFrame.unionByName, [t.select(key) for t in tables]).distinct(), key)
 
 
-def reachable(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
-    """(root, id, depth): what is reached in 1 to ``depth`` hops, at its least depth."""
-    step = roots.select(F.col("id").alias("root"), "id")
-    levels = []
-    for k in range(1, depth + 1):
-        step = step.join(edges.select(F.col("src").alias("id"), "dst"), "id").select("root", F.col("dst").alias("id")).distinct()
-        levels.append(step.withColumn("depth", F.lit(k)))
-    return reduce(DataFrame.unionByName, levels).groupBy("root", "id").agg(F.min("depth").alias("depth"))
+def reachable(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, id, depth): what is reached in one hop or more (``depth`` at most, if given), at its least depth.
+
+    Each round follows the edges from what the round before has reached first, so cycles end it.
+    """
+    hop = edges.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
+    step = roots.select(F.col("id").alias("root"), "id").distinct()
+    found, k = None, 0
+    while depth is None or k < depth:
+        k += 1
+        step = step.join(hop, "id").select("root", F.col("to").alias("id")).distinct()
+        step = checkpoint(step if found is None else step.join(found.select("root", "id"), ["root", "id"], "left_anti"))
+        if step.isEmpty() and found is not None:
+            break
+        level = step.withColumn("depth", F.lit(k))
+        found = level if found is None else found.unionByName(level)
+    return found if found is not None else step.withColumn("depth", F.lit(0)).limit(0)
 
 
 def chain(nodes: DataFrame, parent: list[str], order: list[str], key: str = "id") -> DataFrame:
@@ -86,19 +97,19 @@ def walk(nodes: DataFrame, edges: DataFrame, depth: int | None = None, key: str
     ids = nodes.select(F.col(key).alias("id")).distinct()
     back = edges.select(F.col("dst").alias("id"), F.col("src").alias("up"))
     heads = ids.join(back.select("id"), "id", "left_anti")
-    found = heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("position")).localCheckpoint()
-    jumps = back.distinct().withColumn("hops", F.lit(1).cast("long")).localCheckpoint()
+    found = checkpoint(heads.select("id", F.col("id").alias("head"), F.lit(0).cast("long").alias("position")))
+    jumps = checkpoint(back.distinct().withColumn("hops", F.lit(1).cast("long")))
     settled = found.count()
     while True:
         # whoever jumps to a settled node is settled; jumps then double
         ahead = jumps.join(found.withColumnRenamed("id", "up"), "up").select("id", "head", (F.col("hops") + F.col("position")).alias("position"))
-        found = found.unionByName(ahead).groupBy("id", "head").agg(F.min("position").alias("position")).localCheckpoint()
+        found = checkpoint(found.unionByName(ahead).groupBy("id", "head").agg(F.min("position").alias("position")))
         count = found.count()
         if count == settled:
             break
         settled = count
         then = jumps.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("hops").alias("more"))
-        jumps = jumps.join(then, "up").groupBy("id", F.col("top").alias("up")).agg(F.min(F.col("hops") + F.col("more")).alias("hops")).localCheckpoint()
+        jumps = checkpoint(jumps.join(then, "up").groupBy("id", F.col("top").alias("up")).agg(F.min(F.col("hops") + F.col("more")).alias("hops")))
     if depth is not None:
         found = found.where(F.col("position") <= depth)
     out = nodes.select(F.col(key).alias("id")).join(found, "id", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint
 from ..functions.text import strip, text_hash
 
 LEVELS = 6
@@ -78,9 +79,10 @@ def outside_tables(blocks: DataFrame, tables: DataFrame, page: list[str]) -> Dat
 
 
 def distinct_boxes(images: DataFrame, page: list[str], near: float = 5.0) -> DataFrame:
-    """Drops an image whose corner is within ``near`` of an earlier image of its page in both directions.
+    """Drops an image whose corner is within ``near`` of an earlier image of its page that stays, in both directions.
 
-    Cells of that size meet their neighbours in an equi-join.  An image is dropped for any earlier one, dropped or not.
+    Cells of that size meet their neighbours in an equi-join, which gives the pairs that are near.  Images that are near
+    no earlier one stay and drop what is near them; that leaves fewer pairs, and so on until none is left.
     """
     cell = lambda c: F.floor(F.col(c) / near)
     grid = images.withColumns({"_cx": cell("box.x0"), "_cy": cell("box.y0")})
@@ -88,7 +90,23 @@ def distinct_boxes(images: DataFrame, page: list[str], near: float = 5.0) -> Dat
     early = early.withColumn("_cy", F.explode(F.array(*(F.col("_cy") + d for d in (-1, 0, 1)))))
     close = (F.abs(F.col("box.x0") - F.col("_b.x0")) < near) & (F.abs(F.col("box.y0") - F.col("_b.y0")) < near)
     hit = grid.join(early, [*page, "_cx", "_cy"]).where(close & (F.col("_i") < F.col("image_idx")))
-    return images.join(hit.select(*page, "image_idx").distinct(), [*page, "image_idx"], "left_anti")
+    open_pairs = checkpoint(hit.select(*page, "image_idx", "_i").distinct())
+    gone = None
+    while not open_pairs.isEmpty():
+        later, earlier = (F.col(c).alias("_n") for c in ("image_idx", "_i"))
+        kept = open_pairs.select(*page, earlier).join(open_pairs.select(*page, later), [*page, "_n"], "left_anti")
+        dropped = open_pairs.join(kept.select(*page, F.col("_n").alias("_i")).distinct(), [*page, "_i"], "left_semi")
+        dropped = checkpoint(dropped.select(*page, "image_idx").distinct())
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        for end in ("image_idx", "_i"):
+            open_pairs = open_pairs.join(dropped.select(*page, F.col("image_idx").alias(end)), [*page, end], "left_anti")
+        open_pairs = checkpoint(open_pairs)
+    return images if gone is None else images.join(gone, [*page, "image_idx"], "left_anti")
+
+
+def real_tables(tables: DataFrame, least: int = 2) -> DataFrame:
+    """Without tables that have both fewer than ``least`` rows and fewer than ``least`` columns (n_rows, n_columns)."""
+    return tables.where((F.col("n_rows") >= least) | (F.col("n_columns") >= least))
 
 
 def large_enough(boxes: DataFrame, least: float = 30.0) -> DataFrame:

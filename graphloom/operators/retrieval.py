@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,13 +46,61 @@ def embedded(rows: DataFrame, embed: Callable[[pd.Series], pd.Series], key: str
     return rows.select(key, "embedding_input").mapInPandas(run, f"{key} {kind}, text_embedding array<float>")
 
 
-def hashed_words(c: Column, dims: int = 64) -> Column:
-    """A stand-in for an embedding model, JVM-side: counts of words by hash, made unit length."""
-    words = F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\d]+)"), 1)
-    at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(at, lambda a: a == k)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0)).cast("float"))
+def hashed_words(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFrame:
+    """(key, vector): a stand-in for an embedding model, JVM-side: counts of a text's words by hash.
+
+    Words are found once; what is shuffled are counts by bucket, ``dims`` a text at most.  Texts without words are left out.
+    """
+    words = F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\d]+)"), 1)).alias("w")
+    bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("int") % dims
+    counts = rows.select(key, words).groupBy(key, bucket.alias("b")).agg(F.count("*").cast("double").alias("n"))
+    sparse = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    return sparse.select(key, dense.alias("vector"))
+
+
+#: Numbers that the queries of one search may hold together (8 bytes each, sent to every task).
+QUERY_NUMBERS = 20_000_000
+
+
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", query_key: str = "query_id", query: str = "query") -> DataFrame:
+    """(query_key, key, score, rank): the k vectors of highest cosine for each query; ties (9 places) go to the smaller key.
+
+    One scan, a product of each batch with all queries, and k rows of a batch and query at most go on.  Vectors that are
+    zero or null have no neighbours.  Raises if the queries are over QUERY_NUMBERS: search for parts of them.
+    """
+    asked = queries.select(query_key, F.transform(query, lambda x: x.cast("double")).alias("v")).where("v is not null")
+    size = asked.agg(F.sum(F.size("v"))).first()[0] or 0
+    if size > QUERY_NUMBERS:
+        raise ValueError(f"queries of {size} numbers; at most {QUERY_NUMBERS} at a time")
+    held = asked.toPandas()
+    unit = np.array(held["v"].tolist(), float).reshape(len(held), -1)
+    norm = np.sqrt((unit * unit).sum(axis=1))
+    ok = norm > 0
+    names, unit = held[query_key][ok].tolist(), unit[ok] / norm[ok, None]
+    kind, own = queries.schema[query_key].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame[frame["v"].notna()]
+            if not len(frame) or not len(names):
+                continue
+            v = np.array(frame["v"].tolist(), float)
+            size = np.sqrt((v * v).sum(axis=1))
+            frame, v = frame[size > 0], v[size > 0] / size[size > 0, None]
+            scores = np.round(v @ unit.T, 9)
+            for q, name in enumerate(names):
+                score = scores[:, q]
+                if k < len(score):  # all that reach the k-th best, ties included
+                    score = score[(at := np.flatnonzero(score >= np.partition(score, -k)[-k]))]
+                else:
+                    at = np.arange(len(score))
+                yield pd.DataFrame({query_key: [name] * len(at), key: frame[key].to_numpy()[at], "score": score})
+
+    rows = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    found = rows.mapInPandas(run, f"{query_key} {kind}, {key} {own}, score double")
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def nearest(vectors: DataFrame, query: Column, k: int, key: str, vector: str, where: Column | None = None) -> DataFrame:
@@ -94,12 +144,12 @@ def full_text(rows: DataFrame, queries: DataFrame, k: int, key: str, text: str =
     return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def fused(*ranked: DataFrame, key: str, k: int, constant: int = 60) -> DataFrame:
-    """(key, score): reciprocal-rank fusion of ranked lists (key, rank)."""
-    from functools import reduce
-
-    rows = reduce(DataFrame.unionByName, [r.select(key, "rank") for r in ranked])
-    return rows.groupBy(key).agg(F.sum(1 / (F.col("rank") + constant)).alias("score")).orderBy(F.desc("score"), key).limit(k)
+def fused(*ranked: DataFrame, key: str, query_key: str, k: int, constant: int = 60) -> DataFrame:
+    """(query_key, key, score, rank): reciprocal-rank fusion of ranked lists (query_key, key, rank), k for each query."""
+    rows = reduce(DataFrame.unionByName, [r.select(query_key, key, "rank") for r in ranked])
+    score = rows.groupBy(query_key, key).agg(F.round(F.sum(1 / (F.col("rank") + constant)), 9).alias("score"))
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def with_neighbours(seeds: DataFrame, edges: DataFrame, key: str) -> DataFrame:

@@ -35,6 +35,13 @@ def listed(documents: DataFrame, **children: DataFrame) -> DataFrame:
     return rows.groupBy("source_id").agg(F.count("*").alias("n_versions"), F.array_sort(F.collect_list(F.struct(*fields))).alias("versions"))
 
 
+def totals(documents: DataFrame, **children: DataFrame) -> DataFrame:
+    """(source_id, n_versions, latest, n_... of each child): summed before the shuffle, so a source of many versions is
+    no single row or task."""
+    rows = counted(documents, "document_id", **{f"n_{k}": v for k, v in children.items()})
+    return rows.groupBy("source_id").agg(F.count("*").alias("n_versions"), F.max("version").alias("latest"), *(F.sum(f"n_{k}").alias(f"n_{k}") for k in children))
+
+
 def markdown(elements: DataFrame) -> DataFrame:
     """(document_id, text): elements in order, headings marked by their level, tables as they are, images as a mark."""
     mark = F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(1), F.least(F.lit(6), F.coalesce("level", F.lit(1))))), F.lit(" "), "text")

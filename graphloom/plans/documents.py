@@ -68,9 +68,8 @@ def doc_versions(spark, sf_dir):
 @query(LINES + ", c AS (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1), e AS (SELECT document_id, count(*) AS n, count(DISTINCT page_number) AS p FROM elements GROUP BY 1) SELECT source_id, count(*) AS n_versions, sum(coalesce(c.n, 0))::BIGINT AS n_chunks, sum(coalesce(e.n, 0))::BIGINT AS n_elements, sum(coalesce(e.p, 0))::BIGINT AS n_pages, max(version) AS latest FROM docs LEFT JOIN c USING (document_id) LEFT JOIN e USING (document_id) GROUP BY source_id")
 def list_documents(spark, sf_dir):
     e = elements(spark, sf_dir).select("document_id", "page_number")
-    listed = verify.listed(documents(spark, sf_dir), chunks=windows(spark, sf_dir).select("document_id"), elements=e, pages=e.distinct())
-    total = lambda name: F.aggregate(F.transform("versions", lambda v: v[name]), F.lit(0).cast("long"), lambda a, x: a + x).alias(name)
-    return listed.select("source_id", "n_versions", total("n_chunks"), total("n_elements"), total("n_pages"), F.array_max(F.transform("versions", lambda v: v["version"])).alias("latest"))
+    found = verify.totals(documents(spark, sf_dir), chunks=windows(spark, sf_dir).select("document_id"), elements=e, pages=e.distinct())
+    return found.select("source_id", "n_versions", "n_chunks", "n_elements", "n_pages", "latest")
 
 
 @query(LINES + "SELECT document_id, idx, text, token_count FROM chunks")
@@ -215,7 +214,16 @@ def boxes_outside(spark, sf_dir):
     return out.groupBy("page").agg(F.count("*").alias("n"))
 
 
-@query(_BLOCKS + ", i AS (SELECT DISTINCT page, row_number() OVER (PARTITION BY page ORDER BY block_id, x0, y0) AS image_idx, x0, y0 FROM b) SELECT page, image_idx FROM i WHERE NOT EXISTS (SELECT 1 FROM i e WHERE e.page = i.page AND e.image_idx < i.image_idx AND abs(e.x0 - i.x0) < 5 AND abs(e.y0 - i.y0) < 5)")
+@query("WITH RECURSIVE " + _BLOCKS.removeprefix("WITH ") + """, i AS (
+  SELECT page, row_number() OVER (PARTITION BY page ORDER BY block_id, x0, y0) AS image_idx, x0, y0 FROM b
+), g AS (
+  SELECT page, image_idx, true AS stays, [{'x': x0, 'y': y0}] AS kept FROM i WHERE image_idx = 1
+  UNION ALL
+  SELECT i.page, i.image_idx, len(list_filter(g.kept, lambda e: abs(e.x - i.x0) < 5 AND abs(e.y - i.y0) < 5)) = 0,
+         CASE WHEN len(list_filter(g.kept, lambda e: abs(e.x - i.x0) < 5 AND abs(e.y - i.y0) < 5)) = 0 THEN list_append(g.kept, {'x': i.x0, 'y': i.y0}) ELSE g.kept END
+  FROM g JOIN i ON i.page = g.page AND i.image_idx = g.image_idx + 1
+)
+SELECT page, image_idx FROM g WHERE stays""")
 def distinct_images(spark, sf_dir):
     from pyspark.sql import Window
 

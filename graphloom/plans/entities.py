@@ -25,9 +25,10 @@ def optional_expand(spark, sf_dir):
     return out.select("n_name", "customers", "orders", "value")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 7 = 0)")
 def unlinked_customers(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    """Customers without an order whose number is a multiple of seven."""
+    edges = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
     return graph.linked(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), edges, "c_custkey", negate=True)
 
 

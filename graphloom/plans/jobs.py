@@ -47,14 +47,18 @@ class Jobs:
 
     def _run(self, job: Job, steps: list) -> None:
         self.spark.sparkContext.addJobTag(job.id)
-        job.state = "running"
+        with self.lock:
+            if job.state == "cancelled":
+                return
+            job.state = "running"
         try:
             for step in steps:
                 if job.state == "cancelled":
                     return
                 job.result = step()
                 job.done += 1
-            job.state = "complete"
+            with self.lock:
+                job.state = "cancelled" if job.state == "cancelled" else "complete"
         except Exception as e:  # a job's failure is its result
             if job.state != "cancelled":
                 job.state, job.error = "failed", str(e)[:500]
@@ -64,8 +68,11 @@ class Jobs:
 
     def cancel(self, job_id: str, clean: bool = False) -> Job:
         job = self.jobs[job_id]
-        if job.state in ("pending", "running"):
-            job.state = "cancelled"
+        with self.lock:
+            ended = job.state not in ("pending", "running")
+            if not ended:
+                job.state = "cancelled"
+        if not ended:
             self.spark.sparkContext.cancelJobsWithTag(job.id)
             if clean and job.undo:
                 job.undo()

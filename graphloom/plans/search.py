@@ -30,7 +30,7 @@ def vector_topk_prefilter(spark, sf_dir):
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
-@query(r"""WITH t AS (
+_BM25 = r"""WITH t AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\r\n\f]+') AS w FROM documents
 ), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t
 ), x AS (SELECT doc_id, len(w) AS length, unnest(w) AS term FROM t
@@ -41,26 +41,45 @@ def vector_topk_prefilter(spark, sf_dir):
   SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))) AS score
   FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY ALL
 )
-SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM r QUALIFY rank <= 5""")
+"""
+
+
+@query(_BM25 + "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM r QUALIFY rank <= 5")
 def fulltext_bm25(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     found = retrieval.full_text(docs, asked, 5, "doc_id", query_key="item_id", query="text")
     return found.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query(_BM25.rstrip() + r""", hw AS (
+  SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\d]+')) AS w FROM documents
+  UNION ALL SELECT 'q', item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\d]+')) FROM benchmark
+), hc AS (SELECT kind, id, ('0x' || substr(md5(w), 1, 4))::INT % 64 AS b, count(*)::DOUBLE AS n FROM hw GROUP BY ALL
+), hn AS (SELECT kind, id, sqrt(sum(n * n)) AS size FROM hc GROUP BY ALL
+), cs AS (
+  SELECT q.id AS item_id, d.id AS doc_id, sum(q.n * d.n) / any_value(nq.size * nd.size) AS score
+  FROM hc q JOIN hc d ON q.kind = 'q' AND d.kind = 'd' AND q.b = d.b JOIN hn nq ON nq.kind = 'q' AND nq.id = q.id JOIN hn nd ON nd.kind = 'd' AND nd.id = d.id GROUP BY 1, 2
+), ranked AS (
+  SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM cs QUALIFY rank <= 50
+  UNION ALL SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) FROM r QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) <= 50
+), f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (rank + 60)), 9) AS score FROM ranked GROUP BY ALL)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
 def hybrid(spark, sf_dir):
-    """Words and hashed-word vectors of one question, fused by rank."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(1)
-    words = retrieval.full_text(docs, asked, 50, "doc_id", query_key="item_id", query="text").select("doc_id", "rank")
-    q = asked.select(retrieval.hashed_words(F.col("text")).alias("v")).first()["v"]
-    vectors = docs.select("doc_id", retrieval.hashed_words(F.col("text")).alias("v"))
-    near = retrieval.nearest(vectors, F.array(*(F.lit(float(x)) for x in q)), 50, "doc_id", "v")
-    from pyspark.sql import Window
+    """Words and hashed-word vectors of every question, fused by rank."""
+    docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
+    words = retrieval.full_text(docs, asked, 50, "doc_id", query_key="item_id", query="text")
+    vectors, questions = (retrieval.hashed_words(rows, key, "text") for rows, key in ((docs, "doc_id"), (asked, "item_id")))
+    near = retrieval.nearest_many(vectors, questions, 50, "doc_id", "vector", "item_id", "vector")
+    return retrieval.fused(words, near, key="doc_id", query_key="item_id", k=10)
 
-    near = near.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "doc_id")))  # 50 rows
-    return retrieval.fused(words, near, key="doc_id", k=10)
+
+@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 9) AS score FROM embeddings, q) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 10")
+def vector_search_many(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all."""
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    found = retrieval.nearest_many(rows, asked, 10, "vec_id", "embedding")
+    return found.withColumn("score", F.round("score", 6))
 
 
 @query("SELECT s_suppkey, trim(s_name || ' ' || coalesce(n_name, '') || ' ' || CASE WHEN s_acctbal > 0 THEN 'solvent' ELSE '' END || ' end') AS input FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
@@ -71,6 +90,8 @@ def embed_text(spark, sf_dir):
     return s.select("s_suppkey", embedding_text(*parts).alias("input"))
 
 
-@query()
+@query("SELECT doc_id, source FROM documents ORDER BY md5('7|' || doc_id), doc_id LIMIT 10")
 def random_sample(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source").orderBy(F.rand(7)).limit(10)
+    """Ten rows in the order of a seeded hash: the same whatever the partitions."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit("7"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(10)

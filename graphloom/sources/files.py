@@ -104,3 +104,8 @@ def opened(spark: SparkSession, path: str, nodes: list[str], edges: list[str]) -
 def reports(texts: DataFrame, path: str) -> None:
     """One Markdown part file for each document: (document_id, text)."""
     texts.write.mode("overwrite").partitionBy("document_id").option("lineSep", "\n").text(path)
+
+
+def manifest(rows: DataFrame, path: str) -> None:
+    """Reports and manifests as JSON lines, one object for each row."""
+    rows.write.mode("overwrite").json(path)

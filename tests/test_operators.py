@@ -209,3 +209,58 @@ def test_walk_follows_chains_of_any_length(spark, tmp_path):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 1), (5, 6), (6, 5)], "src long, dst long")
     got = sorted(map(tuple, graph.walk(nodes, edges).collect()))
     assert got == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 3, 0), (4, 4, 0), (5, 5, -1), (6, 6, -1), (7, 7, 0)]
+
+
+def test_images_are_dropped_only_for_earlier_ones_that_stay(spark):
+    from pyspark.sql import functions as F
+
+    at = [(1, k, 4.0 * k, 0.0) for k in range(1, 8)] + [(2, 1, 0.0, 0.0), (2, 2, 4.9, -4.9), (2, 3, 5.0, 0.0), (2, 4, -0.1, 0.1)]
+    df = spark.createDataFrame(at, "page int, image_idx int, x0 double, y0 double")
+    rows = df.select("page", "image_idx", F.struct("x0", "y0").alias("box"))
+    kept = []
+    for p, i, x, y in at:
+        if not any(q == p and abs(a - x) < 5 and abs(b - y) < 5 for q, _, a, b in kept):
+            kept.append((p, i, x, y))
+    got = sorted((r.page, r.image_idx) for r in layout.distinct_boxes(rows, ["page"]).collect())
+    assert got == [(p, i) for p, i, _, _ in kept] and (1, 3) in got
+    assert layout.distinct_boxes(rows.limit(0), ["page"]).count() == 0
+
+
+def test_reachable_ends_in_cycles_and_at_the_depth(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(20, 0)], "src int, dst int")
+    roots = spark.createDataFrame([(0,)], "id int")
+    got = {r.id: r.depth for r in graph.reachable(edges, roots).collect()}
+    assert got == {k: k for k in range(1, 21)} | {0: 21}
+    assert graph.reachable(edges, roots, 2).count() == 2 and graph.reachable(edges, roots.where("id > 50")).count() == 0
+
+
+def test_search_of_many_queries_with_ties_and_empty_vectors(spark):
+    import numpy as np
+
+    from graphloom.operators import retrieval
+
+    r = np.random.default_rng(2)
+    v = [[float(x) for x in r.integers(-2, 3, 6)] for _ in range(200)] + [None, [0.0] * 6]
+    rows = spark.createDataFrame(list(enumerate(v)), "id int, vector array<double>").repartition(7)
+    asked = spark.createDataFrame([(q, v[q]) for q in range(9)] + [(50, [0.0] * 6)], "query_id int, query array<double>")
+    got = sorted((x.query_id, x.rank, x.id) for x in retrieval.nearest_many(rows, asked, 5).collect())
+    want = []
+    for q in range(9):
+        if any(v[q]):
+            score = [(-round(float(np.dot(v[q], x) / np.linalg.norm(v[q]) / np.linalg.norm(x)), 9), i) for i, x in enumerate(v) if x and any(x)]
+            want += [(q, n + 1, i) for n, (_, i) in enumerate(sorted(score)[:5])]
+    assert got == sorted(want)
+
+
+def test_small_filters(spark):
+    from graphloom.functions.text import data_uri
+    from graphloom.operators import document_graph as D
+
+    docs = spark.createDataFrame([("a", True, "docling"), ("b", True, "pymupdf"), ("c", False, "docling"), ("d", None, None)], "id string, active boolean, parse_mode string")
+    chunks = spark.createDataFrame([("a",)], "document_id string")
+    assert [r.id for r in D.needs_chunking(docs, chunks).collect()] == ["d"]
+    t = spark.createDataFrame([(1, 1), (2, 1), (1, 3)], "n_rows int, n_columns int")
+    assert layout.real_tables(t).count() == 2
+    u = spark.createDataFrame([("data:image/png;base64,aGk=",), ("http://x",), (None,)], "u string")
+    got = [r.d for r in u.select(data_uri(u.u).alias("d")).collect()]
+    assert (got[0].mime, bytes(got[0].data), got[1:]) == ("image/png", b"hi", [None, None])
