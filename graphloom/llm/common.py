@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..checkpoints import checkpoint, shared_dir
+
+__all__ = ["checkpoint", "drop_scratch", "in_arrow", "partitions", "shared_dir", "table", "written"]
+
 #: Bytes of a batch that goes to a Python worker.  Rows of whole texts are wide: by the session's default of 10,000 rows a
 #: batch, long texts would fill the memory of JVM and worker several times over.
 BATCH_BYTES = 4 << 20
@@ -22,28 +25,6 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and scratch tables: the session's ``spark.checkpoint.dir``.
-
-    Where none is set, a local master gets a folder of its own; a cluster, whose machines would not see it, an error.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if path is None:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            path = tempfile.mkdtemp(prefix="checkpoints-")
-        sc.setCheckpointDir(path)
-    return sc.getCheckpointDir()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with files in the shared folder; for small rows."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a Parquet table in the shared folder; for wide rows.
 
