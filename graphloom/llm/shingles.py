@@ -203,6 +203,35 @@ def prefixes(docs: DataFrame, text_col: str, shingle: int, order: tuple[np.ndarr
     return in_arrow(docs.select(text_col), run, "key long, place int, id long, n int, " + ", ".join(f"{x} long" for x in names))
 
 
+#: Runs of a key over this many rows are looked at for a part that most of their rows share.
+LONG_RUN = 64
+
+
+def _pairs_of_parts(bounds: np.ndarray, part: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    """Row numbers (i, j) of each run's pairs, some of one part among them, but never all those of a part that holds over
+    half of a long run: there only the other rows meet the run's rows."""
+    size, role = np.diff(bounds), np.zeros(len(part), np.int8)
+    usual = np.ones(len(part), bool)
+    for k in np.flatnonzero(size > LONG_RUN):
+        a, b = int(bounds[k]), int(bounds[k + 1])
+        most = np.sort(part[a:b])[(b - a) // 2]  # a part of over half of the rows is the median
+        other = np.flatnonzero(part[a:b] != most) + a
+        if 2 * len(other) >= b - a:
+            continue
+        usual[a:b] = False
+        every = np.arange(a, b)
+        for i in other:  # two of the others meet once
+            j = every[(part[a:b] == most) | (every > i)]
+            j = j[(lo[i] == hi[i]) | (own[i] != own[j])]
+            yield np.full(len(j), i), j
+    left = np.flatnonzero(usual)
+    kept = usual[bounds[:-1]]
+    if len(left):
+        ends = np.append(0, np.cumsum(size[kept]))
+        for i, j in pairs(ends, role[left], own[left], lo[left], hi[left]):
+            yield left[i], left[j]
+
+
 def rest(rows: DataFrame, groups: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """Candidates (a, b) of all that may be similar enough, but for those already in one of ``groups``."""
     order = common(docs, text_col, shingle, max(1, rows.where("n > 0").count() // SAMPLE))
@@ -214,13 +243,16 @@ def rest(rows: DataFrame, groups: DataFrame, docs: DataFrame, text_col: str, shi
 
     def work(whole: pa.Table, bounds: np.ndarray):
         size = np.diff(bounds)
-        if not (size > 1).any():
+        part = whole.column("part").to_numpy()
+        # A key of one part only, such as that of a large group of close copies, has nothing left to find.
+        mixed = np.minimum.reduceat(part, bounds[:-1]) != np.maximum.reduceat(part, bounds[:-1])
+        if not mixed.any():
             return
-        whole, bounds = whole.filter(pa.array(np.repeat(size > 1, size))), np.append(0, np.cumsum(size[size > 1]))
+        whole, bounds = whole.filter(pa.array(np.repeat(mixed, size))), np.append(0, np.cumsum(size[mixed]))
         col = {x: whole.column(x).to_numpy() for x in whole.column_names}
         n, place, part = col["n"].astype(np.int64), col["place"].astype(np.int64), col["part"]
         bits, out = np.stack([col[f"s{k}"].view(np.uint64) for k in range(PARITY)]), []
-        for whole_i, whole_j in pairs(bounds, np.zeros(len(n), np.int8), col["own"], col["lo"], col["hi"]):
+        for whole_i, whole_j in _pairs_of_parts(bounds, part, col["own"], col["lo"], col["hi"]):
             for at in range(0, len(whole_i), STEP):
                 i, j = whole_i[at : at + STEP], whole_j[at : at + STEP]
                 ok = part[i] != part[j]

@@ -83,3 +83,20 @@ def test_parity_bits_differ_in_no_more_places_than_sets():
         differ = len({*x.tolist()} ^ {*y.tolist()})
         assert S._apart(*bits) <= differ and S._apart(bits[0], bits[0]) == 0
         assert n < 64 or S._apart(*bits) > 0.3 * min(n, m)  # enough bits to tell most pairs apart
+
+
+def test_rows_of_a_common_part_meet_the_others_only():
+    import numpy as np
+
+    from graphloom.llm import shingles as S
+
+    r = np.random.default_rng(7)
+    for _ in range(20):
+        size = r.integers(1, 200, 6)
+        bounds = np.append(0, np.cumsum(size))
+        part = np.concatenate([np.where(r.random(k) < r.choice([0.1, 0.6, 0.95]), 9, r.integers(0, 5, k)) for k in size])
+        lo, hi = (np.repeat(r.choice(x, 6), size) for x in ([0], [0, 1]))
+        own = np.where(r.random(len(part)) < 0.5, lo, hi)
+        got = [(min(i, j), max(i, j)) for a, b in S._pairs_of_parts(bounds, part, own, lo, hi) for i, j in zip(a.tolist(), b.tolist()) if part[i] != part[j]]
+        want = [(i, j) for a, b in zip(bounds[:-1], bounds[1:]) for i in range(a, b) for j in range(i + 1, b) if part[i] != part[j] and (lo[i] == hi[i] or own[i] != own[j])]
+        assert sorted(got) == want
