@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,12 +76,16 @@ class _Lines:
 
 def lines(page: str) -> list[tuple[str, bool, int, int]]:
     out, at = _Lines(), 0
+    last = page.rfind(">") + 1  # no tag begins after it, so none is looked for there; only a comment may
+    page = page[:last] + page[last:].partition("<!--")[0].replace("<", "&lt;")
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are never article
+    standing: Counter[str] = Counter()  # how many elements of each name are open
     never = inside = links = article = 0
 
     def pop() -> None:
         nonlocal never, inside, links
         name, no = stack.pop()
+        standing[name] -= 1
         never, inside, links = never - no, inside - (name in ("article", "main")), links - (name == "a")
 
     for token in _TOKEN.finditer(page):
@@ -99,7 +104,7 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
                 out.end(never > 0, article * (inside > 0))
             elif name == "br":
                 out.parts.append(" ")
-            if any(x[0] == name for x in stack):
+            if standing[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
@@ -122,6 +127,7 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
             if no and name not in BLOCKS:
                 out.end(never > 0, article * (inside > 0))
             stack.append((name, no))
+            standing[name] += 1
             article += name in ("article", "main") and not inside
             never, inside, links = never + no, inside + (name in ("article", "main")), links + (name == "a")
     if at < len(page):

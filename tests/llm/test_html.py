@@ -52,3 +52,13 @@ def test_teasers_in_articles_do_not_replace_an_unmarked_story():
     own = "".join(f"<p>{x}</p>" for x in story)
     text = html.main_text(page(f"<article>{own}<aside>no</aside><p>end</p></article><div>{'site ' * 30}</div>"))
     assert text.split("\n") == [*story, "end"]
+
+
+def test_long_odd_pages_take_linear_time():
+    import time
+
+    began = time.perf_counter()
+    assert html.main_text("<p>x" + "<a " * 100_000).startswith("x<a <a")
+    assert html.main_text("<i>y</b>" * 50_000).count("y") == 50_000
+    assert time.perf_counter() - began < 20
+    assert html.main_text("<p>a<!-- <p>b") == "a" and html.main_text("<p>a<script>b <!-- c") == "a" and html.main_text("<p>1 <2 &amp<") == "1 <2 &<"
