@@ -282,8 +282,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     rows = written(sets(docs, id_col, text_col, shingle), "shingles")
     first = verified(close(rows), rows, docs, text_col, shingle)
-    second = verified(rest(rows, checkpoint(components(first)), docs, text_col, shingle), rows, docs, text_col, shingle)
-    groups = components(first.unionByName(second))
+    known = checkpoint(components(first))
+    second = verified(rest(rows, known, docs, text_col, shingle), rows, docs, text_col, shingle)
+    groups = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
     named = rows.select("id", "text_hash", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))).alias("best")
     named = named.join(named.groupBy("component").agg(best), "component")
