@@ -1,8 +1,8 @@
 """Near-duplicates by the Jaccard similarity of distinct word shingles; no pair at the threshold is lost.
 
-Candidates are filters only, the sets of shingles decide.  Close copies come first, through operator 6's pigeonring
-(64-bit SimHash of the distinct shingles, 3 bits) and shared least hashes; what they link need not meet again.  The rest is
-a search that is whole by the pigeonhole principle: two sets with a similarity of p / q share one of their first
+Candidates are filters only, the sets of shingles decide.  Close copies come first: each with the first that shares its
+SimHash or a least hash.  What they link need not meet again.  Next are operator 6's pigeonring (64-bit SimHash of the
+distinct shingles, 3 bits) between different groups, and a search that is whole by the pigeonhole principle: two sets with a similarity of p / q share one of their first
 n - ceil(n * p / q) + 1 shingles in any common order (here: those common in a sample last).  Where they first meet, their
 sizes, places and the Hamming distance of 128 parity bits prune; before sets are compared, parity bits as many as shingles
 do.  A bit is the parity of the shingles that fall to it, so two sets differ in no more bits than shingles.
@@ -146,11 +146,13 @@ def verified(found: DataFrame, rows: DataFrame, docs: DataFrame, text_col: str,
     for x in "ab":
         found = found.join(bits.select(*(F.col(c).alias(f"{c}_{x}") for c in bits.columns)), F.col(x) == F.col(f"node_{x}"))
     found = checkpoint(in_arrow(found.select("a", "b", "n_a", "n_b", "parity_a", "parity_b"), prune, "a long, b long"))
+    few = 2 * found.count() <= BROADCAST
+    nodes = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    one = rows.join(F.broadcast(nodes) if few else nodes, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("h"))
     ends = found.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
-    one = rows.join(_small(ends.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("h"))
     texts = docs.select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     some = lists(texts.join(_small(checkpoint(one.select("h").distinct())), "h", "left_semi"), "text", shingle)
-    both = some.join(_small(ends), "node").groupBy("a", "b").agg(*(F.max(F.when(F.col("node") == F.col(x), F.col("shingles"))).alias(f"set_{x}") for x in "ab"))
+    both = some.join(F.broadcast(ends) if few else ends, "node").groupBy("a", "b").agg(*(F.max(F.when(F.col("node") == F.col(x), F.col("shingles"))).alias(f"set_{x}") for x in "ab"))
     return checkpoint(both.where((p + q) * F.size(F.array_intersect("set_a", "set_b")) >= p * (F.size("set_a") + F.size("set_b"))).select("a", "b"))
 
 
@@ -159,14 +161,20 @@ def _small(rows: DataFrame) -> DataFrame:
 
 
 def close(rows: DataFrame) -> DataFrame:
-    """Candidates (a, b) among close copies: near SimHashes, equal ones, and equal least hashes, each with the first."""
-    nodes = rows.where("n > 0")
-    prints = nodes.groupBy("f0").agg(F.min("node").alias("id"))
-    out = links(checkpoint(prints.select("id", "f0")), 1, CLOSE_BITS)
+    """Candidates (a, b) among close copies: those of equal SimHashes or equal least hashes, each with the first."""
     keys = F.explode(F.array("f0", *(F.xxhash64(F.lit(k), f"m{k}") for k in range(HASHES)))).alias("key")
-    keyed = nodes.select("node", keys)
+    keyed = rows.where("n > 0").select("node", keys)
     first = keyed.groupBy("key").agg(F.min("node").alias("b"))
-    return out.unionByName(keyed.join(first, "key").select(F.col("node").alias("a"), "b"))
+    return keyed.join(first, "key").select(F.col("node").alias("a"), "b")
+
+
+def pigeonring(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Candidates (a, b) of near SimHashes that are not yet in one of the groups ``known`` (id, part)."""
+    prints = rows.where("n > 0").groupBy("f0").agg(F.min("node").alias("id"))
+    out = links(checkpoint(prints.select("id", "f0")), 1, CLOSE_BITS)
+    for x in "ab":
+        out = out.join(known.select(F.col("id").alias(x), F.col("part").alias(f"part_{x}")), x, "left")
+    return out.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b")).select("a", "b")
 
 
 def common(docs: DataFrame, text_col: str, shingle: int, every: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,10 +240,9 @@ def _pairs_of_parts(bounds: np.ndarray, part: np.ndarray, own: np.ndarray, lo: n
             yield left[i], left[j]
 
 
-def rest(rows: DataFrame, groups: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Candidates (a, b) of all that may be similar enough, but for those already in one of ``groups``."""
+def rest(rows: DataFrame, known: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Candidates (a, b) of all that may be similar enough, but for those already in one of the groups ``known`` (id, part)."""
     order = common(docs, text_col, shingle, max(1, rows.where("n > 0").count() // SAMPLE))
-    known = _small(groups.select(F.col("node").alias("id"), F.col("component").alias("part")))
     first = prefixes(docs, text_col, shingle, order).join(known, "id", "left").withColumn("part", F.coalesce("part", "id"))
     some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0)
     some = prefixes(some, text_col, shingle, order)
@@ -282,9 +289,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """
     rows = written(sets(docs, id_col, text_col, shingle), "shingles")
     first = verified(close(rows), rows, docs, text_col, shingle)
-    known = checkpoint(components(first))
-    second = verified(rest(rows, known, docs, text_col, shingle), rows, docs, text_col, shingle)
-    groups = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(second))
+    known = _small(checkpoint(components(first).select(F.col("node").alias("id"), F.col("component").alias("part"))))
+    others = pigeonring(rows, known).unionByName(rest(rows, known, docs, text_col, shingle))
+    second = verified(others, rows, docs, text_col, shingle)
+    groups = components(known.select(F.col("id").alias("a"), F.col("part").alias("b")).unionByName(second))
     named = rows.select("id", "text_hash", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "text_hash"))).alias("best")
     named = named.join(named.groupBy("component").agg(best), "component")
