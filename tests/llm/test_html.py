@@ -62,3 +62,35 @@ def test_long_odd_pages_take_linear_time():
     assert html.main_text("<i>y</b>" * 50_000).count("y") == 50_000
     assert time.perf_counter() - began < 20
     assert html.main_text("<p>a<!-- <p>b") == "a" and html.main_text("<p>a<script>b <!-- c") == "a" and html.main_text("<p>1 <2 &amp<") == "1 <2 &<"
+
+
+def test_sums_alone_find_the_article_of_pages_without_marks(sf):
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table(f"{sf}/pages.parquet", columns=["html"]).column("html").to_pylist()
+    assert pages
+    for marked in pages:
+        bare = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", marked)
+        assert html.main_text(bare) == html.main_text(marked)
+
+
+def test_stretches_equal_brute_force_windows():
+    """Unmarked pages: a line is kept if it lies in a run of windows with text, one of which is over the threshold."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        lines = [rng.choice(["", "", "", "x" * rng.randint(1, 20), "y" * rng.randint(30, 60)]) for _ in range(rng.randint(1, 40))]
+        body = "".join(f"<p>{x}</p>" if x else "<nav>menu</nav>" for x in lines)
+        flat = [y for x in lines for y in ([x] if x else [""] * html.WINDOW)] + [""] * html.WINDOW
+        groups, run = [], []
+        for k in range(len(flat)):
+            if any(flat[k : k + html.WINDOW]):
+                run.append(k)
+            elif run:
+                groups, run = [*groups, run], []
+        groups += [run] * bool(run)
+        most = [max(sum(map(len, flat[k : k + html.WINDOW])) for k in g) for g in groups]
+        strong = [g for g, m in zip(groups, most, strict=True) if m > html.SURGE] or [g for g, m in zip(groups, most, strict=True) if m == max(most)][:1]
+        want = [flat[k] for g in strong for k in range(g[0], g[-1] + html.WINDOW) if k < len(flat) and flat[k]]
+        assert html.main_text(page(body)) == "\n".join(want)
