@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, itq, langid, lm, mixing, recipes, simhash, urls
+from . import bpe, chat, html, itq, langid, lm, mixing, pieces, pq, recipes, simhash, urls
 from .common import table
 
 
@@ -130,6 +130,55 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pq.encoded(table(spark, sf_dir, "embeddings"))
+
+
+def _op12_sql() -> str:
+    """Assignment and means of each round, spelled out."""
+
+    def assigned(n: int) -> str:
+        return f"""a{n} AS (
+  SELECT r, vec_id, p, arg_min(e, d2 * 64 + e) AS e, min(d2) AS d2 FROM (
+    SELECT x.r, x.vec_id, x.p, b.e, list_sum(list_transform(list_zip(x.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d2
+    FROM x JOIN b{n} b ON x.p = b.p) GROUP BY r, vec_id, p
+)"""
+
+    rounds = ""
+    for n in range(2):
+        rounds += f"""{assigned(n)}, m{n} AS (
+  SELECT p, e, list(f ORDER BY i) AS v FROM (
+    SELECT x.p, a.e, i, floor(sum(x.v[i])::DOUBLE / count(*))::BIGINT AS f
+    FROM x JOIN a{n} a ON x.r = a.r AND x.p = a.p, unnest(range(1, len(x.v) + 1)) AS t(i) GROUP BY x.p, a.e, i) GROUP BY p, e
+), b{n + 1} AS (
+  SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM b{n} b LEFT JOIN m{n} m ON m.p = b.p AND m.e = b.e
+), """
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label,
+         list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), x AS (
+  SELECT r, vec_id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS v FROM k, unnest(range(0, 16)) AS t(p)
+), b0 AS (
+  SELECT p, r - 1 AS e, v FROM x WHERE r <= 64
+), {rounds}{assigned(2)}, s AS (
+  SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b2
+), c AS (
+  SELECT r, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d2)::BIGINT AS error FROM a2 GROUP BY r
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM c JOIN k USING (r), s
+"""
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return pieces.encoded(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_lm_scoring": op2_lm_scoring,
@@ -141,5 +190,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_html_extraction": op10_html_extraction,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_sentencepiece": op13_sentencepiece,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_exact_dedup": OP7_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op12_vector_codes": _op12_sql()}
