@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, itq, langid, lm, mixing, pieces, pq, recipes, simhash, urls
+from . import bpe, chat, html, itq, langid, lexical, lm, mixing, pieces, pq, recipes, simhash, urls
 from .common import table
 
 
@@ -130,6 +130,36 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, text FROM documents
+  UNION ALL SELECT 'q', row_number() OVER (), item_id, text FROM benchmark
+), w AS (
+  SELECT kind, r, id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM t
+), s AS (
+  SELECT count(*) AS big_n, sum(len(ts))::BIGINT AS big_l FROM w WHERE kind = 'd' AND len(ts) > 0
+), tf AS (
+  SELECT kind, r, id, n, term, count(*) AS tf FROM (SELECT kind, r, id, len(ts) AS n, unnest(ts) AS term FROM w) GROUP BY ALL
+), d AS (
+  SELECT r, id, n, term, tf, count(*) OVER (PARTITION BY term) AS df FROM tf WHERE kind = 'd'
+), i AS (
+  SELECT r, id, term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT
+         * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * big_n) // big_l)))) AS impact
+  FROM d, s
+), scored AS (
+  SELECT q.r AS q, q.id AS item_id, i.r, i.id AS doc_id, sum(q.tf * i.impact)::BIGINT AS score
+  FROM tf q JOIN i USING (term) WHERE q.kind = 'q' GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.encoded(table(spark, sf_dir, "embeddings"))
 
@@ -190,7 +220,8 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_chat_format": op9_chat_format,
     "op10_html_extraction": op10_html_extraction,
+    "op11_lexical_search": op11_lexical_search,
     "op12_vector_codes": op12_vector_codes,
     "op13_sentencepiece": op13_sentencepiece,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op12_vector_codes": _op12_sql()}
+ORACLES = {"op4_mixing": OP4_SQL, "op5_url_filter": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op11_lexical_search": OP11_SQL, "op12_vector_codes": _op12_sql()}
