@@ -14,8 +14,6 @@ from ..functions.text import cosine, embedding_text
 
 #: BM25's usual constants.
 K1, B = 1.2, 0.75
-#: An inverted index of at most this many query terms is looked up by broadcast.
-TERMS_BROADCAST = 100_000
 
 
 def to_embed(chunks: DataFrame, properties: list[str], document: str | None = None, again: bool = False) -> DataFrame:
@@ -88,14 +86,7 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id"
             v = np.array(frame["v"].tolist(), float)
             size = np.sqrt((v * v).sum(axis=1))
             frame, v = frame[size > 0], v[size > 0] / size[size > 0, None]
-            scores = np.round(v @ unit.T, 9)
-            for q, name in enumerate(names):
-                score = scores[:, q]
-                if k < len(score):  # all that reach the k-th best, ties included
-                    score = score[(at := np.flatnonzero(score >= np.partition(score, -k)[-k]))]
-                else:
-                    at = np.arange(len(score))
-                yield pd.DataFrame({query_key: [name] * len(at), key: frame[key].to_numpy()[at], "score": score})
+            yield from best_of_batch(v @ unit.T, names, frame[key].to_numpy(), k, query_key, key)
 
     rows = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
     found = rows.mapInPandas(run, f"{query_key} {kind}, {key} {own}, score double")
@@ -103,6 +94,18 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id"
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def best_of_batch(scores: np.ndarray, names: list, ids: np.ndarray, k: int, query_key: str, key: str) -> Iterator[pd.DataFrame]:
+    """For each query (a column of scores) the rows that reach its k-th best, ties included."""
+    scores = np.round(scores, 9)
+    for q, name in enumerate(names):
+        score = scores[:, q]
+        if k < len(score):
+            score = score[(at := np.flatnonzero(score >= np.partition(score, -k)[-k]))]
+        else:
+            at = np.arange(len(score))
+        yield pd.DataFrame({query_key: [name] * len(at), key: ids[at], "score": score})
+
+
 def nearest(vectors: DataFrame, query: Column, k: int, key: str, vector: str, where: Column | None = None) -> DataFrame:
     """(key, score): the k rows of highest cosine after the filter; ties go to the smaller key.
 
@@ -117,33 +120,6 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"([^ \t\r\n\f]+)"), 1)
 
 
-def inverted_index(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf, length) of every text."""
-    words = rows.select(key, terms(F.col(text)).alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    return words.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
-
-
-def full_text(rows: DataFrame, queries: DataFrame, k: int, key: str, text: str = "text", query_key: str = "query_id", query: str = "query") -> DataFrame:
-    """(query_key, key, score, rank): the k best texts of each query by BM25; ties go to the smaller key.
-
-    Only words of the queries are kept before counting, so the shuffle follows the hits and not the corpus.
-    """
-    asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
-    wanted = asked.select("term").distinct()
-    total = rows.agg(F.count("*").alias("_n"), F.avg(F.size(terms(F.col(text)))).alias("_mean"))
-    n_terms = wanted.limit(TERMS_BROADCAST + 1).count()
-    words = rows.select(key, terms(F.col(text)).alias("_t")).select(key, F.size("_t").alias("length"), F.explode("_t").alias("term"))
-    words = words.join(F.broadcast(wanted) if n_terms <= TERMS_BROADCAST else wanted, "term", "left_semi")
-    hits = words.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("_df"))
-    found = hits.join(df, "term").join(asked, "term").crossJoin(F.broadcast(total))  # total is one row
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("_mean")))
-    score = found.groupBy(query_key, key).agg(F.sum(weight).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key)
-    return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def fused(*ranked: DataFrame, key: str, query_key: str, k: int, constant: int = 60) -> DataFrame:
     """(query_key, key, score, rank): reciprocal-rank fusion of ranked lists (query_key, key, rank), k for each query."""
     rows = reduce(DataFrame.unionByName, [r.select(query_key, key, "rank") for r in ranked])

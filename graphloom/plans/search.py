@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_dir
 from ..functions.text import embedding_text
 from ..operators import retrieval
+from ..operators.textindex import TextIndex
+from ..operators.vectorindex import VectorIndex
 from .registry import query, table
 
 _Q = "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0) "
@@ -30,6 +35,37 @@ def vector_topk_prefilter(spark, sf_dir):
     return found.select("vec_id", F.round("score", 6).alias("score"))
 
 
+#: Indexes by session, tables and kind: made once, then read by every search of the session.
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def _kept(spark, sf_dir, kind, make):
+    name = spark.sparkContext.applicationId, sf_dir, kind
+    if name not in _KEPT:
+        _KEPT[name] = make(f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}")
+    return _KEPT[name]
+
+
+def text_index(spark, sf_dir):
+    make = lambda path: TextIndex.create(spark, path, table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return _kept(spark, sf_dir, "text", make)
+
+
+def vector_index(spark, sf_dir):
+    make = lambda path: VectorIndex.create(spark, path, table(spark, sf_dir, "embeddings"), "vec_id", "embedding", ("label",))
+    return _kept(spark, sf_dir, "vectors", make)
+
+
+def word_vectors(spark, sf_dir):
+    """Hashed-word vectors of all documents, as a table."""
+
+    def make(path):
+        retrieval.hashed_words(table(spark, sf_dir, "documents"), "doc_id", "text").write.parquet(path)
+        return path
+
+    return spark.read.parquet(_kept(spark, sf_dir, "words", make))
+
+
 _BM25 = r"""WITH t AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\r\n\f]+') AS w FROM documents
 ), s AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM t
@@ -46,9 +82,31 @@ _BM25 = r"""WITH t AS (
 
 @query(_BM25 + "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM r QUALIFY rank <= 5")
 def fulltext_bm25(spark, sf_dir):
-    docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    found = retrieval.full_text(docs, asked, 5, "doc_id", query_key="item_id", query="text")
-    return found.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    """Looks the questions up in the index of the session; no document is read."""
+    found = text_index(spark, sf_dir).search(table(spark, sf_dir, "benchmark"), 5, "item_id", "text")
+    return found.select("item_id", "rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(_BM25.rstrip() + ", o AS (SELECT term, sum(tf)::BIGINT AS occurrences, max(tf) AS most_tf, min(length) AS least_length FROM tf GROUP BY 1) SELECT term, df, occurrences, most_tf, least_length FROM df JOIN o USING (term)")
+def fulltext_index(spark, sf_dir):
+    """Makes an index of all documents and gives its vocabulary."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return TextIndex.create(spark, f"{shared_dir(spark)}/text-{uuid.uuid4().hex}", docs, "doc_id").vocabulary()
+
+
+_LATER = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || ' zebra ' || coalesce(source, '') ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0"
+
+
+@query(_BM25.replace("FROM documents", f"FROM ({_LATER})") + "SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank, doc_id, round(score, 6) AS score FROM r QUALIFY rank <= 10")
+def fulltext_versions(spark, sf_dir):
+    """An index kept up to date: a first batch, a second, new versions of a fifth, a seventh removed; then searched."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    index = TextIndex.create(spark, f"{shared_dir(spark)}/text-{uuid.uuid4().hex}", docs.where("doc_id % 3 <> 0"), "doc_id")
+    index = index.added(docs.where("doc_id % 3 = 0"), "doc_id")
+    later = docs.where("doc_id % 5 = 0").withColumn("text", F.concat("text", F.lit(" zebra "), F.coalesce("source", F.lit(""))))
+    index = index.added(later, "doc_id").removed(docs.where("doc_id % 7 = 0"), "doc_id")
+    found = index.search(table(spark, sf_dir, "benchmark"), 10, "item_id", "text")
+    return found.select("item_id", "rank", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(_BM25.rstrip() + r""", hw AS (
@@ -65,11 +123,11 @@ def fulltext_bm25(spark, sf_dir):
 ), f AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (rank + 60)), 9) AS score FROM ranked GROUP BY ALL)
 SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10""")
 def hybrid(spark, sf_dir):
-    """Words and hashed-word vectors of every question, fused by rank."""
-    docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
-    words = retrieval.full_text(docs, asked, 50, "doc_id", query_key="item_id", query="text")
-    vectors, questions = (retrieval.hashed_words(rows, key, "text") for rows, key in ((docs, "doc_id"), (asked, "item_id")))
-    near = retrieval.nearest_many(vectors, questions, 50, "doc_id", "vector", "item_id", "vector")
+    """Words and hashed-word vectors of every question, fused by rank; both are read from what the session keeps."""
+    asked = table(spark, sf_dir, "benchmark")
+    words = text_index(spark, sf_dir).search(asked, 50, "item_id", "text").withColumnRenamed("key", "doc_id")
+    questions = retrieval.hashed_words(asked, "item_id", "text")
+    near = retrieval.nearest_many(word_vectors(spark, sf_dir), questions, 50, "doc_id", "vector", "item_id", "vector")
     return retrieval.fused(words, near, key="doc_id", query_key="item_id", k=10)
 
 
@@ -82,6 +140,30 @@ def vector_search_many(spark, sf_dir):
     return found.withColumn("score", F.round("score", 6))
 
 
+def _asked(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query()
+def vector_index_search(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against the index; tested for recall against ``vector_search_many``."""
+    return vector_index(spark, sf_dir).search(_asked(spark, sf_dir), 10).withColumn("score", F.round("score", 6))
+
+
+@query()
+def vector_index_filtered(spark, sf_dir):
+    """The same among the vectors of two labels."""
+    found = vector_index(spark, sf_dir).search(_asked(spark, sf_dir), 10, where=F.col("label").isin(1, 2))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query()
+def vector_index_report(spark, sf_dir):
+    """How many rows each of these searches reads, of how many."""
+    return vector_index(spark, sf_dir).report(_asked(spark, sf_dir))
+
+
 @query("SELECT s_suppkey, trim(s_name || ' ' || coalesce(n_name, '') || ' ' || CASE WHEN s_acctbal > 0 THEN 'solvent' ELSE '' END || ' end') AS input FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey")
 def embed_text(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
