@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip, strip_images, token_count, tokens
 from .graph import chain, numbered
+from .stream import streamed
 
 PARAGRAPH_GAP = "\n\n"
 
@@ -63,74 +63,85 @@ def by_section(elements: DataFrame, sections: DataFrame, membership: DataFrame,
     return numbered(out, ["document_id"], ["ordinal", "part", "pos"], F.col("document_id").cast("string"), "_chunk_")
 
 
-_STRUCTURED = "document_id {0}, pos int, kind string, text string, element_ids array<string>, section_heading string, section_context string"
+_STRUCTURED = "pos long, kind string, text string, element_ids array<string>, section_heading string, section_context string"
 
 
 def structured(elements: DataFrame, captions: DataFrame | None = None, size: int = 500) -> DataFrame:
     """Elements gathered in reading order into chunks of up to ``size`` tokens.
 
     A heading closes a chunk that is half full; a heading at the end of a full chunk moves to the next; an element over
-    the size is a chunk of its own; tables and images follow the text, with their caption as context.  The state runs
-    through a document, so each document is one group in Python.  ``captions``: (target_id, caption).
+    the size is a chunk of its own; tables and images follow the text, with their caption as context.  Elements run through
+    ``Gather`` in order; what is held of a document is one chunk.  ``captions``: (target_id, caption).
     """
-    caption = F.lit(None).cast("string").alias("caption")
-    rows = elements
+    rows = elements.withColumn("id", F.col("id").cast("string"))
     if captions is not None:
         rows = rows.join(captions.select(F.col("target_id").alias("id"), "caption"), "id", "left")
-        caption = F.col("caption")
-    rows = rows.select("document_id", F.col("id").cast("string").alias("id"), "seq", "type", "text", caption)
-    kind = elements.schema["document_id"].dataType.simpleString()
-    found = rows.groupBy("document_id").applyInPandas(lambda pdf: gather(pdf, size), _STRUCTURED.format(kind))
+    else:
+        rows = rows.withColumn("caption", F.lit(None).cast("string"))
+    columns = ["id", "type", "text", "caption"]
+    found = streamed(rows.select("document_id", "seq", *columns), ["document_id"], ["seq"], columns, lambda: Gather(size), _STRUCTURED)
     found = found.withColumn("token_count", token_count(F.col("text"))).withColumn("_special", F.col("kind") != "text")
     return numbered(found, ["document_id"], ["_special", "pos"], F.col("document_id").cast("string"), "_chunk_").drop("_special", "pos")
 
 
 _TOKEN = re.compile(r"[^ \t\r\n\f]+")
-
-
-def gather(pdf: pd.DataFrame, size: int) -> pd.DataFrame:
-    """The chunks of one document."""
-    out: list[tuple] = []
-    special: list[tuple] = []
-    held: list[tuple[str, str, bool, int]] = []  # id, text, whether a heading, tokens
-    heading = at_start = ""
-
-    def close() -> None:
-        if held:
-            text = PARAGRAPH_GAP.join(x[1] for x in held)
-            out.append(("text", text, [x[0] for x in held], at_start, at_start))
-            held.clear()
-
-    for row in pdf.sort_values("seq").itertuples(index=False):
-        text = (row.text or "").strip()
-        if row.type in ("table", "image"):
-            special.append((row.type, re.sub(r"!\[[^\]]*\]\(data:image/[^)]*\)", "", text).strip() or text, [row.id], heading, row.caption or heading))
-            continue
+_IMAGE = re.compile(r"!\[[^\]]*\]\(data:image/[^)]*\)")
+
+
+class Gather:
+    """Structured chunking of one document, an element at a time."""
+
+    def __init__(self, size: int):
+        self.size, self.given = size, 0
+        self.held: list[tuple[str, str, bool, int]] = []  # id, text, whether a heading, tokens
+        self.total = 0
+        self.heading = self.at_start = ""
+
+    def _chunk(self, kind: str, text: str, ids: list[str], heading: str, context: str) -> tuple:
+        self.given += 1
+        return self.given, kind, text, ids, heading, context
+
+    def end(self) -> list[tuple]:
+        """Closes the chunk that is held."""
+        if not self.held:
+            return []
+        out = self._chunk("text", PARAGRAPH_GAP.join(x[1] for x in self.held), [x[0] for x in self.held], self.at_start, self.at_start)
+        self.held, self.total = [], 0
+        return [out]
+
+    def _hold(self, *element) -> None:
+        self.held.append(element)
+        self.total += element[3]
+
+    def row(self, name: str, kind: str, text: str | None, caption: str | None) -> list[tuple]:
+        text = (text or "").strip()
+        if kind in ("table", "image"):
+            return [self._chunk(kind, _IMAGE.sub("", text).strip() or text, [name], self.heading, caption or self.heading)]
         if not text:
-            continue
-        is_heading, n = row.type == "heading", len(_TOKEN.findall(text))
+            return []
+        out, is_heading, n = [], kind == "heading", len(_TOKEN.findall(text))
         if is_heading:
-            heading = text
-            if sum(x[3] for x in held) >= size // 2:
-                close()
-        if not held:
-            at_start = heading
-        if n > size:
-            close()
-            at_start = heading
-            out.append(("text", text, [row.id], heading, heading))
-            continue
-        if held and sum(x[3] for x in held) + n > size:
-            carried = held.pop() if len(held) > 1 and held[-1][2] else None
-            close()
-            at_start = heading
+            self.heading = text
+            if self.total >= self.size // 2:
+                out += self.end()
+        if not self.held:
+            self.at_start = self.heading
+        if n > self.size:
+            out += self.end()
+            self.at_start = self.heading
+            return [*out, self._chunk("text", text, [name], self.heading, self.heading)]
+        if self.held and self.total + n > self.size:
+            carried = None
+            if len(self.held) > 1 and self.held[-1][2]:
+                carried = self.held.pop()
+                self.total -= carried[3]
+            out += self.end()
+            self.at_start = self.heading
             if carried:
-                heading = at_start = carried[1]
-                held.append(carried)
-        held.append((row.id, text, is_heading, n))
-    close()
-    rows = [(pdf["document_id"].iloc[0], k, *x) for k, x in enumerate(out + special)]
-    return pd.DataFrame(rows, columns=["document_id", "pos", "kind", "text", "element_ids", "section_heading", "section_context"])
+                self.heading = self.at_start = carried[1]
+                self._hold(*carried)
+        self._hold(name, text, is_heading, n)
+        return out
 
 
 def next_chunks(chunks: DataFrame, key: str = "document_id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint
+from .scan import scanned
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,13 @@ def chain(nodes: DataFrame, parent: list[str], order: list[str], key: str = "id"
     return nodes.select(*parent, F.col(key).alias("src"), F.lead(key).over(w).alias("dst")).where("dst is not null")
 
 
+def long_chain(nodes: DataFrame, parent: list[str], order: list[str], key: str = "id") -> DataFrame:
+    """As ``chain``, for parents with so many nodes that no task should hold one; (*parent, src, number, dst)."""
+    rows = nodes.select(*dict.fromkeys([*parent, *order, key]))
+    found = scanned(rows, parent, order, follower=key).where("next is not null")
+    return found.select(*parent, F.col(key).alias("src"), "number", F.col("next").alias("dst"))
+
+
 def walk(nodes: DataFrame, edges: DataFrame, depth: int | None = None, key: str = "id") -> DataFrame:
     """(id, head, position) along NEXT edges from each node without an inbound one; ids in cycles are orphans at -1.
 

@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scan import scanned
+
 #: Tables that go with a document, in the order in which they are reported.
 PARTS = ("chunk", "section", "element", "image", "table", "page", "document")
 
 
 def versioned(rows: DataFrame, source: str, order: str, known: DataFrame | None = None) -> DataFrame:
-    """Adds source_id, version, id and active.  Versions of a source go on from its greatest known one; the last is active."""
-    w = Window.partitionBy(source)
-    n = F.row_number().over(w.orderBy(order))
+    """Adds source_id, version, id and active.  Versions of a source go on from its greatest known one; the last is active.
+
+    A source with very many versions is numbered by several tasks (see ``scan``)."""
+    rows = scanned(rows, [source], [order]).withColumnsRenamed({"number": "version", "last": "active"})
     if known is not None:
         last = known.groupBy(F.col("source_id").alias(source)).agg(F.max("version").alias("_last"))
-        rows, n = rows.join(last, source, "left"), n + F.coalesce("_last", F.lit(0))
-    rows = rows.withColumn("version", n).withColumn("source_id", F.col(source))
-    rows = rows.withColumn("id", F.concat("source_id", F.lit("_v"), F.col("version").cast("string")))
-    return rows.withColumn("active", F.col("version") == F.max("version").over(w)).drop("_last")
+        rows = rows.join(last, source, "left").withColumn("version", F.col("version") + F.coalesce("_last", F.lit(0))).drop("_last")
+    rows = rows.withColumns({"source_id": F.col(source), "version": F.col("version").cast("int")})
+    return rows.withColumn("id", F.concat("source_id", F.lit("_v"), F.col("version").cast("string")))
 
 
 def activated(documents: DataFrame, document_id: str) -> DataFrame:

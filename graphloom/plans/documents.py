@@ -72,6 +72,12 @@ def list_documents(spark, sf_dir):
     return found.select("source_id", "n_versions", "n_chunks", "n_elements", "n_pages", "latest")
 
 
+@query("SELECT source, doc_id AS src, row_number() OVER w AS number, lead(doc_id) OVER w AS dst FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id) QUALIFY dst IS NOT NULL")
+def source_chain(spark, sf_dir):
+    """The documents of a source, linked in order; a source may hold a third of them."""
+    return graph.long_chain(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "doc_id")
+
+
 @query(LINES + "SELECT document_id, idx, text, token_count FROM chunks")
 def chunk_token_window(spark, sf_dir):
     return windows(spark, sf_dir)
@@ -120,6 +126,19 @@ def section_parent(spark, sf_dir):
     return layout.section_parents(sections(spark, sf_dir)).select("document_id", "ordinal", "level", "parent_ordinal")
 
 
+_DEEP = LINES + """, deep AS (
+  SELECT doc_id AS document_id, i - 1 AS ordinal, (i * 7919 + len(string_split(text, chr(10))[i]) * 31) % 40 + 1 AS level
+  FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS t(i)
+)"""
+
+
+@query(_DEEP + "SELECT document_id, ordinal, level, (SELECT max(p.ordinal) FROM deep p WHERE p.document_id = c.document_id AND p.ordinal < c.ordinal AND p.level < c.level) AS parent_ordinal FROM deep c")
+def deep_parents(spark, sf_dir):
+    """Every line a heading, of forty levels."""
+    rows = elements(spark, sf_dir).select("document_id", F.col("seq").alias("ordinal"), (((F.col("seq") + 1) * 7919 + F.length("text") * 31) % 40 + 1).alias("level"))
+    return layout.section_parents(rows)
+
+
 _TREE = LINES.replace("WITH lines", "WITH RECURSIVE lines") + """, tree AS (
   SELECT *, (SELECT max(p.ordinal) FROM sections p WHERE p.document_id = c.document_id AND p.ordinal < c.ordinal AND p.level < c.level) AS parent_ordinal FROM sections c
 )"""
@@ -167,14 +186,66 @@ def by_section(spark, sf_dir):
     return chunk.by_section(e, s, member).select("document_id", "idx", "type", "text")
 
 
-@query()
+#: Structured chunking, an element of each document a step: of the chunk that is open, its number, the heading it began
+#: under, its tokens, elements and whether a heading is last (with that heading's text and tokens); ``moved``: the heading
+#: before goes with this element.
+_STRUCTURED = LINES.replace("WITH lines", "WITH RECURSIVE lines") + r""", cap AS (
+  SELECT document_id, target_seq, arg_min(caption, caption_seq) AS caption FROM (
+    SELECT c.document_id, c.seq AS caption_seq, c.text AS caption, t.seq AS target_seq FROM elements c JOIN elements t ON t.document_id = c.document_id AND t.type = 'table' AND abs(t.seq - c.seq) <= 3
+    WHERE c.type = 'caption' QUALIFY row_number() OVER (PARTITION BY c.document_id, c.seq ORDER BY abs(t.seq - c.seq), t.seq) = 1) GROUP BY ALL
+), e AS (
+  SELECT elements.document_id, seq, id, type, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text, caption,
+         len(regexp_extract_all(text, '[^ 	
+]+')) AS n, row_number() OVER (PARTITION BY elements.document_id ORDER BY seq) AS i
+  FROM elements LEFT JOIN cap ON cap.document_id = elements.document_id AND target_seq = seq
+), s AS (
+  SELECT document_id, 0::BIGINT AS i, 0::BIGINT AS c, '' AS h, '' AS st, 0::BIGINT AS tot, 0::BIGINT AS cnt, false AS lh, '' AS lt, 0::BIGINT AS ln, false AS moved, 'none' AS put FROM (SELECT DISTINCT document_id FROM e)
+  UNION ALL
+  SELECT document_id, i, CASE WHEN put = 'over' THEN c2 + 1 ELSE c2 + (put = 'next')::BIGINT END,
+         CASE WHEN moved THEN lt ELSE h2 END,
+         CASE WHEN put = 'skip' THEN st WHEN moved THEN lt WHEN put IN ('next', 'over') OR cnt2 = 0 THEN h2 ELSE st END,
+         CASE put WHEN 'skip' THEN tot WHEN 'over' THEN 0 WHEN 'next' THEN n + CASE WHEN moved THEN ln ELSE 0 END ELSE tot2 + n END,
+         CASE put WHEN 'skip' THEN cnt WHEN 'over' THEN 0 WHEN 'next' THEN 1 + moved::BIGINT ELSE cnt2 + 1 END,
+         CASE put WHEN 'skip' THEN lh WHEN 'over' THEN false ELSE type = 'heading' END, CASE put WHEN 'skip' THEN lt ELSE text END, CASE put WHEN 'skip' THEN ln ELSE n END, moved,
+         CASE WHEN put = 'over' THEN 'over' WHEN put = 'skip' THEN 'skip' ELSE 'in' END
+  FROM (
+    SELECT *, put = 'next' AND cnt2 > 1 AND lh AS moved FROM (
+      SELECT *, CASE WHEN type = 'table' OR text = '' THEN 'skip' WHEN n > 120 THEN 'over' WHEN cnt2 > 0 AND tot2 + n > 120 THEN 'next' ELSE 'in' END AS put,
+      FROM (
+        SELECT e.document_id, e.i, e.type, e.text, e.n, s.st, s.tot, s.cnt, s.lh, s.lt, s.ln,
+               CASE WHEN e.type = 'heading' AND e.text <> '' THEN e.text ELSE s.h END AS h2, close, CASE WHEN close THEN 0 ELSE s.cnt END AS cnt2, CASE WHEN close THEN 0 ELSE s.tot END AS tot2,
+               s.c + (close OR (e.n > 120 AND e.type <> 'table' AND e.text <> '' AND s.cnt > 0))::BIGINT AS c2
+        FROM s JOIN e ON e.document_id = s.document_id AND e.i = s.i + 1,
+             LATERAL (SELECT e.type = 'heading' AND e.text <> '' AND s.tot >= 60 AND s.cnt > 0 AS close) AS x
+      )
+    )
+  )
+), put AS (
+  SELECT s.document_id, e.seq, e.id, e.text, e.type, e.caption, s.put, s.h, s.st, s.c - (s.put = 'over')::BIGINT AS own, lead(s.moved AND s.put = 'in') OVER w AS goes, lead(s.c) OVER w AS nxt
+  FROM s JOIN e ON e.document_id = s.document_id AND e.i = s.i WHERE s.put <> 'skip' WINDOW w AS (PARTITION BY s.document_id ORDER BY s.i)
+), txt AS (
+  SELECT document_id, CASE WHEN goes THEN nxt ELSE own END AS chunk, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS text, list(id ORDER BY seq) AS element_ids,
+         arg_max(CASE WHEN goes THEN text ELSE CASE WHEN put = 'over' THEN h ELSE st END END, seq) AS heading
+  FROM put GROUP BY 1, 2
+), every AS (
+  SELECT document_id, 0 AS part, chunk AS pos, 'text' AS kind, text, element_ids, heading AS section_heading, heading AS section_context FROM txt
+  UNION ALL
+  SELECT s.document_id, 1, e.seq, 'table', e.text, [e.id], s.h, coalesce(nullif(e.caption, ''), s.h) FROM s JOIN e ON e.document_id = s.document_id AND e.i = s.i WHERE e.type = 'table'
+)
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY part, pos) - 1 AS idx, kind, text, array_to_string(element_ids, ' ') AS element_ids, section_heading, section_context,
+       len(regexp_extract_all(text, '[^ 	
+]+')) AS token_count FROM every"""
+
+
+@query(_STRUCTURED)
 def chunk_structured(spark, sf_dir):
     e = elements(spark, sf_dir)
     text = e.select(F.col("document_id"), F.col("seq").alias("caption_seq"), F.col("text").alias("caption"))
     caps = layout.captions(e).join(text, ["document_id", "caption_seq"])
     caps = caps.groupBy("document_id", "target_seq").agg(F.min_by("caption", "caption_seq").alias("caption"))
     caps = caps.select(F.concat(F.col("document_id").cast("string"), F.lit("_elem_"), F.col("target_seq").cast("string")).alias("target_id"), "caption")
-    return chunk.structured(e, caps, size=120)
+    found = chunk.structured(e, caps, size=120)
+    return found.select("document_id", "idx", "kind", "text", F.array_join("element_ids", " ").alias("element_ids"), "section_heading", "section_context", "token_count")
 
 
 @query(LINES + ", n AS (SELECT document_id, substr(md5(lower(trim(text))), 1, 12) AS hash, count(*) AS n FROM elements WHERE length(trim(text)) >= 5 GROUP BY 1, 2), p AS (SELECT document_id, count(DISTINCT page_number) AS pages FROM elements GROUP BY 1) SELECT document_id, hash, n FROM n JOIN p USING (document_id) WHERE pages >= 3 AND n >= 0.5 * pages")
@@ -188,6 +259,29 @@ def heading_heuristic(spark, sf_dir):
     return layout.headings_by_font(rows).select("document_id", "seq", "is_heading")
 
 
+@query(_TREE + r""", paths AS (
+  SELECT document_id, ordinal, coalesce(nullif(title, ''), '(untitled)') AS path FROM tree WHERE parent_ordinal IS NULL
+  UNION ALL SELECT t.document_id, t.ordinal, p.path || ' > ' || coalesce(nullif(t.title, ''), '(untitled)') FROM paths p JOIN tree t ON t.document_id = p.document_id AND t.parent_ordinal = p.ordinal
+), c AS (
+  SELECT document_id, page_number, string_agg(text, chr(10) || chr(10) ORDER BY seq) AS body, min(seq) FILTER (type = 'heading') AS head, min(seq) AS start FROM elements WHERE trim(text) <> '' GROUP BY 1, 2
+), k AS (
+  SELECT c.document_id, c.page_number, coalesce(h.text, '') AS heading, c.page_number % 2 = 0 AS linked, (SELECT max(s.ordinal) FROM sections s WHERE s.document_id = c.document_id AND s.ordinal <= start) AS own
+  FROM c LEFT JOIN elements h ON h.document_id = c.document_id AND h.seq = head
+)
+SELECT k.document_id, page_number, coalesce(CASE WHEN linked THEN (SELECT path FROM paths p WHERE p.document_id = k.document_id AND p.ordinal = own) END,
+  CASE WHEN heading <> '' THEN (SELECT arg_min(path, ordinal) FROM paths p WHERE p.document_id = k.document_id AND ends_with(path, heading)) END) AS section_path FROM k""")
+def chunk_section_path(spark, sf_dir):
+    """Chunks of pages: even ones know the section of their first element, odd ones only their first heading."""
+    e = layout.current_section(elements(spark, sf_dir)).where(F.trim("text") != "")
+    name = F.concat_ws("_", "document_id", "page_number")
+    chunks = e.groupBy("document_id", "page_number", name.alias("id")).agg(F.min(F.struct("seq", "id"))["id"].alias("first"), F.coalesce(F.min(F.when(F.col("type") == "heading", F.struct("seq", "text")))["text"], F.lit("")).alias("section_heading"))
+    chunks = chunks.withColumn("element_ids", F.array("first"))
+    section = lambda o: F.concat_ws("_sec_", F.col("document_id"), F.col(o))
+    member = e.where("page_number % 2 = 0 AND section_seq IS NOT NULL").select(F.col("id").alias("element_id"), section("section_seq").alias("section_id"))
+    paths = layout.heading_paths(sections(spark, sf_dir)).withColumn("section_id", section("ordinal"))
+    return layout.chunk_sections(chunks, member, paths).select("document_id", "page_number", "section_path")
+
+
 _BLOCKS = """WITH b AS (SELECT l_orderkey AS page, l_linenumber AS block_id, l_quantity AS x0, l_discount * 300 AS y0, l_quantity + 20 AS x1, l_discount * 300 + 10 AS y1 FROM lineitem),
 t AS (SELECT l_orderkey AS page, l_linenumber AS table_idx, l_quantity AS x0, l_tax * 300 AS y0, l_quantity + 30 AS x1, l_tax * 300 + 25 AS y1 FROM lineitem) """
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_dir
 from ..functions import normalize as N
 from ..functions.text import clean_key
-from ..operators import analytics, graph, ontology, upsert
+from ..operators import analytics, graph, ontology, store, upsert
 from ..operators.extract import extracted
 from ..sources.files import nodes_from
 from .registry import query, table
@@ -83,6 +85,36 @@ def edge_upsert(spark, sf_dir):
     return out.select("type", "src", "dst", F.col("props")["flag"].alias("flag"))
 
 
+_BATCHES = "CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END"
+
+
+@query(f"""WITH o AS (SELECT *, {_BATCHES} * 1000000000000 + o_orderkey AS nth FROM orders)
+SELECT o_custkey::VARCHAR AS key, 'priority' AS name, arg_max(o_orderpriority, nth) AS value FROM o GROUP BY o_custkey
+UNION ALL SELECT o_custkey::VARCHAR, 'open', arg_max('order ' || o_orderkey, nth) FROM o WHERE o_orderstatus = 'O' GROUP BY o_custkey""")
+def incremental_upsert(spark, sf_dir):
+    """Two batches of orders merged into files bucketed by key, the second one twice, as after a failure."""
+    orders = table(spark, sf_dir, "orders")
+    props = F.create_map(F.lit("priority"), F.col("o_orderpriority"), F.lit("open"), F.when(F.col("o_orderstatus") == "O", F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))))
+    rows = orders.select(F.lit("Customer").alias("label"), F.col("o_custkey").cast("string").alias("key"), props.alias("props"), F.col("o_orderkey").alias("seq"))
+    kept = store.Store(spark, f"{shared_dir(spark)}/entities-{uuid.uuid4().hex}", buckets=16)
+    kept.merged(rows.where("seq % 3 <> 0"))
+    for _ in range(2):
+        kept.merged(rows.where("seq % 3 = 0"))
+    return kept.rows().select("key", F.explode("props").alias("name", "value"))
+
+
+@query("SELECT l_suppkey::VARCHAR AS src, l_partkey::VARCHAR AS dst, arg_max(l_returnflag, (CASE WHEN l_linenumber > 2 THEN 1 ELSE 0 END) * 1000000000000 + l_orderkey * 10 + l_linenumber) AS flag FROM lineitem JOIN part ON p_partkey = l_partkey AND p_size > 20 JOIN supplier ON s_suppkey = l_suppkey AND s_acctbal > 0 GROUP BY 1, 2")
+def incremental_edges(spark, sf_dir):
+    """The same for relationships, whose ends must be entities."""
+    part = table(spark, sf_dir, "part").where("p_size > 20").select(F.lit("Part").alias("label"), F.col("p_partkey").cast("string").alias("key"))
+    supplier = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.lit("Supplier").alias("label"), F.col("s_suppkey").cast("string").alias("key"))
+    rows = table(spark, sf_dir, "lineitem").select("l_linenumber", F.lit("SUPPLIES").alias("type"), F.lit("Supplier").alias("src_label"), F.col("l_suppkey").cast("string").alias("src"), F.lit("Part").alias("dst_label"), F.col("l_partkey").cast("string").alias("dst"), F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("props"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    kept = store.Store(spark, f"{shared_dir(spark)}/edges-{uuid.uuid4().hex}", buckets=16)
+    for batch in ("l_linenumber <= 2", "l_linenumber > 2"):
+        kept.merged_edges(rows.where(batch), part.unionByName(supplier))
+    return kept.edges().select("src", "dst", F.col("props")["flag"].alias("flag"))
+
+
 @query("SELECT c_custkey, coalesce(o.status, 'none') AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS status FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
 def update_by_key(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", F.lit("none").alias("status"))

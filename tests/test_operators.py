@@ -70,11 +70,11 @@ def test_structured_equals_a_plain_loop():
     r = random.Random(5)
     for _ in range(200):
         rows = [(r.choice(["heading", "paragraph", "paragraph", "table"]), " ".join("w" * r.randint(1, 3) for _ in range(r.choice([1, 2, 5, 9, 25])))) for _ in range(r.randint(1, 20))]
-        pdf = pd.DataFrame([(1, str(k), k, a, b, None) for k, (a, b) in enumerate(rows)], columns=["document_id", "id", "seq", "type", "text", "caption"])
-        got = chunk.gather(pdf, 20)
+        state = chunk.Gather(20)
+        got = [x for k, (a, b) in enumerate(rows) for x in state.row(str(k), a, b, None)] + state.end()
         text, special = plain_chunks(rows, 20)
-        assert [tuple(x) for x in got[got.kind == "text"][["text", "section_heading"]].values] == text
-        assert got[got.kind != "text"].text.tolist() == special
+        assert [(x[2], x[4]) for x in got if x[1] == "text"] == text
+        assert [x[2] for x in got if x[1] != "text"] == special
 
 
 def test_dispatch(spark, sf):
