@@ -139,12 +139,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     The sample is of windows of the whole texts: those with the smallest hashes of id, text and place, repeated rows taken
     once, so it does not depend on the order of rows.  Windows are counted by language first, and a hash over what a
     language's part of the sample needs (with six standard deviations to spare) is left out in the scan, so no language
-    is one large group however many rows it has.  Raises if there are more than MOST_LANGUAGES labels.
+    is one large group however many rows it has.  Raises if there are more than MOST_LANGUAGES labels, or if a label should be
+    left without a window.
     """
     size = F.octet_length(text_col)
     rows = docs.where(F.col(text_col).isNotNull() & (size > 0) & F.col(lang_col).isNotNull())
     rows = rows.select(F.xxhash64(F.lit(SEED), key_col, text_col).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.ceil(size / WINDOW).cast("int").alias("n"))
-    counts = rows.groupBy("lang").agg(F.sum("n").alias("count")).limit(MOST_LANGUAGES + 1).collect()
+    single = rows.select("lang", "h", "n").distinct()  # a hash stands for a row and its repeats
+    counts = single.groupBy("lang").agg(F.sum("n").alias("count")).limit(MOST_LANGUAGES + 1).collect()
     if not counts:
         return None
     if len(counts) > MOST_LANGUAGES:
@@ -160,6 +162,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col
     found = found.distinct().withColumn("nth", nth).where(F.col("nth") <= most).orderBy("lang", "nth")
     sample = found.select("lang", "data").toArrow().to_pylist()
     labels = sorted({x["lang"] for x in sample})
+    if len(labels) < len(counts):
+        raise RuntimeError("a language is not in the sample")
     data = np.frombuffer(b"".join(x["data"].ljust(WINDOW, b"\0") for x in sample), np.uint8).reshape(-1, WINDOW)
     lengths = np.array([len(x["data"]) for x in sample])
     number = {name: k for k, name in enumerate(labels)}

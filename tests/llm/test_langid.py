@@ -77,6 +77,19 @@ def test_every_language_is_learned_and_the_sample_covers_whole_texts(spark, monk
         langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
 
 
+def test_languages_whose_rows_repeat_are_learned_as_a_whole(spark, monkeypatch):
+    """Repeats are counted once: neither one text 200,000 times nor 40 texts 1,000 times each lose windows or languages."""
+    seen = {}
+    monkeypatch.setattr(langid.Network, "train", lambda self, x, lengths, y: seen.update(labels=self.labels, y=y))
+    from pyspark.sql import functions as F
+
+    one = spark.range(200_000).select(F.lit(5).cast("long").alias("doc_id"), F.lit("ein Text immer wieder").alias("text"), F.lit("de").alias("lang"))
+    some = spark.range(40_000).select((F.col("id") % 40 + 1000).alias("doc_id"), F.concat(F.lit("un texte "), (F.col("id") % 40).cast("string")).alias("text"), F.lit("fr").alias("lang"))
+    other = spark.range(200).select((F.col("id") + 2000).alias("doc_id"), F.concat(F.lit("a text "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    langid.fit(one.unionByName(some).unionByName(other))
+    assert seen["labels"] == ["de", "en", "fr"] and np.bincount(seen["y"]).tolist() == [1, 200, 40]
+
+
 def test_gradients_are_those_of_the_loss():
     r = np.random.default_rng(0)
     net = langid.Network(["a", "b", "c"])
