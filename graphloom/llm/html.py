@@ -79,12 +79,15 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
     last = page.rfind(">") + 1  # no tag begins after it, so none is looked for there; only a comment may
     page = page[:last] + page[last:].partition("<!--")[0].replace("<", "&lt;")
     stack: list[tuple[str, bool]] = []  # open elements, and whether they are never article
+    blocks: list[int] = []  # places of the open blocks among them
     standing: Counter[str] = Counter()  # how many elements of each name are open
     never = inside = links = article = 0
 
     def pop() -> None:
         nonlocal never, inside, links
         name, no = stack.pop()
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
         standing[name] -= 1
         never, inside, links = never - no, inside - (name in ("article", "main")), links - (name == "a")
 
@@ -115,17 +118,16 @@ def lines(page: str) -> list[tuple[str, bool, int, int]]:
             out.parts.append(" ")
         while stack and name in ENDS.get(stack[-1][0], ()):
             pop()
-        if name in BLOCKS:  # an open paragraph ends, with what is open inside it
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in BLOCKS:
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                    break
+        if name in BLOCKS and blocks and stack[blocks[-1]][0] == "p":  # an open paragraph ends, with what is open inside it
+            left = blocks[-1]
+            while len(stack) > left:
+                pop()
         if name not in VOID and not token["rest"].endswith("/"):
             no = _says_never(name, token["rest"])
             if no and name not in BLOCKS:
                 out.end(never > 0, article * (inside > 0))
+            if name in BLOCKS:
+                blocks.append(len(stack))
             stack.append((name, no))
             standing[name] += 1
             article += name in ("article", "main") and not inside

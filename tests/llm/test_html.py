@@ -60,6 +60,9 @@ def test_long_odd_pages_take_linear_time():
     began = time.perf_counter()
     assert html.main_text("<p>x" + "<a " * 100_000).startswith("x<a <a")
     assert html.main_text("<i>y</b>" * 50_000).count("y") == 50_000
+    assert html.main_text("<span>x" * 100_000 + "<p>y" * 100_000).count("y") == 100_000
+    assert html.main_text("<i>x" * 100_000 + "<hr>y" * 100_000).count("y") == 100_000
+    assert html.main_text("<p>" + "<b>x" * 50_000 + "<div><i>y" * 50_000).count("y") == 50_000
     assert time.perf_counter() - began < 20
     assert html.main_text("<p>a<!-- <p>b") == "a" and html.main_text("<p>a<script>b <!-- c") == "a" and html.main_text("<p>1 <2 &amp<") == "1 <2 &<"
 
