@@ -73,11 +73,12 @@ def structured(elements: DataFrame, captions: DataFrame | None = None, size: int
     the size is a chunk of its own; tables and images follow the text, with their caption as context.  Elements run through
     ``Gather`` in order; what is held of a document is one chunk.  ``captions``: (target_id, caption).
     """
-    rows = elements.withColumn("id", F.col("id").cast("string"))
-    if captions is not None:
-        rows = rows.join(captions.select(F.col("target_id").alias("id"), "caption"), "id", "left")
-    else:
-        rows = rows.withColumn("caption", F.lit(None).cast("string"))
+    rows = elements.select("document_id", "seq", F.col("id").cast("string").alias("id"), "type", "text", F.lit(None).cast("string").alias("caption"))
+    if captions is not None:  # only tables and images look for one
+        special = F.coalesce(F.col("type").isin("table", "image"), F.lit(False))
+        known = captions.select(F.col("target_id").alias("id"), F.col("caption").alias("_c"))
+        captioned = rows.where(special).join(known, "id", "left").withColumn("caption", F.col("_c")).drop("_c")
+        rows = rows.where(~special).unionByName(captioned)
     columns = ["id", "type", "text", "caption"]
     found = streamed(rows.select("document_id", "seq", *columns), ["document_id"], ["seq"], columns, lambda: Gather(size), _STRUCTURED)
     found = found.withColumn("token_count", token_count(F.col("text"))).withColumn("_special", F.col("kind") != "text")

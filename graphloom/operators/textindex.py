@@ -12,17 +12,26 @@ a later segment replaces are listed as dead until ``compacted``.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .retrieval import K1, B, terms
 
 #: Postings of a block; documents of a shard; buckets of terms.
-BLOCK, SHARD, BUCKETS = 128, 1 << 16, 16
-#: At most so many terms of a search are pushed down to the files' own filters.
-PUSHED = 2000
+BLOCK, SHARD, BUCKETS = 128, 1 << 13, 32
+#: Rows that a task combines at a time before the shuffle; the columns of a posting.
+COMBINED, POSTING = 500_000, ["key", "tf", "length"]
+#: Terms of a search that are pushed down to the files' own filters, and terms of all its queries, at most.
+PUSHED, PAIRS = 2000, 1_000_000
+#: Scores (queries by documents) in one numpy step.
+CELLS = 4_000_000
 #: Scores that differ by less than this are not told apart by the bounds.
 SLACK = 1e-6
 
@@ -85,18 +94,37 @@ class TextIndex:
         return flat.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
 
     def search(self, queries: DataFrame, k: int, query_key: str = "query_id", query: str = "query") -> DataFrame:
-        """(query_key, key, score, rank): the k best documents of each query by BM25; ties (9 places) go to the smaller key."""
-        blocks = self._blocks(queries, k, query_key, query).where("needed")
-        hits = self._live(blocks.select(query_key, "segment", "idf", F.explode("postings").alias("p")).select(query_key, "segment", "idf", "p.*"))
-        part = F.col("idf") * self._factor("tf", "length")
-        score = hits.groupBy(query_key, "key").agg(F.sum(part).alias("score"))
-        w = Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), "key")
-        return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        """(query_key, key, score, rank): the k best documents of each query by BM25; ties (9 places) go to the smaller key.
+
+        Blocks of the queries' terms go to the tasks of their shards, as they are; there all that a document gets meets,
+        and k documents of each query go on.  Raises if the queries hold over PAIRS terms together: search for parts of them.
+        """
+        asked = self._asked(queries, k, query_key, query)
+        found = self._needed(asked).select("segment", "shard", "term", "postings")
+        if self.dirty:
+            gone = self.dead().where(F.col("segment").isin(list(self.dirty))).join(self._shards(), "segment")
+            gone = gone.withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
+            posting = F.struct("key", F.lit(0).alias("tf"), F.lit(0).alias("length"))
+            gone = gone.groupBy("segment", "shard").agg(F.collect_list(posting).alias("postings"))  # SHARD rows or so at most
+            found = found.unionByName(gone.withColumn("term", F.lit(None).cast("string")))
+        kinds = found.schema["postings"].dataType.elementType["key"].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+        score = partial(_scored, asked, k, self.mean or 1.0, CELLS)
+        rows = found.repartition("segment", "shard").sortWithinPartitions("segment", "shard")
+        best = rows.mapInArrow(score, f"q int, key {kinds[0]}, score double")
+        named = self.spark.createDataFrame([(i, name) for i, name in enumerate(asked.names)], f"q int, `{query_key}` {kinds[1]}")
+        w = Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "key")
+        top = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return top.join(F.broadcast(named), "q").select(query_key, "key", "score", "rank")
 
     def report(self, queries: DataFrame, k: int, query_key: str = "query_id", query: str = "query") -> DataFrame:
-        """(query_key, blocks, needed): how many blocks a query's terms have, and how many a search takes apart."""
-        blocks = self._blocks(queries, k, query_key, query)
-        return blocks.groupBy(query_key).agg(F.count("*").alias("blocks"), F.count_if("needed").alias("needed"))
+        """(query_key, blocks, needed): how many blocks a query's terms have, and how many it needs."""
+        asked = self._asked(queries, k, query_key, query)
+        kind = queries.schema[query_key].dataType.simpleString()
+        pairs = [(asked.names[q], asked.terms[t], float(asked.idf[t]), float(x)) for q, t, x in zip(asked.query.tolist(), asked.term.tolist(), asked.spare)]
+        pairs = self.spark.createDataFrame(pairs, f"`{query_key}` {kind}, term string, idf double, spare double")
+        rows = self._wanted(asked.terms).drop("postings").join(pairs, "term")
+        needed = F.col("idf") * self._factor("most_tf", "least_length") + F.col("spare") >= 0
+        return rows.groupBy(query_key).agg(F.count("*").alias("blocks"), F.count_if(needed).alias("needed"))
 
     def _factor(self, tf: str, length: str) -> Column:
         """A posting's part of the score but for the term's idf: more for a higher tf, less for a longer text."""
@@ -106,40 +134,139 @@ class TextIndex:
         """Without postings of dead versions; rows have key and segment."""
         return rows.join(self.dead(), ["key", "segment"], "left_anti") if self.dirty else rows
 
-    def _wanted(self, asked: DataFrame) -> DataFrame:
-        """Blocks of the terms asked for: whole buckets are left out by their names, the rest by the files' filters."""
-        few = [r.term for r in asked.select("term").distinct().limit(PUSHED + 1).collect()]
-        if len(few) > PUSHED:
-            some = asked.select(_bucket(F.col("term")).alias("b")).distinct()  # numbers of buckets
-            return self.postings().where(F.col("bucket").isin([r.b for r in some.collect()]))
-        buckets = self.spark.createDataFrame([(t,) for t in few], "term string").select(_bucket(F.col("term")).alias("b")).distinct()
-        return self.postings().where(F.col("bucket").isin(sorted(r.b for r in buckets.collect())) & F.col("term").isin(few))
-
-    def _blocks(self, queries: DataFrame, k: int, query_key: str, query: str) -> DataFrame:
-        """Each query's blocks, with the term's idf and whether the search needs them.
+    def _shards(self) -> DataFrame:
+        """(segment, shards): into how many shards the documents of each segment were dealt."""
+        return self.spark.read.parquet(*(f"{self.path}/shards/segment={s}" for s in self.segments))
+
+    def _wanted(self, some: list[str]) -> DataFrame:
+        """Blocks of these terms: whole buckets are left out by their names, the rest by the files' filters."""
+        buckets = self.spark.createDataFrame([(t,) for t in some], "term string").select(_bucket(F.col("term")).alias("b")).distinct()
+        rows = self.postings().where(F.col("bucket").isin(sorted(r.b for r in buckets.collect())))  # BUCKETS numbers at most
+        if len(some) <= PUSHED:
+            return rows.where(F.col("term").isin(some))
+        return rows.join(self.spark.createDataFrame([(t,) for t in some], "term string"), "term", "left_semi")
+
+    def _needed(self, asked: _Asked) -> DataFrame:
+        """Blocks that some query needs."""
+        spare = np.full(len(asked.terms), -np.inf)
+        np.maximum.at(spare, asked.term, asked.spare)
+        rows = [(t, float(i), float(x)) for t, i, x in zip(asked.terms, asked.idf, spare)]
+        known = self.spark.createDataFrame(rows, "term string, idf double, spare double")
+        found = self._wanted(asked.terms).join(F.broadcast(known), "term")  # PAIRS rows at most
+        return found.where(F.col("idf") * self._factor("most_tf", "least_length") + F.col("spare") >= 0)
+
+    def _asked(self, queries: DataFrame, k: int, query_key: str, query: str) -> _Asked:
+        """The queries' terms with idf, and what a block of a term may lack.
 
         A query's k-th score is at least what any block of k live postings or more gives to each of them.  A block is left
         out if its best posting and the best of all other terms stay below that: none of its documents is among the k,
         and what a document loses by it had left it below anyway.
         """
-        asked = queries.select(query_key, F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
-        rows = self._wanted(asked)
+        pairs = queries.select(query_key, F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
+        held = pairs.limit(PAIRS + 1).collect()
+        if len(held) > PAIRS:
+            raise ValueError(f"queries of over {PAIRS} terms at a time")
+        every = sorted({r.term for r in held})
+        rows = self._wanted(every)
         sure = F.col("n") >= k
         if self.dirty:
             sure &= ~F.col("segment").isin(list(self.dirty))
         best, least = F.max(self._factor("most_tf", "least_length")), F.max(F.when(sure, self._factor("least_tf", "most_length")))
         stats = rows.groupBy("term").agg(F.sum("n").alias("df"), best.alias("best"), F.coalesce(least, F.lit(0.0)).alias("least"))
+        stats = {r.term: r for r in stats.collect()}  # a row for each term asked for
+        gone = {}
         if self.dirty:
             flat = rows.where(F.col("segment").isin(list(self.dirty))).select("segment", "term", F.explode("postings").alias("p"))
-            gone = flat.select("segment", "term", F.col("p.key").alias("key")).join(self.dead(), ["key", "segment"], "left_semi")
-            stats = stats.join(gone.groupBy("term").agg(F.count("*").alias("gone")), "term", "left").withColumn("df", F.col("df") - F.coalesce("gone", F.lit(0)))
-        idf = F.log(1 + (F.lit(self.n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        known = asked.join(stats.select("term", idf.alias("idf"), "best", "least"), "term")
-        own = Window.partitionBy(query_key)
-        known = known.withColumns({"all": F.sum(F.col("idf") * F.col("best")).over(own), "floor": F.max(F.col("idf") * F.col("least")).over(own)})
-        spare = F.col("all") - F.col("idf") * F.col("best") - F.col("floor") + SLACK
-        rows = rows.join(known.select(query_key, "term", "idf", spare.alias("spare")), "term")
-        return rows.withColumn("needed", F.col("idf") * self._factor("most_tf", "least_length") + F.col("spare") >= 0)
+            flat = flat.select("segment", "term", F.col("p.key").alias("key")).join(self.dead(), ["key", "segment"], "left_semi")
+            gone = {r.term: r["count"] for r in flat.groupBy("term").count().collect()}
+        known = sorted(stats)
+        number = {t: i for i, t in enumerate(known)}
+        df = np.array([stats[t].df - gone.get(t, 0) for t in known], float)
+        idf = np.log(1 + (self.n_docs - df + 0.5) / (df + 0.5))
+        best, least = (idf * np.array([stats[t][c] for t in known], float) for c in ("best", "least"))
+        names = list(dict.fromkeys(r[0] for r in held))
+        at = {name: i for i, name in enumerate(names)}
+        kept = [(at[r[0]], number[r.term]) for r in held if r.term in number]
+        q, t = np.array(kept, np.int64).reshape(-1, 2).T
+        whole, floor = np.zeros(len(names)), np.zeros(len(names))
+        np.add.at(whole, q, best[t])
+        np.maximum.at(floor, q, least[t])
+        return _Asked(names, known, idf, q, t, whole[q] - best[t] - floor[q] + SLACK)
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """Queries by number, their terms by number, and of each pair how much a posting may lack and still matter."""
+
+    names: list
+    terms: list[str]
+    idf: np.ndarray
+    query: np.ndarray
+    term: np.ndarray
+    spare: np.ndarray
+
+
+def _scored(asked: _Asked, k: int, mean: float, cells: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k best documents of each query from each shard; rows without a term hold the shard's dead documents."""
+    number = {t: i for i, t in enumerate(asked.terms)}
+    order = np.argsort(asked.term, kind="stable")
+    query, start = asked.query[order], np.searchsorted(asked.term[order], np.arange(len(asked.terms) + 1))
+    held: list[pa.RecordBatch] = []
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        term = np.array([-1 if t is None else number[t] for t in rows.column("term").to_pylist()], np.int64)
+        lists = rows.column("postings").combine_chunks()
+        term, flat = np.repeat(term, np.diff(lists.offsets.to_numpy())), lists.flatten()
+        codes = flat.field("key").dictionary_encode()
+        keys, code = codes.dictionary, codes.indices.to_numpy()
+        alive = np.ones(len(keys), bool)
+        alive[code[term < 0]] = False
+        ok = (term >= 0) & alive[code]
+        tf, length = (flat.field(c).to_numpy()[ok].astype(float) for c in ("tf", "length"))
+        term, code = term[ok], code[ok]
+        part = asked.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+        many = max(1, cells // max(1, len(keys)))  # queries in one step
+        for a in range(0, len(asked.names), many):
+            b = min(a + many, len(asked.names))
+            lo, hi = (start[term], start[term + 1]) if b - a == len(asked.names) else _between(query, start, term, a, b)
+            n = hi - lo
+            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            cell = (query[at] - a) * len(keys) + np.repeat(code, n)
+            total = np.bincount(cell, np.repeat(part, n), (b - a) * len(keys)).reshape(b - a, len(keys))
+            for q in range(b - a):
+                some = np.flatnonzero(total[q])
+                if len(some) > k:
+                    place = np.round(total[q], 9)
+                    least = np.partition(place[some], -k)[-k]
+                    some = some[place[some] >= least]
+                    if len(some) > k:  # of those that tie, the smaller keys
+                        tied = some[place[some] == least]
+                        ranks = pc.sort_indices(keys.take(pa.array(tied))).to_numpy()
+                        some = np.concatenate([some[place[some] > least], tied[ranks]])[:k]
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), a + q, np.int32)), keys.take(pa.array(some)), pa.array(total[q][some])], names=["q", "key", "score"])
+
+    unit = None
+    for batch in batches:
+        segment, shard = batch.column("segment").to_numpy(), batch.column("shard").to_numpy()
+        cuts = [0, *(np.flatnonzero((segment[1:] != segment[:-1]) | (shard[1:] != shard[:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                if held and unit != (segment[a], shard[a]):
+                    yield from finish()
+                    held = []
+                unit = segment[a], shard[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield from finish()
+
+
+def _between(query: np.ndarray, start: np.ndarray, term: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each term's queries (ascending) those from a to below b."""
+    span = int(query.max(initial=0)) + 1
+    by = np.repeat(np.arange(len(start) - 1), np.diff(start)) * span + query
+    return np.searchsorted(by, term * span + a), np.searchsorted(by, term * span + b)
 
 
 def _bucket(term: Column) -> Column:
@@ -149,25 +276,110 @@ def _bucket(term: Column) -> Column:
 def _segment(index: TextIndex, rows: DataFrame, key: str, text: str) -> TextIndex:
     s = max(index.segments, default=-1) + 1
     docs = rows.select(F.col(key).alias("key"), F.col(text).alias("t"))
-    words = docs.select("key", terms(F.col("t")).alias("w")).select("key", F.size("w").alias("length"), F.explode("w").alias("term"))
-    tf = words.groupBy("term", "key", "length").agg(F.count("*").cast("int").alias("tf"))
-    _write_postings(index, tf, s, docs.count())
+    cores = index.spark.sparkContext.defaultParallelism
+    if docs.rdd.getNumPartitions() < cores:  # one small file would be one task
+        docs = docs.repartition(cores)
+    _write_postings(index, _counted(docs), s, docs.count())
     lengths = docs.select("key", F.regexp_count("t", F.lit(r"[^ \t\r\n\f]+")).alias("length"), F.lit(s).alias("segment"))
     return _committed(index, (*index.segments, s), None if index.generation < 0 else index.documents().join(lengths.select("key"), "key", "left_semi"), lengths)
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """(term, key, tf, length) of the texts ``t``.  A text's sorted words are counted in its own row, so nothing is
+    shuffled for it."""
+    rows = docs.select("key", F.sort_array(terms(F.col("t"))).alias("w")).where(F.size("w") > 0)
+    new = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
+    rows = rows.select("key", "w", new.alias("first"))  # places where another word begins
+    runs = F.transform("first", lambda i, k: F.struct(F.get("w", i - 1).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("w") + 1) - i).alias("tf")))
+    return rows.select("key", F.size("w").alias("length"), F.explode(runs).alias("r")).select("r.term", "key", "r.tf", "length")
+
+
 def _write_postings(index: TextIndex, rows: DataFrame, segment: int, n_docs: int) -> None:
-    """Postings (term, key, tf, length) as blocks.  The blocks of a term and shard come from one sorted run of at most
-    SHARD postings or so."""
+    """Postings (term, key, tf, length) as blocks.  A task combines what it has of a term before the one shuffle, by bucket
+    of terms and shard of documents; sorted by term, the rest streams by and is cut into blocks."""
     shards = max(1, math.ceil(n_docs / SHARD))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    order = Window.partitionBy("term", "shard").orderBy(F.desc("tf"), "length", "key")
-    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    bounds = F.count("*").cast("int").alias("n"), F.max("tf").alias("most_tf"), F.min("tf").alias("least_tf"), F.min("length").alias("least_length"), F.max("length").alias("most_length")
-    blocks = rows.groupBy("term", "shard", "block").agg(*bounds, F.collect_list(F.struct("key", "tf", "length")).alias("postings"))
-    blocks = blocks.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket", "shard").sortWithinPartitions("bucket", "term", "shard", "block")
-    out = blocks.write.mode("overwrite").partitionBy("bucket").option("parquet.bloom.filter.enabled#term", "true")
-    out.parquet(f"{index.path}/postings/segment={segment}")
+    slot = _bucket(F.col("term")) * shards + F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    kind = rows.schema["key"].dataType.simpleString()
+    rows = rows.select(slot.alias("slot"), "term", "key", "tf", "length")
+    posting = f"postings array<struct<key: {kind}, tf: int, length: int>>"
+    some = rows.mapInArrow(_combined, f"slot int, term string, {posting}").repartition("slot").sortWithinPartitions("slot", "term")
+    schema = f"slot int, term string, block int, n int, most_tf int, least_tf int, least_length int, most_length int, {posting}"
+    blocks = some.mapInArrow(partial(_cut, BLOCK), schema)
+    blocks = blocks.withColumns({"bucket": F.floor(F.col("slot") / shards).cast("int"), "shard": (F.col("slot") % shards).cast("int")}).drop("slot")
+    blocks = blocks.sortWithinPartitions("bucket", "term", "shard", "block")
+    index.spark.createDataFrame([(segment, shards)], "segment int, shards int").write.mode("overwrite").parquet(f"{index.path}/shards/segment={segment}")
+    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/segment={segment}")
+
+
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a term and slot as one, for each COMBINED rows or so."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= COMBINED:
+            yield _lists(pa.Table.from_batches(held))
+            held, n = [], 0
+    if n:
+        yield _lists(pa.Table.from_batches(held))
+
+
+def _lists(rows: pa.Table) -> pa.RecordBatch:
+    rows = rows.combine_chunks()
+    term = rows.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
+    slot = rows.column("slot").to_numpy()
+    order = np.lexsort((slot, term))
+    rows, term, slot = rows.take(pa.array(order)), term[order], slot[order]
+    new = np.r_[True, (term[1:] != term[:-1]) | (slot[1:] != slot[:-1])]
+    at = np.flatnonzero(new)
+    first = rows.select(["slot", "term"]).take(pa.array(at)).combine_chunks()
+    postings = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in POSTING], names=POSTING)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(new)).astype(np.int32)), postings)
+    return pa.RecordBatch.from_arrays([*(first.column(c).combine_chunks() for c in ("slot", "term")), lists], names=["slot", "term", "postings"])
+
+
+def _cut(block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the sorted rows.  The last term of a batch waits for the next one: SHARD postings or so at most."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
+        if not rows.num_rows:
+            continue
+        last = int(np.flatnonzero(_begins(rows))[-1])
+        held = rows.slice(last)
+        if last:
+            yield _blocks_of(rows.slice(0, last), block)
+    if held is not None:
+        yield _blocks_of(held, block)
+
+
+def _begins(rows: pa.Table) -> np.ndarray:
+    """Whether a row is of another slot or term than the one before."""
+    new = np.ones(rows.num_rows, bool)
+    slot, term = (rows.column(c).combine_chunks() for c in ("slot", "term"))
+    new[1:] = pc.or_(pc.not_equal(slot[1:], slot[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
+    return new
+
+
+def _blocks_of(rows: pa.Table, block: int) -> pa.RecordBatch:
+    rows = rows.combine_chunks()
+    new, lists = _begins(rows), rows.column("postings").combine_chunks()
+    run = np.repeat(np.cumsum(new) - 1, np.diff(lists.offsets.to_numpy()))
+    flat = lists.flatten()
+    # The order of keys of any type, so that blocks do not depend on how rows were combined.
+    ranks = pc.rank(flat.field("key"), tiebreaker="dense").to_numpy()
+    tf, length = (flat.field(c).to_numpy() for c in ("tf", "length"))
+    order = np.lexsort((ranks, length, -tf, run))
+    flat, run, tf, length = flat.take(pa.array(order)), run[order], tf[order], length[order]
+    start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    nth = np.arange(len(run)) - start[run]
+    at = np.flatnonzero(nth % block == 0)
+    ends = np.append(at, len(run)).astype(np.int32)
+    first = rows.select(["slot", "term"]).take(pa.array(np.flatnonzero(new)[run[at]]))
+    bounds = [np.maximum.reduceat(tf, at), np.minimum.reduceat(tf, at), np.minimum.reduceat(length, at), np.maximum.reduceat(length, at)]
+    numbers = [pa.array(x.astype(np.int32)) for x in (nth[at] // block, np.diff(ends), *bounds)]
+    names = ["slot", "term", "block", "n", "most_tf", "least_tf", "least_length", "most_length", "postings"]
+    return pa.RecordBatch.from_arrays([*(first.column(c).combine_chunks() for c in ("slot", "term")), *numbers, pa.ListArray.from_arrays(pa.array(ends), flat)], names=names)
 
 
 def _committed(index: TextIndex, segments: tuple[int, ...], gone: DataFrame | None, new: DataFrame | None) -> TextIndex:

@@ -65,6 +65,8 @@ def test_index_through_batches_versions_removal_and_compaction(spark, tmp_path,
     assert not index.dirty and len(index.segments) == 1
     same(index, docs)
     same(TextIndex.load(spark, path), docs, 20)
+    monkeypatch.setattr(textindex, "CELLS", 1000)  # queries in several steps
+    same(index, docs)
     df = Counter(w for t in docs.values() if t for w in set(t.lower().split()))
     assert {x.term: x.df for x in index.vocabulary().collect()} == df
 
