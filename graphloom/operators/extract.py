@@ -56,7 +56,8 @@ def parsed(responses: DataFrame, schema: Schema) -> tuple[DataFrame, DataFrame]:
         props = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string, string>")
         part = items.where(F.col("e.type") == name).select(F.lit(name).alias("type"), F.lit(source).alias("src_label"), src.alias("src"), F.lit(target).alias("dst_label"), dst.alias("dst"), props.alias("props"), seq.alias("seq"), "chunk_id", (skip_src | skip_dst).alias("_skip"))
         links.append(part.where("NOT _skip AND src IS NOT NULL AND dst IS NOT NULL").drop("_skip"))
-    return entities, reduce(DataFrame.unionByName, links)
+    none = rows.limit(0).select(*(F.lit("").alias(c) for c in ("type", "src_label", "src", "dst_label", "dst")), F.create_map().cast("map<string, string>").alias("props"), F.lit(0).cast("long").alias("seq"), "chunk_id")
+    return entities, reduce(DataFrame.unionByName, links) if links else none
 
 
 def _end(schema: Schema, label: str, value: Column) -> tuple[Column, Column]:

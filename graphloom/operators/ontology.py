@@ -79,56 +79,58 @@ def tags(properties: DataFrame) -> DataFrame:
     return properties.withColumn("tags", F.coalesce("normalizers", single))
 
 
-def validated(t: dict[str, DataFrame], name: str, strict: bool = False) -> DataFrame:
-    """(check, severity, entity, message): nineteen checks of one ontology; none found means it is sound.
+def validated(t: dict[str, DataFrame], *names: str, strict: bool = False) -> DataFrame:
+    """(ontology, check, severity, entity, message): nineteen checks of the ontologies named, or of all; none found means
+    that they are sound.  All are checked together: what the checks join and count carries the ontology's name.
 
     ``strict`` does not accept the ``currency`` normalizer.
     """
-    mine = {n: x.where(F.col("name" if n == "ontology" else "ontology") == name) for n, x in t.items()}
+    own = lambda n: F.col("name" if n == "ontology" else "ontology")
+    mine = {n: x.where(own(n).isin(*names)) if names else x for n, x in t.items()}
     nodes, relations, ends = mine["node_type"], mine["relationship_type"], mine["endpoint"]
-    owners = nodes.select("name").unionByName(relations.select("name")).withColumnRenamed("name", "owner")
-    props = tags(mine["property"]).join(owners, "owner", "left_semi")
+    owners = nodes.select("ontology", "name").unionByName(relations.select("ontology", "name")).withColumnRenamed("name", "owner")
+    props = tags(mine["property"]).join(owners, ["ontology", "owner"], "left_semi")
     spelled = F.concat_ws(".", "owner", "name")
     uses = lambda tag: F.array_contains("tags", tag)
-    rel = relations.select(F.col("name").alias("relationship"))
+    rel = relations.select("ontology", F.col("name").alias("relationship"))
     known = [x for x in NORMALIZERS if not (strict and x == "currency")]
 
     def row(found: DataFrame, check: str, entity: Column, message: str, severity: str = "error") -> DataFrame:
-        return found.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), entity.alias("entity"), F.concat(entity, F.lit(f": {message}")).alias("message"))
-
-    def end_count(end: str, many: bool) -> DataFrame:
-        found = ends.where(F.col("end") == end).groupBy("relationship").agg(F.count("*").alias("n"))
-        return rel.join(found, "relationship", "left").where("n > 1" if many else "n is null")
-
-    keys = props.where("is_key").groupBy("owner").agg(F.count("*").alias("n"))
-    keyed = nodes.select(F.col("name").alias("owner")).join(keys, "owner", "left")
-    dictionaries = mine["dictionary"]
-    outside = ends.join(rel, "relationship", "left_semi").join(nodes.select(F.col("name").alias("node_type")), "node_type", "left_anti")
-    owner, relationship, dictionary = F.col("owner"), F.col("relationship"), F.col("name")
-
-    def empty(kind: str, terms: DataFrame, key: str) -> DataFrame:
-        return dictionaries.where(F.col("kind") == kind).join(terms.select(F.col(key).alias("name")), "name", "left_anti")
-
+        return found.select("ontology", F.lit(check).alias("check"), F.lit(severity).alias("severity"), entity.alias("entity"), F.concat(entity, F.lit(f": {message}")).alias("message"))
+
+    # One pass over each kind of thing; the faults of a row are listed and taken apart.
+    def faults(rows: DataFrame, entity: Column, *tests: tuple[Column, str, str]) -> DataFrame:
+        found = F.array(*(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(check).alias("check"), F.lit(message).alias("message"))) for test, check, message in tests))
+        rows = rows.select("ontology", entity.alias("entity"), F.explode(F.array_compact(found)).alias("f"))
+        return rows.select("ontology", "f.check", F.lit("error").alias("severity"), "entity", F.concat("entity", F.lit(": "), "f.message").alias("message"))
+
+    keys = props.where("is_key").groupBy("ontology", "owner").agg(F.count("*").alias("n"))
+    keyed = nodes.select("ontology", F.col("name").alias("owner")).join(keys, ["ontology", "owner"], "left")
+    counts = ends.groupBy("ontology", "relationship").agg(F.count_if(F.col("end") == "from").alias("n_from"), F.count_if(F.col("end") == "to").alias("n_to"))
+    counts = rel.join(counts, ["ontology", "relationship"], "left").na.fill(0, ["n_from", "n_to"])
+    outside = ends.join(rel, ["ontology", "relationship"], "left_semi").join(nodes.select("ontology", F.col("name").alias("node_type")), ["ontology", "node_type"], "left_anti")
+    unknown = props.withColumn("tag", F.explode("tags")).where(~F.col("tag").isin(*known))
+    kind = lambda name, terms, key: mine["dictionary"].where(F.col("kind") == name).join(terms.select("ontology", F.col(key).alias("name")), ["ontology", "name"], "left_anti")
+    named = mine["ontology"].select(F.col("name").alias("ontology"))
+    asked = t["ontology"].sparkSession.createDataFrame([(n,) for n in names], "ontology string")
     checks = [
-        row(keyed.where("n is null"), "missing_key_property", owner, "no key property"),
-        row(keyed.where("n > 1"), "multiple_key_properties", owner, "more than one key property"),
-        row(end_count("from", False), "missing_from_endpoint", relationship, "no source type"),
-        row(end_count("to", False), "missing_to_endpoint", relationship, "no target type"),
-        row(end_count("from", True), "multiple_from_endpoints", relationship, "more than one source type"),
-        row(end_count("to", True), "multiple_to_endpoints", relationship, "more than one target type"),
-        row(outside, "endpoint_outside_ontology", relationship, "an endpoint is not a type of this ontology"),
-        row(props.where(F.col("type").isNull() | ~F.col("type").isin(*TYPES)), "invalid_property_type", spelled, "unknown type"),
-        row(props.withColumn("tag", F.explode("tags")).where(~F.col("tag").isin(*known)), "invalid_normalizer_tag", spelled, "unknown normalizer"),
-        row(props.where(uses("alias_map") & F.col("alias_map").isNull()), "alias_map_missing_link", spelled, "uses no alias map"),
-        row(props.where(uses("blocklist") & F.col("blocklist").isNull()), "blocklist_missing_link", spelled, "uses no blocklist"),
-        row(props.where(uses("regex_normalize") & (F.col("regex_pattern").isNull() | F.col("regex_replacement").isNull())), "regex_normalize_missing_config", spelled, "no pattern or replacement"),
-        row(props.where(uses("regex_skip") & F.col("regex_pattern").isNull()), "regex_skip_missing_config", spelled, "no pattern"),
-        row(props.where(uses("enum_validate") & (F.coalesce(F.size("enum_values"), F.lit(0)) <= 0)), "enum_validate_missing_values", spelled, "no values"),
-        row(props.where(uses("compose_name_from_fields") & F.col("name_template").isNull()), "compose_name_missing_template", spelled, "no template"),
-        row(empty("alias_map", mine["alias"], "alias_map"), "alias_map_empty", dictionary, "has no aliases", "warning"),
-        row(empty("blocklist", mine["blocked"], "blocklist"), "blocklist_empty", dictionary, "has no terms", "warning"),
-        row(mine["ontology"].join(nodes.select(F.col("ontology").alias("name")), "name", "left_anti"), "ontology_no_node_types", dictionary, "has no node types", "warning"),
-        row(mine["ontology"].agg(F.count("*").alias("n")).where("n = 0"), "ontology_not_found", F.lit(name), "no such ontology"),
+        faults(keyed, F.col("owner"), (F.col("n").isNull(), "missing_key_property", "no key property"), (F.col("n") > 1, "multiple_key_properties", "more than one key property")),
+        faults(counts, F.col("relationship"), (F.col("n_from") == 0, "missing_from_endpoint", "no source type"), (F.col("n_to") == 0, "missing_to_endpoint", "no target type"),
+               (F.col("n_from") > 1, "multiple_from_endpoints", "more than one source type"), (F.col("n_to") > 1, "multiple_to_endpoints", "more than one target type")),
+        row(outside, "endpoint_outside_ontology", F.col("relationship"), "an endpoint is not a type of this ontology"),
+        faults(props, spelled,
+               (F.col("type").isNull() | ~F.col("type").isin(*TYPES), "invalid_property_type", "unknown type"),
+               (uses("alias_map") & F.col("alias_map").isNull(), "alias_map_missing_link", "uses no alias map"),
+               (uses("blocklist") & F.col("blocklist").isNull(), "blocklist_missing_link", "uses no blocklist"),
+               (uses("regex_normalize") & (F.col("regex_pattern").isNull() | F.col("regex_replacement").isNull()), "regex_normalize_missing_config", "no pattern or replacement"),
+               (uses("regex_skip") & F.col("regex_pattern").isNull(), "regex_skip_missing_config", "no pattern"),
+               (uses("enum_validate") & (F.coalesce(F.size("enum_values"), F.lit(0)) <= 0), "enum_validate_missing_values", "no values"),
+               (uses("compose_name_from_fields") & F.col("name_template").isNull(), "compose_name_missing_template", "no template")),
+        row(unknown, "invalid_normalizer_tag", spelled, "unknown normalizer"),
+        row(kind("alias_map", mine["alias"], "alias_map"), "alias_map_empty", F.col("name"), "has no aliases", "warning"),
+        row(kind("blocklist", mine["blocked"], "blocklist"), "blocklist_empty", F.col("name"), "has no terms", "warning"),
+        row(named.join(nodes.select("ontology"), "ontology", "left_anti"), "ontology_no_node_types", F.col("ontology"), "has no node types", "warning"),
+        row(asked.join(named, "ontology", "left_anti"), "ontology_not_found", F.col("ontology"), "no such ontology"),
     ]
     return reduce(DataFrame.unionByName, checks)
 

@@ -12,7 +12,7 @@ from ..checkpoints import shared_dir
 from ..functions import normalize as N
 from ..functions.text import clean_key
 from ..operators import analytics, graph, ontology, store, upsert
-from ..operators.extract import extracted
+from ..operators.extract import by_dictionary, extracted
 from ..sources.files import nodes_from
 from .registry import query, table
 
@@ -179,6 +179,117 @@ def json_props(spark, sf_dir):
     return e.select("event_id", F.from_json("props", "k int")["k"].alias("k"), clean_key(F.concat(F.lit("key of-"), "event_type")).alias("name"))
 
 
+#: Ontologies of the regions: suppliers are their node types, customers their relationship types.  Faults follow from keys.
+_ONTOLOGY = """WITH supp AS (
+  SELECT r_name AS ontology, s_name AS name, s_suppkey AS k, r_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey
+), nt AS (SELECT ontology, name, k FROM supp WHERE r_regionkey <> 4
+), prop AS (
+  SELECT ontology, name AS owner, 'p' || i AS name, name || '.p' || i AS spelled, CASE WHEN (k + i) % 11 = 0 THEN 'DATE' WHEN i % 3 = 1 THEN 'FLOAT' ELSE 'STRING' END AS type, i < k % 3 AS is_key,
+         CASE (k * 7 + i * 3) % 13 WHEN 0 THEN 'alias_map' WHEN 1 THEN 'blocklist' WHEN 2 THEN 'regex_normalize' WHEN 3 THEN 'regex_skip' WHEN 4 THEN 'enum_validate' WHEN 5 THEN 'compose_name_from_fields' WHEN 6 THEN 'unheard_of' WHEN 7 THEN 'whitespace' END AS tag,
+         k % 2 = 0 AS linked, k % 3 <> 0 AS pattern, k % 3 = 1 AS replacement, k % 3 = 2 AS listed
+  FROM nt, unnest(range(0, k % 4 + 1)) AS t(i)
+), rel AS (
+  SELECT r_name AS ontology, c_name AS name, c_custkey AS k FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+), ends AS (
+  SELECT ontology, name, k, e, i, 'Supplier#' || lpad(((k * 7 + i) % 50)::VARCHAR, 9, '0') AS node_type
+  FROM rel, (VALUES ('from'), ('to')) AS x(e), unnest(range(0, CASE WHEN e = 'from' THEN k % 4 ELSE (k + 1) % 3 END)) AS t(i)
+), dict AS (
+  SELECT r_name AS ontology, r_regionkey AS r, kind, kind || i AS name, i FROM region, (VALUES ('alias_map'), ('blocklist')) AS x(kind), unnest(range(0, 6)) AS t(i)
+), counts AS (SELECT ontology, name, count(*) FILTER (e = 'from') AS f, count(*) FILTER (e = 'to') AS t FROM ends GROUP BY 1, 2
+), keys AS (SELECT nt.ontology, nt.name, count(prop.owner) FILTER (is_key) AS n FROM nt LEFT JOIN prop ON prop.ontology = nt.ontology AND prop.owner = nt.name GROUP BY 1, 2
+), found AS (
+  SELECT ontology, 'missing_key_property' AS c, name AS entity FROM keys WHERE n = 0 UNION ALL SELECT ontology, 'multiple_key_properties', name FROM keys WHERE n > 1
+  UNION ALL SELECT ontology, 'missing_from_endpoint', name FROM rel LEFT JOIN counts USING (ontology, name) WHERE coalesce(f, 0) = 0
+  UNION ALL SELECT ontology, 'missing_to_endpoint', name FROM rel LEFT JOIN counts USING (ontology, name) WHERE coalesce(t, 0) = 0
+  UNION ALL SELECT ontology, 'multiple_from_endpoints', name FROM counts WHERE f > 1 UNION ALL SELECT ontology, 'multiple_to_endpoints', name FROM counts WHERE t > 1
+  UNION ALL SELECT ontology, 'endpoint_outside_ontology', name FROM ends WHERE NOT EXISTS (SELECT 1 FROM nt WHERE nt.ontology = ends.ontology AND nt.name = ends.node_type)
+  UNION ALL SELECT ontology, 'invalid_property_type', spelled FROM prop WHERE type = 'DATE' UNION ALL SELECT ontology, 'invalid_normalizer_tag', spelled FROM prop WHERE tag = 'unheard_of'
+  UNION ALL SELECT ontology, 'alias_map_missing_link', spelled FROM prop WHERE tag = 'alias_map' AND NOT linked UNION ALL SELECT ontology, 'blocklist_missing_link', spelled FROM prop WHERE tag = 'blocklist' AND NOT linked
+  UNION ALL SELECT ontology, 'regex_normalize_missing_config', spelled FROM prop WHERE tag = 'regex_normalize' AND NOT (pattern AND replacement) UNION ALL SELECT ontology, 'regex_skip_missing_config', spelled FROM prop WHERE tag = 'regex_skip' AND NOT pattern
+  UNION ALL SELECT ontology, 'enum_validate_missing_values', spelled FROM prop WHERE tag = 'enum_validate' AND NOT listed UNION ALL SELECT ontology, 'compose_name_missing_template', spelled FROM prop WHERE tag = 'compose_name_from_fields' AND NOT linked
+  UNION ALL SELECT ontology, kind || '_empty', name FROM dict WHERE (i + r) % 3 = 0
+  UNION ALL SELECT r_name, 'ontology_no_node_types', r_name FROM region WHERE r_name NOT IN (SELECT ontology FROM nt) UNION ALL SELECT 'ATLANTIS', 'ontology_not_found', 'ATLANTIS'
+) SELECT ontology, c AS "check", entity FROM found"""
+
+
+def region_ontologies(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Ontologies from the given tables, see ``_ONTOLOGY``; their faults follow from the keys."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_regionkey", F.col("r_name").alias("ontology"))
+    of = lambda rows, key: rows.join(place, F.col(key) == F.col("n_nationkey"))
+    nodes = of(table(spark, sf_dir, "supplier"), "s_nationkey").where("r_regionkey <> 4").select("ontology", F.col("s_name").alias("name"), F.col("s_suppkey").alias("k"))
+    relations = of(table(spark, sf_dir, "customer"), "c_nationkey").select("ontology", F.col("c_name").alias("name"), F.col("c_custkey").alias("k"))
+    upto = lambda n: F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("i")
+    k, i = F.col("k"), F.col("i")
+    tag = F.get(F.array(*map(F.lit, ("alias_map", "blocklist", "regex_normalize", "regex_skip", "enum_validate", "compose_name_from_fields", "unheard_of", "whitespace"))), ((k * 7 + i * 3) % 13).cast("int"))
+    text = lambda test, value: F.when(test, F.lit(value))
+    props = nodes.select("ontology", F.col("name").alias("owner"), "k", upto((k % 4).cast("int") + 1)).select(
+        "ontology", "owner", F.concat(F.lit("p"), i.cast("string")).alias("name"), F.when((k + i) % 11 == 0, "DATE").when(i % 3 == 1, "FLOAT").otherwise("STRING").alias("type"), F.lit(False).alias("required"), (i < k % 3).alias("is_key"),
+        tag.alias("normalizer"), F.lit(None).cast("array<string>").alias("normalizers"), text(k % 3 != 0, "x").alias("regex_pattern"), text(k % 3 == 1, "y").alias("regex_replacement"),
+        F.when(k % 3 == 2, F.array(F.lit("a"))).when(k % 3 == 1, F.array().cast("array<string>")).alias("enum_values"), text(k % 2 == 0, "{p0}").alias("name_template"), text(k % 2 == 0, "alias_map0").alias("alias_map"), text(k % 2 == 0, "blocklist0").alias("blocklist"),
+    )
+    end = lambda name, n: relations.select("ontology", F.col("name").alias("relationship"), F.lit(name).alias("end"), "k", upto(n.cast("int"))).select("ontology", "relationship", "end", F.format_string("Supplier#%09d", (k * 7 + i) % 50).alias("node_type"))
+    words = region.select(F.col("r_name").alias("ontology"), F.col("r_regionkey").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("i"))
+    full = words.where((i + F.col("r")) % 3 != 0)
+    name = lambda kind: F.concat(F.lit(kind), i.cast("string"))
+    return {
+        "ontology": region.select(F.col("r_name").alias("name"), F.lit("1").alias("version")),
+        "node_type": nodes.select("ontology", "name", F.lit(None).cast("string").alias("description")),
+        "relationship_type": relations.select("ontology", "name"),
+        "endpoint": end("from", k % 4).unionByName(end("to", (k + 1) % 3)),
+        "property": props,
+        "alias": full.select("ontology", name("alias_map").alias("alias_map"), F.lit("a").alias("alias"), F.lit("b").alias("canonical")),
+        "blocked": full.select("ontology", name("blocklist").alias("blocklist"), F.lit("t").alias("term")),
+        "dictionary": words.select("ontology", F.lit("alias_map").alias("kind"), name("alias_map").alias("name")).unionByName(words.select("ontology", F.lit("blocklist").alias("kind"), name("blocklist").alias("name"))),
+    }
+
+
+@query(_ONTOLOGY)
+def ontology_validate(spark, sf_dir):
+    """All nineteen checks over ontologies made of the given tables, and one that is not there."""
+    t = region_ontologies(spark, sf_dir)
+    names = [r.r_name for r in table(spark, sf_dir, "region").collect()]
+    return ontology.validated(t, *names, "ATLANTIS").select("ontology", "check", "entity")
+
+
+_WORDS = r"""WITH terms AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\d]+')) AS term FROM benchmark
+), blocked AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{L}\d]+')) AS term FROM benchmark WHERE item_id < 5
+), hit AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\d]+')) AS term FROM documents) JOIN terms USING (term)
+), typed AS (
+  SELECT doc_id, CASE WHEN length(term) <= 3 THEN 'Short' WHEN length(term) <= 7 THEN 'Middle' ELSE 'Long' END AS label,
+         CASE WHEN length(term) <= 3 THEN lower(term) ELSE term END AS key FROM hit
+  WHERE length(term) <= 7 OR term NOT IN (SELECT term FROM blocked)
+)"""
+
+
+def word_ontology(spark: SparkSession, sf_dir: str):
+    """Words of the benchmark as things of three types, each with a normalizer of its own, and what a dictionary finds."""
+    words = lambda rows: rows.select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}\d]+)"), 1)).alias("term")).distinct()
+    items = table(spark, sf_dir, "benchmark")
+    terms = words(items).select(F.when(F.length("term") <= 3, "Short").when(F.length("term") <= 7, "Middle").otherwise("Long").alias("label"), F.lit("name").alias("key_name"), "term")
+    field = lambda owner, tag, blocked=None: ("words", owner, "name", "STRING", True, True, tag, None, None, None, None, None, None, blocked)
+    t = ontology.tables(
+        spark,
+        ontology=[("words", "1")],
+        node_type=[("words", n, None) for n in ("Short", "Middle", "Long")],
+        property=[field("Short", "lowercase"), field("Middle", "whitespace"), field("Long", "blocklist", "USUAL")],
+        blocked=[("words", "USUAL", r.term) for r in words(items.where("item_id < 5")).collect()],
+        dictionary=[("words", "blocklist", "USUAL")],
+    )
+    return ontology.loaded(t, "words"), terms
+
+
+@query(_WORDS + " SELECT label, key, count(DISTINCT doc_id) AS n_documents FROM typed GROUP BY 1, 2")
+def ontology_extract(spark, sf_dir):
+    """Every document through the dictionary extractor, the ontology's normalizers, the upsert and the provenance."""
+    schema, terms = word_ontology(spark, sf_dir)
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("idx"), "text")
+    none = spark.createDataFrame([], "label string, key string, props map<string, string>, seq long")
+    no_edge = spark.createDataFrame([], "type string, src_label string, src string, dst_label string, dst string, props map<string, string>, seq long")
+    entities, _, source = extracted(by_dictionary(chunks, terms), schema, none, no_edge, "dictionary")
+    return source.join(entities.select("label", "key"), ["label", "key"], "left_semi").groupBy("label", "key").agg(F.count_distinct("chunk_id").alias("n_documents"))
+
+
 def broken_ontology(spark: SparkSession) -> dict[str, DataFrame]:
     """One fault for each check of a present ontology."""
     p = lambda owner, name, kind="STRING", key=False, tag=None, **kw: ("bad", owner, name, kind, False, key, tag, None, kw.get("pattern"), None, kw.get("values"), None, None, None)
@@ -191,35 +302,3 @@ def broken_ontology(spark: SparkSession) -> dict[str, DataFrame]:
         property=[p("TwoKeys", "a", key=True), p("TwoKeys", "b", key=True), p("Odd", "k", "DATE", True), p("Odd", "t", tag="unheard_of"), p("Odd", "am", tag="alias_map"), p("Odd", "bl", tag="blocklist"), p("Odd", "rn", tag="regex_normalize", pattern="x"), p("Odd", "rs", tag="regex_skip"), p("Odd", "ev", tag="enum_validate", values=[]), p("Odd", "cn", tag="compose_name_from_fields")],
         dictionary=[("bad", "alias_map", "AM"), ("bad", "blocklist", "BL")],
     )
-
-
-_FOUND = [("missing_key_property", "NoKey"), ("multiple_key_properties", "TwoKeys"), ("missing_from_endpoint", "NONE"), ("missing_to_endpoint", "NONE"), ("multiple_from_endpoints", "MANY"), ("multiple_to_endpoints", "MANY"), ("endpoint_outside_ontology", "OUT"), ("invalid_property_type", "Odd.k"), ("invalid_normalizer_tag", "Odd.t"), ("alias_map_missing_link", "Odd.am"), ("blocklist_missing_link", "Odd.bl"), ("regex_normalize_missing_config", "Odd.rn"), ("regex_skip_missing_config", "Odd.rs"), ("enum_validate_missing_values", "Odd.ev"), ("compose_name_missing_template", "Odd.cn"), ("alias_map_empty", "AM"), ("blocklist_empty", "BL"), ("ontology_no_node_types", "empty"), ("ontology_not_found", "absent")]
-
-
-@query('SELECT * FROM (VALUES ' + ", ".join(f"('{a}', '{b}')" for a, b in _FOUND) + ') AS t("check", entity)')
-def ontology_validate(spark, sf_dir):
-    t = broken_ontology(spark)
-    found = [ontology.validated(t, n) for n in ("bad", "empty", "absent")]
-    return reduce(DataFrame.unionByName, found).select("check", "entity")
-
-
-@query("SELECT * FROM (VALUES ('Contract', 'My Contract', 'jurisdiction', 'New York'), ('Contract', 'My Contract', 'signedDate', '2025-03-15'), ('Contract', 'My Contract', 'amount', '1.5E9'), ('Contract', 'My Contract', 'caseNumber', '2024.CV.001'), ('Contract', 'My Contract', 'contractType', 'service'), ('Contract', 'My Contract', 'title', 'My Contract'), ('Party', 'Acme Inc', 'name', 'Acme Inc'), ('Penalty', 'USD 500000.0 penalty', 'name', 'USD 500000.0 penalty'), ('Penalty', 'USD 500000.0 penalty', 'currency', 'USD'), ('Penalty', 'USD 500000.0 penalty', 'amount', '500000.0')) AS t(label, key, name, value)")
-def ontology_extract(spark, sf_dir):
-    """The sample ontology, loaded and applied to responses; skipped items and the edges to them vanish."""
-    import json
-
-    schema = ontology.loaded(ontology.legal_sample(spark), "legal_demo")
-    entity = lambda label, **p: {"label": label, "properties": p}
-    response = {
-        "entities": [
-            entity("Party", name="the parties"), entity("Party", name="Acme Inc"),
-            entity("Contract", title="  My Contract  ", jurisdiction="NY", signedDate="March 15, 2025", amount="€1.5 billion", caseNumber="2024-CV-001", contractType="service"),
-            entity("Contract", title="Other", contractType="weird"), entity("Penalty", amount="$500K", currency="dollar"),
-        ],
-        "relationships": [{"type": "PARTY_TO", "source_key": "Acme Inc", "target_key": "My  Contract", "properties": {"role": "BUYER"}}, {"type": "PARTY_TO", "source_key": "anyone", "target_key": "My Contract"}],
-    }
-    rows = spark.createDataFrame([("c1", 0, json.dumps(response))], "chunk_id string, idx int, response string")
-    none = spark.createDataFrame([], "label string, key string, props map<string, string>, seq long")
-    no_edge = spark.createDataFrame([], "type string, src_label string, src string, dst_label string, dst string, props map<string, string>, seq long")
-    entities, _, _ = extracted(rows, schema, none, no_edge, "stand-in")
-    return entities.select("label", "key", F.explode("props").alias("name", "value"))
