@@ -1,8 +1,10 @@
-"""A full-text index that is kept: posting lists as a table bucketed by term, and the lengths of documents by version.
+"""A full-text index that is kept: posting lists as a table bucketed by term, with the documents of each shard.
 
-A posting list is cut into blocks of BLOCK postings, those with the highest frequencies first.  A block's row holds its
+A shard is a run of documents that one task reads; their posting lists are made in that task, so no posting is shuffled
+alone.  A list is cut into blocks of BLOCK postings, those with the highest frequencies first.  A block's row holds its
 postings and the bounds of their frequencies and lengths, so a search knows what a block can add to a score without
-reading it.  Lists of frequent terms are split over shards of documents, so no task holds a whole list.
+taking it apart.  Blocks are dealt to files by bucket of terms; a shard's documents and their lengths are one more list,
+without a term, in a bucket of its own.
 
 Every batch of documents is a segment of its own.  A generation (a row of ``meta``) names the segments that count and the
 totals of the corpus; it is written last, so a batch that breaks off changes nothing and can be repeated.  Documents that
@@ -11,23 +13,23 @@ a later segment replaces are listed as dead until ``compacted``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .retrieval import K1, B, terms
 
-#: Postings of a block; documents of a shard; buckets of terms.
-BLOCK, SHARD, BUCKETS = 128, 1 << 13, 32
-#: Rows that a task combines at a time before the shuffle; the columns of a posting.
-COMBINED, POSTING = 500_000, ["key", "tf", "length"]
+#: Postings of a block; documents and postings of a shard, about; buckets of terms, and the one of the shards' documents.
+BLOCK, SHARD, POSTINGS, BUCKETS, DOCUMENTS = 128, 1 << 13, 2_000_000, 32, -1
+#: Files of a bucket, at most, for each task of a shuffle; bytes of documents that go to a worker at a time.
+FILES, BATCH_BYTES = 16, 8 << 20
 #: Terms of a search that are pushed down to the files' own filters, and terms of all its queries, at most.
 PUSHED, PAIRS = 2000, 1_000_000
 #: Scores (queries by documents) in one numpy step.
@@ -65,32 +67,37 @@ class TextIndex:
 
     def removed(self, keys: DataFrame, key: str) -> TextIndex:
         """Without the documents of these keys."""
-        return _committed(self, self.segments, self.documents().join(keys.select(F.col(key).alias("key")).distinct(), "key", "left_semi"), None)
+        gone = self.documents().join(keys.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
+        return _stored(self, self.segments, self.dead().unionByName(gone.select("key", "segment", "shard")))
 
     def compacted(self) -> TextIndex:
-        """One segment without dead postings; no text is read."""
-        flat = self._live(self.postings().select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.*"))
+        """One segment without dead postings; no text is read and no shard is mixed with another."""
+        flat = self._live(self.postings().select("segment", "bucket", "shard", "term", F.explode("postings").alias("p")).select("segment", "bucket", "shard", "term", "p.*"))
         s = max(self.segments, default=-1) + 1
-        _write_postings(self, flat.select("term", "key", "tf", "length"), s, self.n_docs)
-        whole = self.documents().withColumn("segment", F.lit(s))
-        return _stored(self, (s,), whole, self.dead().limit(0))
+        rows = flat.select("bucket", "shard", "term", "key", "tf", "length").repartition("bucket", "shard").sortWithinPartitions("bucket", "shard")
+        _written(self, rows.mapInArrow(partial(_again, BLOCK), _schema(_key_kind(self.postings()))), s)
+        return _stored(self, (s,), self.dead().limit(0))
 
     def documents(self) -> DataFrame:
-        """(key, length, segment) of every document that counts; length is null for a null text."""
-        return self.spark.read.parquet(f"{self.path}/documents/generation={self.generation}")
+        """(key, length, segment, shard) of every document that counts; length is null for a null text."""
+        rows = self.postings().where(F.col("bucket") == DOCUMENTS).select("segment", "shard", F.explode("postings").alias("p"))
+        return self._live(rows.select("p.key", "p.length", "segment", "shard"))
 
     def dead(self) -> DataFrame:
-        """(key, segment) of replaced and removed versions."""
+        """(key, segment, shard) of replaced and removed versions."""
         return self.spark.read.parquet(f"{self.path}/dead/generation={self.generation}")
 
     def postings(self) -> DataFrame:
         """(term, shard, block, n, bounds, postings, segment, bucket) of the segments that count."""
-        rows = self.spark.read.option("basePath", f"{self.path}/postings").parquet(*(f"{self.path}/postings/segment={s}" for s in self.segments))
-        return rows
+        return self.spark.read.option("basePath", f"{self.path}/postings").parquet(*(f"{self.path}/postings/segment={s}" for s in self.segments))
 
     def vocabulary(self) -> DataFrame:
         """(term, df, occurrences, most_tf, least_length) over the documents that count."""
-        flat = self._live(self.postings().select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.*"))
+        rows = self.postings().where(F.col("bucket") != DOCUMENTS)
+        if not self.dirty:  # least_length needs the postings only where a block holds several
+            sums = F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["tf"])
+            return rows.groupBy("term").agg(F.sum("n").cast("long").alias("df"), F.sum(sums).alias("occurrences"), F.max("most_tf").alias("most_tf"), F.min("least_length").alias("least_length"))
+        flat = self._live(rows.select("segment", "term", F.explode("postings").alias("p")).select("segment", "term", "p.*"))
         return flat.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
 
     def search(self, queries: DataFrame, k: int, query_key: str = "query_id", query: str = "query") -> DataFrame:
@@ -102,8 +109,7 @@ class TextIndex:
         asked = self._asked(queries, k, query_key, query)
         found = self._needed(asked).select("segment", "shard", "term", "postings")
         if self.dirty:
-            gone = self.dead().where(F.col("segment").isin(list(self.dirty))).join(self._shards(), "segment")
-            gone = gone.withColumn("shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
+            gone = self.dead().where(F.col("segment").isin(list(self.dirty)))
             posting = F.struct("key", F.lit(0).alias("tf"), F.lit(0).alias("length"))
             gone = gone.groupBy("segment", "shard").agg(F.collect_list(posting).alias("postings"))  # SHARD rows or so at most
             found = found.unionByName(gone.withColumn("term", F.lit(None).cast("string")))
@@ -134,10 +140,6 @@ class TextIndex:
         """Without postings of dead versions; rows have key and segment."""
         return rows.join(self.dead(), ["key", "segment"], "left_anti") if self.dirty else rows
 
-    def _shards(self) -> DataFrame:
-        """(segment, shards): into how many shards the documents of each segment were dealt."""
-        return self.spark.read.parquet(*(f"{self.path}/shards/segment={s}" for s in self.segments))
-
     def _wanted(self, some: list[str]) -> DataFrame:
         """Blocks of these terms: whole buckets are left out by their names, the rest by the files' filters."""
         buckets = self.spark.createDataFrame([(t,) for t in some], "term string").select(_bucket(F.col("term")).alias("b")).distinct()
@@ -273,131 +275,129 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def _key_kind(postings: DataFrame) -> str:
+    return postings.schema["postings"].dataType.elementType["key"].dataType.simpleString()
+
+
+def _schema(key: str) -> str:
+    return f"shard long, term string, block int, n int, most_tf int, least_tf int, least_length int, most_length int, postings array<struct<key: {key}, tf: int, length: int>>"
+
+
 def _segment(index: TextIndex, rows: DataFrame, key: str, text: str) -> TextIndex:
     s = max(index.segments, default=-1) + 1
     docs = rows.select(F.col(key).alias("key"), F.col(text).alias("t"))
     cores = index.spark.sparkContext.defaultParallelism
     if docs.rdd.getNumPartitions() < cores:  # one small file would be one task
         docs = docs.repartition(cores)
-    _write_postings(index, _counted(docs), s, docs.count())
-    lengths = docs.select("key", F.regexp_count("t", F.lit(r"[^ \t\r\n\f]+")).alias("length"), F.lit(s).alias("segment"))
-    return _committed(index, (*index.segments, s), None if index.generation < 0 else index.documents().join(lengths.select("key"), "key", "left_semi"), lengths)
+    blocks = _counted(docs).mapInArrow(partial(_shards, BLOCK, SHARD, s), _schema(docs.schema["key"].dataType.simpleString()))
+    _written(index, blocks, s)
+    new = replace(index, segments=(s,), dirty=())
+    if index.generation < 0:
+        return _stored(new, (s,), new.documents().select("key", "segment", "shard").limit(0))
+    gone = index.documents().join(new.documents().select("key"), "key", "left_semi")
+    return _stored(index, (*index.segments, s), index.dead().unionByName(gone.select("key", "segment", "shard")))
 
 
 def _counted(docs: DataFrame) -> DataFrame:
-    """(term, key, tf, length) of the texts ``t``.  A text's sorted words are counted in its own row, so nothing is
-    shuffled for it."""
-    rows = docs.select("key", F.sort_array(terms(F.col("t"))).alias("w")).where(F.size("w") > 0)
+    """(key, length, runs) of the texts ``t``: a text's sorted words are counted in its own row."""
+    rows = docs.select("key", F.sort_array(terms(F.col("t"))).alias("w"))
     new = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == 1) | (F.get("w", i - 1) != F.get("w", i - 2)))
-    rows = rows.select("key", "w", new.alias("first"))  # places where another word begins
+    rows = rows.select("key", "w", F.when(F.size("w") > 0, new).otherwise(F.array().cast("array<int>")).alias("first"))  # places where another word begins
     runs = F.transform("first", lambda i, k: F.struct(F.get("w", i - 1).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("w") + 1) - i).alias("tf")))
-    return rows.select("key", F.size("w").alias("length"), F.explode(runs).alias("r")).select("r.term", "key", "r.tf", "length")
-
-
-def _write_postings(index: TextIndex, rows: DataFrame, segment: int, n_docs: int) -> None:
-    """Postings (term, key, tf, length) as blocks.  A task combines what it has of a term before the one shuffle, by bucket
-    of terms and shard of documents; sorted by term, the rest streams by and is cut into blocks."""
-    shards = max(1, math.ceil(n_docs / SHARD))
-    slot = _bucket(F.col("term")) * shards + F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    kind = rows.schema["key"].dataType.simpleString()
-    rows = rows.select(slot.alias("slot"), "term", "key", "tf", "length")
-    posting = f"postings array<struct<key: {kind}, tf: int, length: int>>"
-    some = rows.mapInArrow(_combined, f"slot int, term string, {posting}").repartition("slot").sortWithinPartitions("slot", "term")
-    schema = f"slot int, term string, block int, n int, most_tf int, least_tf int, least_length int, most_length int, {posting}"
-    blocks = some.mapInArrow(partial(_cut, BLOCK), schema)
-    blocks = blocks.withColumns({"bucket": F.floor(F.col("slot") / shards).cast("int"), "shard": (F.col("slot") % shards).cast("int")}).drop("slot")
-    blocks = blocks.sortWithinPartitions("bucket", "term", "shard", "block")
-    index.spark.createDataFrame([(segment, shards)], "segment int, shards int").write.mode("overwrite").parquet(f"{index.path}/shards/segment={segment}")
-    blocks.write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/segment={segment}")
-
-
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a term and slot as one, for each COMBINED rows or so."""
-    held, n = [], 0
+    return rows.select("key", F.when(F.col("w").isNotNull(), F.size("w")).alias("length"), runs.alias("runs"))
+
+
+def _shards(block: int, most: int, segment: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the documents of a task, a shard after another."""
+    held, docs, postings, number = [], 0, 0, 0
+    first = segment << 44 | TaskContext.get().partitionId() << 20
+
+    def shard() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        runs = rows.column("runs").combine_chunks()
+        size, flat = np.diff(runs.offsets.to_numpy()), runs.flatten()
+        n = rows.num_rows
+        at = pa.array(np.concatenate([np.arange(n), np.repeat(np.arange(n), size)]))  # the list of documents, and the others
+        term = pa.concat_arrays([pa.nulls(n, pa.string()), flat.field("term").cast(pa.string())])
+        tf = pa.concat_arrays([pa.array(np.zeros(n, np.int32)), flat.field("tf")])
+        key, length = (rows.column(c).combine_chunks().take(at) for c in ("key", "length"))
+        return _blocks_of(np.full(len(term), first + number, np.int64), term, key, tf, length, block)
+
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= COMBINED:
-            yield _lists(pa.Table.from_batches(held))
-            held, n = [], 0
-    if n:
-        yield _lists(pa.Table.from_batches(held))
-
-
-def _lists(rows: pa.Table) -> pa.RecordBatch:
-    rows = rows.combine_chunks()
-    term = rows.column("term").combine_chunks().dictionary_encode().indices.to_numpy()
-    slot = rows.column("slot").to_numpy()
-    order = np.lexsort((slot, term))
-    rows, term, slot = rows.take(pa.array(order)), term[order], slot[order]
-    new = np.r_[True, (term[1:] != term[:-1]) | (slot[1:] != slot[:-1])]
-    at = np.flatnonzero(new)
-    first = rows.select(["slot", "term"]).take(pa.array(at)).combine_chunks()
-    postings = pa.StructArray.from_arrays([rows.column(c).combine_chunks() for c in POSTING], names=POSTING)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(new)).astype(np.int32)), postings)
-    return pa.RecordBatch.from_arrays([*(first.column(c).combine_chunks() for c in ("slot", "term")), lists], names=["slot", "term", "postings"])
-
-
-def _cut(block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of the sorted rows.  The last term of a batch waits for the next one: SHARD postings or so at most."""
-    held = None
+        a = 0
+        while a < batch.num_rows:
+            size = np.cumsum(np.diff(batch.column("runs").offsets.to_numpy())[a:])
+            b = a + max(1, min(most - docs, int(np.searchsorted(size, POSTINGS - postings, "right"))))
+            held.append(batch.slice(a, b - a))
+            docs, postings, a = docs + held[-1].num_rows, postings + int(size[min(b - a, len(size)) - 1]), min(b, batch.num_rows)
+            if docs >= most or postings >= POSTINGS:
+                yield shard()
+                held, docs, postings, number = [], 0, 0, number + 1
+    if held:
+        yield shard()
+
+
+def _again(block: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks anew from postings in the order of (bucket, shard)."""
+    held, unit = [], None
+    flush = lambda: _blocks_of(*_columns(pa.Table.from_batches(held).combine_chunks()), block)
     for batch in batches:
-        rows = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch]).combine_chunks()
-        if not rows.num_rows:
-            continue
-        last = int(np.flatnonzero(_begins(rows))[-1])
-        held = rows.slice(last)
-        if last:
-            yield _blocks_of(rows.slice(0, last), block)
-    if held is not None:
-        yield _blocks_of(held, block)
-
-
-def _begins(rows: pa.Table) -> np.ndarray:
-    """Whether a row is of another slot or term than the one before."""
-    new = np.ones(rows.num_rows, bool)
-    slot, term = (rows.column(c).combine_chunks() for c in ("slot", "term"))
-    new[1:] = pc.or_(pc.not_equal(slot[1:], slot[:-1]), pc.not_equal(term[1:], term[:-1])).to_numpy(zero_copy_only=False)
-    return new
-
-
-def _blocks_of(rows: pa.Table, block: int) -> pa.RecordBatch:
-    rows = rows.combine_chunks()
-    new, lists = _begins(rows), rows.column("postings").combine_chunks()
-    run = np.repeat(np.cumsum(new) - 1, np.diff(lists.offsets.to_numpy()))
-    flat = lists.flatten()
-    # The order of keys of any type, so that blocks do not depend on how rows were combined.
-    ranks = pc.rank(flat.field("key"), tiebreaker="dense").to_numpy()
-    tf, length = (flat.field(c).to_numpy() for c in ("tf", "length"))
-    order = np.lexsort((ranks, length, -tf, run))
-    flat, run, tf, length = flat.take(pa.array(order)), run[order], tf[order], length[order]
-    start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    nth = np.arange(len(run)) - start[run]
-    at = np.flatnonzero(nth % block == 0)
-    ends = np.append(at, len(run)).astype(np.int32)
-    first = rows.select(["slot", "term"]).take(pa.array(np.flatnonzero(new)[run[at]]))
-    bounds = [np.maximum.reduceat(tf, at), np.minimum.reduceat(tf, at), np.minimum.reduceat(length, at), np.maximum.reduceat(length, at)]
-    numbers = [pa.array(x.astype(np.int32)) for x in (nth[at] // block, np.diff(ends), *bounds)]
-    names = ["slot", "term", "block", "n", "most_tf", "least_tf", "least_length", "most_length", "postings"]
-    return pa.RecordBatch.from_arrays([*(first.column(c).combine_chunks() for c in ("slot", "term")), *numbers, pa.ListArray.from_arrays(pa.array(ends), flat)], names=names)
+        bucket, shard = (batch.column(c).to_numpy() for c in ("bucket", "shard"))
+        cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (shard[1:] != shard[:-1])) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                if held and unit != (bucket[a], shard[a]):
+                    yield flush()
+                    held = []
+                unit = bucket[a], shard[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield flush()
 
 
-def _committed(index: TextIndex, segments: tuple[int, ...], gone: DataFrame | None, new: DataFrame | None) -> TextIndex:
-    """A generation in which ``gone`` (rows of documents) no longer counts and ``new`` does."""
-    if index.generation < 0:
-        kind = new.schema["key"].dataType.simpleString()
-        return _stored(index, segments, new, index.spark.createDataFrame([], f"key {kind}, segment int"))
-    left = index.documents().join(gone.select("key"), "key", "left_anti")
-    dead = index.dead().unionByName(gone.select("key", "segment"))
-    return _stored(index, segments, left if new is None else left.unionByName(new), dead)
+def _columns(rows: pa.Table) -> tuple:
+    return rows.column("shard").to_numpy(), *(rows.column(c).combine_chunks() for c in ("term", "key", "tf", "length"))
 
 
-def _stored(index: TextIndex, segments: tuple[int, ...], documents: DataFrame, dead: DataFrame) -> TextIndex:
+def _blocks_of(shard: np.ndarray, term: pa.Array, key: pa.Array, tf: pa.Array, length: pa.Array, block: int) -> pa.RecordBatch:
+    """Blocks of the postings of some shards, in the order of falling frequency, then length, then key."""
+    code = term.dictionary_encode().indices.fill_null(-1).to_numpy()
+    ranks = pc.rank(key, tiebreaker="dense").to_numpy()
+    often, long = tf.to_numpy(), length.fill_null(0).to_numpy()
+    order = np.lexsort((ranks, long, -often, code, shard))
+    shard, code, often, long = shard[order], code[order], often[order], long[order]
+    flat = pa.StructArray.from_arrays([x.take(pa.array(order)) for x in (key, tf, length)], names=["key", "tf", "length"])
+    start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (shard[1:] != shard[:-1])])
+    nth = np.arange(len(code)) - np.repeat(start, np.diff(np.append(start, len(code))))
+    at = np.flatnonzero(nth % block == 0)
+    ends = np.append(at, len(code)).astype(np.int32)
+    bounds = [np.maximum.reduceat(often, at), np.minimum.reduceat(often, at), np.minimum.reduceat(long, at), np.maximum.reduceat(long, at)]
+    numbers = [pa.array(x.astype(np.int32)) for x in (nth[at] // block, np.diff(ends), *bounds)]
+    names = ["shard", "term", "block", "n", "most_tf", "least_tf", "least_length", "most_length", "postings"]
+    return pa.RecordBatch.from_arrays([pa.array(shard[at]), term.take(pa.array(order[at])), *numbers, pa.ListArray.from_arrays(pa.array(ends), flat)], names=names)
+
+
+def _written(index: TextIndex, blocks: DataFrame, segment: int) -> None:
+    """Files of a bucket, sorted by term: blocks of one shard go together."""
+    bucket = F.when(F.col("term").isNull(), F.lit(DOCUMENTS)).otherwise(_bucket(F.col("term")))
+    rows = blocks.withColumn("bucket", bucket).repartition(F.col("bucket"), F.pmod(F.xxhash64("shard"), F.lit(FILES)))
+    rows = rows.sortWithinPartitions("bucket", "term", "shard", "block")
+    conf, name = index.spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = conf.get(name)
+    conf.set(name, str(BATCH_BYTES))  # rows are whole texts
+    try:
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{index.path}/postings/segment={segment}")
+    finally:
+        conf.set(name, was)
+
+
+def _stored(index: TextIndex, segments: tuple[int, ...], dead: DataFrame) -> TextIndex:
+    """The next generation."""
     g, spark = index.generation + 1, index.spark
-    documents.write.mode("overwrite").parquet(f"{index.path}/documents/generation={g}")
-    dead.write.mode("overwrite").parquet(f"{index.path}/dead/generation={g}")
-    n, mean = spark.read.parquet(f"{index.path}/documents/generation={g}").agg(F.count("*"), F.avg("length")).first()
+    dead.distinct().write.mode("overwrite").parquet(f"{index.path}/dead/generation={g}")
     dirty = [r.segment for r in spark.read.parquet(f"{index.path}/dead/generation={g}").select("segment").distinct().collect()]
-    row = [(list(segments), [s for s in dirty if s in segments], n, mean)]
+    new = TextIndex(spark, index.path, g, segments, tuple(s for s in dirty if s in segments), 0, None)
+    n, mean = new.documents().agg(F.count("*"), F.avg("length")).first()
+    row = [(list(segments), list(new.dirty), n, mean)]
     spark.createDataFrame(row, "segments array<int>, dirty array<int>, n_docs long, mean double").write.mode("overwrite").parquet(f"{index.path}/meta/generation={g}")
-    return TextIndex(spark, index.path, g, tuple(segments), tuple(row[0][1]), n, mean)
+    return replace(new, n_docs=n, mean=mean)

@@ -80,7 +80,7 @@ def test_bounds_leave_blocks_out(spark, tmp_path, monkeypatch):
     queries = spark.createDataFrame(asked, "query_id long, query string")
     got = index.search(queries, 5).collect()
     assert sorted((x.query_id, x["rank"], x.key, round(x.score, 6)) for x in got) == bm25(docs, asked, 5)
-    assert all(x.needed <= 5 < 50 == x.blocks for x in index.report(queries, 5).collect())
+    assert all(4 * x.needed <= x.blocks and x.blocks >= 50 for x in index.report(queries, 5).collect())
 
 
 def test_a_batch_that_breaks_off_leaves_the_generation_before(spark, tmp_path, monkeypatch):
