@@ -28,8 +28,9 @@ from .retrieval import K1, B, terms
 
 #: Postings of a block; documents and postings of a shard, about; buckets of terms, and the one of the shards' documents.
 BLOCK, SHARD, POSTINGS, BUCKETS, DOCUMENTS = 128, 1 << 13, 2_000_000, 32, -1
-#: Files of a bucket, at most, for each task of a shuffle; bytes of documents that go to a worker at a time.
-FILES, BATCH_BYTES = 16, 8 << 20
+#: Files of a batch, at most; beyond it blocks are shuffled, each bucket's to so many tasks at most.  Bytes of documents
+#: that go to a worker at a time.
+MOST_FILES, FILES, BATCH_BYTES = 50_000, 1024, 8 << 20
 #: Terms of a search that are pushed down to the files' own filters, and terms of all its queries, at most.
 PUSHED, PAIRS = 2000, 1_000_000
 #: Scores (queries by documents) in one numpy step.
@@ -146,7 +147,7 @@ class TextIndex:
         rows = self.postings().where(F.col("bucket").isin(sorted(r.b for r in buckets.collect())))  # BUCKETS numbers at most
         if len(some) <= PUSHED:
             return rows.where(F.col("term").isin(some))
-        return rows.join(self.spark.createDataFrame([(t,) for t in some], "term string"), "term", "left_semi")
+        return rows.join(F.broadcast(self.spark.createDataFrame([(t,) for t in some], "term string")), "term", "left_semi")  # PAIRS rows at most
 
     def _needed(self, asked: _Asked) -> DataFrame:
         """Blocks that some query needs."""
@@ -378,9 +379,12 @@ def _blocks_of(shard: np.ndarray, term: pa.Array, key: pa.Array, tf: pa.Array, l
 
 
 def _written(index: TextIndex, blocks: DataFrame, segment: int) -> None:
-    """Files of a bucket, sorted by term: blocks of one shard go together."""
+    """Files of a bucket, sorted by term.  Each task writes its own, so blocks are not shuffled, unless that would be over
+    MOST_FILES; then blocks of some shards go together."""
     bucket = F.when(F.col("term").isNull(), F.lit(DOCUMENTS)).otherwise(_bucket(F.col("term")))
-    rows = blocks.withColumn("bucket", bucket).repartition(F.col("bucket"), F.pmod(F.xxhash64("shard"), F.lit(FILES)))
+    rows = blocks.withColumn("bucket", bucket)
+    if blocks.rdd.getNumPartitions() * (BUCKETS + 1) > MOST_FILES:
+        rows = rows.repartition(F.col("bucket"), F.pmod(F.xxhash64("shard"), F.lit(FILES)))
     rows = rows.sortWithinPartitions("bucket", "term", "shard", "block")
     conf, name = index.spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     was = conf.get(name)

@@ -1,4 +1,5 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,3 +87,25 @@ def test_jobs(spark):
     assert jobs.cancel(slow.id, clean=True).state == "cancelled" and undone == [2]
     jobs.forget(-1)
     assert not jobs.jobs and duration(3725) == "1h 2m"
+
+
+def test_a_cancelled_job_shows_the_rows_done_and_is_undone(spark, tmp_path):
+    jobs, path = Jobs(spark), str(tmp_path / "part")
+    undone = []
+
+    def store(job):
+        job.watch(spark.range(500), "stored").write.parquet(path)
+
+    def wait(job):
+        slow = spark.range(0, 40, 1, 40).select(F.udf(lambda x: time.sleep(0.5) or x, "long")("id").alias("x"))
+        job.watch(slow, "waited").write.format("noop").mode("overwrite").save()
+
+    job = jobs.create([store, wait, store], undo=lambda: undone.append(True))
+    until = time.time() + 60
+    while time.time() < until and (jobs.check(job.id).done < 1 or jobs.check(job.id).tasks[1] < 40):
+        time.sleep(0.1)
+    seen = jobs.check(job.id)
+    assert seen.rows == {"stored": 500} and seen.done == 1 and seen.tasks[0] < seen.tasks[1]
+    jobs.cancel(job.id, clean=True)
+    time.sleep(0.5)
+    assert jobs.check(job.id).state == "cancelled" and undone == [True] and jobs.check(job.id).rows == {"stored": 500}
