@@ -90,16 +90,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_
     """One row per document, dropped ones too: (id, text_hash, text_sha256, keep_id, group_size, kept).
 
     Of equal normalised texts the row with the most code points in its original text stays, then the one with the
-    smallest id (null ids last).  Null texts count as empty and are one group with the empty ones.  Rows that repeat
+    smallest id (null ids last; ids are longs).  Null texts count as empty and are one group with the empty ones.  Rows that repeat
     the keeper's id and text are all marked kept and all counted.  An empty table gives no rows; other columns are not
     looked at.
     """
     lists = written(recipes(docs, id_col, text_col, id_bits), "recipes")
     verified = _told_apart(lists)
     key = ["recipe", "variants"]
-    best = F.max(F.struct("n_chars", (-F.col("id")).alias("minus"))).alias("best")
+    best = F.max(F.struct("n_chars", F.bitwise_not("id").alias("minus"))).alias("best")  # falls as the id grows, for the least long too
     groups = verified.groupBy(*key).agg(best, F.count("*").alias("group_size"))
-    groups = groups.select(*key, "group_size", (-F.col("best.minus")).alias("keep_id"))
+    groups = groups.select(*key, "group_size", F.bitwise_not("best.minus").alias("keep_id"))
     out = verified.select("id", "text_hash", "text_sha256", *key).join(groups, key)
     return out.select("id", "text_hash", "text_sha256", "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"))
 

@@ -98,7 +98,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     """One row per document: (id, f0, ..., component): the smallest id reachable through fingerprints within
     ``most_bits`` bits.
 
-    Equal fingerprints are one node, named by the smallest id, so that copies never make pairs.  Null texts count as
+    Ids are longs.  Equal fingerprints are one node, named by the smallest id, so that copies never make pairs.  Null texts count as
     empty; empty texts share the zero fingerprint and link like any other.  Null ids keep their rows and are never
     the smallest; a fingerprint that has null ids only gets a null component.  Repeated rows stay repeated.  An empty
     table gives no rows; extra columns are not looked at.

@@ -131,3 +131,14 @@ def test_xxh64_kernel():
     end = np.cumsum([len(p) for p in parts])
     got = kernels.xxh64(buf, end - [len(p) for p in parts], end, 42)
     assert got.tolist() == [xxhash.xxh64_intdigest(p, 42) for p in parts]
+
+
+def test_the_least_long_is_an_id_like_any_other(spark):
+    from graphloom.llm import recipes
+
+    least = -(1 << 63)
+    df = spark.createDataFrame([(5, "a b"), (least, "ab"), (least, "b a"), (None, "a  b"), (7, "ab")], "doc_id long, text string")
+    got = sorted(((r.id, r.keep_id, r.group_size, r.kept) for r in recipes.classes(df).collect()), key=repr)
+    assert got == sorted([(5, None, 4, False), (least, None, 4, False), (None, None, 4, True), (7, None, 4, False), (least, least, 1, True)], key=repr)
+    got = {(r.id, r.keep_id) for r in recipes.classes(df.where("text = 'ab'")).collect()}
+    assert got == {(least, least), (7, least)}
