@@ -21,6 +21,7 @@ CURRENCIES = {
     "yuan": "CNY", "renminbi": "CNY", "yen": "JPY", "ruble": "RUB", "rubles": "RUB",
 }
 #: Scale words after an amount, as regular expressions, largest first.
+# Scale words of amounts, first match wins, and the order in which date patterns are tried.
 SCALES = [(r"\btrillion\b", 1e12), (r"\b(billion|bn)\b", 1e9), (r"\b(million|mn|mln|m)\b", 1e6), (r"\b(thousand|k)\b", 1e3)]
 #: Date patterns in the order in which they are tried: day first before month first.
 DATES = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyy/M/d"]
