@@ -97,13 +97,10 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id"
 def best_of_batch(scores: np.ndarray, names: list, ids: np.ndarray, k: int, query_key: str, key: str) -> Iterator[pd.DataFrame]:
     """For each query (a column of scores) the rows that reach its k-th best, ties included."""
     scores = np.round(scores, 9)
-    for q, name in enumerate(names):
-        score = scores[:, q]
-        if k < len(score):
-            score = score[(at := np.flatnonzero(score >= np.partition(score, -k)[-k]))]
-        else:
-            at = np.arange(len(score))
-        yield pd.DataFrame({query_key: [name] * len(at), key: ids[at], "score": score})
+    if scores.size:
+        least = np.partition(scores, -k, axis=0)[-k] if k < len(scores) else scores.min(axis=0)
+        row, q = np.nonzero(scores >= least)
+        yield pd.DataFrame({query_key: pd.Series(names).to_numpy()[q], key: ids[row], "score": scores[row, q]})
 
 
 def nearest(vectors: DataFrame, query: Column, k: int, key: str, vector: str, where: Column | None = None) -> DataFrame:
