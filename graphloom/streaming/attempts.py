@@ -56,7 +56,8 @@ def attempts(landed: DataFrame, done: DataFrame, most: int = 3, wait: float = 60
 
     A chunk comes when it lands and again every ``wait`` seconds until its id is in ``done`` or it came ``most`` times.  Of
     a chunk that lands twice only the first landing counts, and one that is done before it lands does not come.  The state
-    of a chunk that nothing happens to for ``forget`` seconds expires; without it, state stays.
+    of a chunk that nothing happens to for ``forget`` seconds expires; without it, state stays.  Sets the session's store of
+    state to RocksDB, which timers need.
     """
     both = landed.select("id", F.lit("landed").alias("kind")).unionByName(done.select("id", F.lit("done").alias("kind")))
     landed.sparkSession.conf.set(*_PROVIDER)
