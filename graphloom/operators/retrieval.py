@@ -7,9 +7,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpoint
 from ..functions.text import cosine, embedding_text
 
 #: BM25's usual constants.
@@ -57,50 +60,129 @@ def hashed_words(rows: DataFrame, key: str, text: str, dims: int = 64) -> DataFr
     return sparse.select(key, dense.alias("vector"))
 
 
-#: Numbers that the queries of one search may hold together (8 bytes each, sent to every task).
-QUERY_NUMBERS = 20_000_000
+#: Numbers of a block of vectors (8 bytes each) and its rows, at most; blocks that a task holds of the vectors, and goes
+#: through of the queries; bytes of blocks that go to a worker at a time.
+BLOCK_NUMBERS, BLOCK_ROWS, HELD, ASKED, BATCH_BYTES = 1 << 16, 1024, 64, 16, 4 << 20
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "id", vector: str = "vector", query_key: str = "query_id", query: str = "query") -> DataFrame:
     """(query_key, key, score, rank): the k vectors of highest cosine for each query; ties (9 places) go to the smaller key.
 
-    One scan, a product of each batch with all queries, and k rows of a batch and query at most go on.  Vectors that are
-    zero or null have no neighbours.  Raises if the queries are over QUERY_NUMBERS: search for parts of them.
+    Blocks of queries meet blocks of vectors; k rows of a query and a task go on.  Neither side is held whole anywhere.
+    Vectors that are zero or null have no neighbours.
     """
-    asked = queries.select(query_key, F.transform(query, lambda x: x.cast("double")).alias("v")).where("v is not null")
-    size = asked.agg(F.sum(F.size("v"))).first()[0] or 0
-    if size > QUERY_NUMBERS:
-        raise ValueError(f"queries of {size} numbers; at most {QUERY_NUMBERS} at a time")
-    held = asked.toPandas()
-    unit = np.array(held["v"].tolist(), float).reshape(len(held), -1)
-    norm = np.sqrt((unit * unit).sum(axis=1))
-    ok = norm > 0
-    names, unit = held[query_key][ok].tolist(), unit[ok] / norm[ok, None]
-    kind, own = queries.schema[query_key].dataType.simpleString(), vectors.schema[key].dataType.simpleString()
+    return best_of_blocks(packed(queries, query_key, query), packed(vectors, key, vector), k, query_key, key)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame = frame[frame["v"].notna()]
-            if not len(frame) or not len(names):
-                continue
-            v = np.array(frame["v"].tolist(), float)
-            size = np.sqrt((v * v).sum(axis=1))
-            frame, v = frame[size > 0], v[size > 0] / size[size > 0, None]
-            yield from best_of_batch(v @ unit.T, names, frame[key].to_numpy(), k, query_key, key)
 
-    rows = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    found = rows.mapInPandas(run, f"{query_key} {kind}, {key} {own}, score double")
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def packed(rows: DataFrame, key: str, vector: str, of: str | None = None, marks: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(keys, unit, of, marks): blocks of unit vectors, ordered by key; rows without a direction are left out.
 
+    A block has rows of one value of the column ``of`` (-1 if none is named).  ``marks``: some int32 numbers for each row.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    rows = rows.select(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"), (F.col(of).cast("int") if of else F.lit(-1)).alias("of"))
 
-def best_of_batch(scores: np.ndarray, names: list, ids: np.ndarray, k: int, query_key: str, key: str) -> Iterator[pd.DataFrame]:
-    """For each query (a column of scores) the rows that reach its k-th best, ties included."""
-    scores = np.round(scores, 9)
-    if scores.size:
-        least = np.partition(scores, -k, axis=0)[-k] if k < len(scores) else scores.min(axis=0)
-        row, q = np.nonzero(scores >= least)
-        yield pd.DataFrame({query_key: pd.Series(names).to_numpy()[q], key: ids[row], "score": scores[row, q]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, unit = units(batch.column("v"))
+            if not len(at):
+                continue
+            own = pa.table({"of": batch.column("of").take(pa.array(at)), "key": batch.column("key").take(pa.array(at))})
+            order = pc.sort_indices(own, sort_keys=[("of", "ascending"), ("key", "ascending")], null_placement="at_start")
+            own, unit = own.take(order), unit[order.to_numpy()]
+            names, group = own.column("key").combine_chunks(), own.column("of").to_numpy()
+            cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+            many = max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // unit.shape[1]))
+            for first, last in zip(cuts, cuts[1:]):
+                for a in range(first, last, many):
+                    b = min(a + many, last)
+                    said = b"" if marks is None else marks(unit[a:b]).astype(np.int32).tobytes()
+                    held = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), names.slice(a, b - a))
+                    yield pa.RecordBatch.from_arrays([held, pa.array([unit[a:b].tobytes()], pa.binary()), pa.array(group[a : a + 1], pa.int32()), pa.array([said], pa.binary())], names=["keys", "unit", "of", "marks"])
+
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return rows.mapInArrow(run, f"keys array<{kind}>, unit binary, of int, marks binary")
+
+
+def units(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors that have a direction, and their unit vectors; vectors are of one length."""
+    some = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    column = column.take(pa.array(some))
+    size = np.unique(np.diff(column.offsets.to_numpy()))
+    if len(size) > 1:
+        raise ValueError(f"vectors of several lengths: {size.tolist()}")
+    if not len(size) or not size[0]:
+        return some[:0], np.zeros((0, 1))
+    v = column.flatten().to_numpy(zero_copy_only=False).reshape(len(some), size[0])
+    norm = np.sqrt((v * v).sum(axis=1))
+    ok = (norm > 0) & np.isfinite(norm)
+    return some[ok], v[ok] / norm[ok, None]
+
+
+def best_of_blocks(asked: DataFrame, blocks: DataFrame, k: int, query_key: str, key: str) -> DataFrame:
+    """(query_key, key, score, rank) from packed queries and vectors.  A query with marks meets only the blocks ``of`` one
+    of these numbers."""
+    kinds = [x.schema["keys"].dataType.elementType.simpleString() for x in (asked, blocks)]
+    asked, blocks = checkpoint(asked), checkpoint(blocks)
+    many, cores = blocks.count(), asked.sparkSession.sparkContext.defaultParallelism
+    left = asked.select(F.monotonically_increasing_id().alias("number"), F.col("keys").alias("asked"), F.col("unit").alias("query"), "marks")
+    left = left.repartition(max(1, -(-asked.count() // ASKED)))
+    right = blocks.select("keys", "unit", "of").repartition(max(1, min(many, cores), -(-many // HELD)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, number = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                of = lambda c: batch.column(c)[i]  # noqa: B023, E731
+                if found is None or of("number").as_py() != number:
+                    if found is not None:
+                        yield from found.rows()
+                    number, found = of("number").as_py(), _Best(k, of("asked").values, of("query").as_buffer(), of("marks").as_buffer(), query_key, key)
+                found.add(of("keys").values, of("unit").as_buffer(), of("of").as_py())
+        if found is not None:
+            yield from found.rows()
+
+    best = left.hint("shuffle_replicate_nl").crossJoin(right).mapInArrow(run, f"`{query_key}` {kinds[0]}, `{key}` {kinds[1]}, score double")
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+class _Best:
+    """The k best rows of each query of a block, of the blocks seen so far."""
+
+    def __init__(self, k: int, names: pa.Array, unit: pa.Buffer, marks: pa.Buffer, query_key: str, key: str):
+        self.k, self.names, self.query_key, self.key = k, names, query_key, key
+        self.unit = np.frombuffer(unit).reshape(len(names), -1)
+        self.marks = np.frombuffer(marks, np.int32).reshape(len(names), -1)
+        self.held: list[pa.Table] = []
+
+    def add(self, keys: pa.Array, unit: pa.Buffer, of: int) -> None:
+        asked = np.flatnonzero((self.marks == of).any(axis=1)) if self.marks.size else np.arange(len(self.names))
+        if not len(asked):
+            return
+        scores = np.round(self.unit[asked] @ np.frombuffer(unit).reshape(len(keys), -1).T, 9)
+        keep = np.ones(scores.shape, bool)
+        if self.k < len(keys):  # of rows that tie at the k-th place, the first ones: keys ascend
+            least = np.partition(scores, -self.k, axis=1)[:, -self.k, None]
+            above, tied = scores > least, scores == least
+            keep = above | (tied & (np.cumsum(tied, axis=1) <= self.k - above.sum(axis=1)[:, None]))
+        q, row = np.nonzero(keep)
+        self.held.append(pa.table({"q": pa.array(asked[q]), "key": keys.take(pa.array(row)), "score": pa.array(scores[q, row])}))
+        if sum(t.num_rows for t in self.held) > 8 * self.k * len(self.names):
+            self.held = [self._kept()]
+
+    def _kept(self) -> pa.Table:
+        rows = pa.concat_tables(self.held)
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("q", "ascending"), ("score", "descending"), ("key", "ascending")], null_placement="at_start"))
+        q = rows.column("q").to_numpy()
+        return rows.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < self.k))
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        rows = self._kept()
+        q, key, score = (rows.column(c).combine_chunks() for c in ("q", "key", "score"))
+        yield pa.RecordBatch.from_arrays([self.names.take(q), key, score], names=[self.query_key, self.key, "score"])
 
 
 def nearest(vectors: DataFrame, query: Column, k: int, key: str, vector: str, where: Column | None = None) -> DataFrame:

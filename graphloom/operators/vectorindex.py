@@ -11,18 +11,22 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint
-from .retrieval import QUERY_NUMBERS, best_of_batch, nearest_many
+from .retrieval import best_of_blocks, nearest_many, packed, units
 
 #: Rows of the sample (those with the smallest hashes of their keys); rounds of fitting; most lists; queries and
 #: neighbours by which the lists of a query are counted.
 SAMPLE, ROUNDS, MOST_LISTS, TRIED, NEIGHBOURS, SEED = 20_000, 12, 4096, 400, 10, 7
+#: Vectors whose distances to all centres are in memory together.
+STEP = 1024
 #: The list of rows without a direction: null and zero vectors.  No search reads it.
 NOWHERE = -1
 
@@ -52,6 +56,11 @@ def probes(unit: np.ndarray, own: np.ndarray, recall: float) -> int:
     return int(min(np.searchsorted(found, recall) + 1, len(own)))
 
 
+def lists_of(own: np.ndarray, n: int, unit: np.ndarray) -> np.ndarray:
+    """The n lists nearest to each query."""
+    return np.argsort(-(unit @ own.T), axis=1, kind="stable")[:, :n]
+
+
 @dataclass(frozen=True)
 class VectorIndex:
     spark: SparkSession
@@ -74,7 +83,8 @@ class VectorIndex:
             for frame in frames:
                 at, v = _units(frame["vector"])
                 number = np.full(len(frame), NOWHERE, np.int32)
-                number[at] = (v @ own.T).argmax(axis=1) if len(at) else 0
+                for a in range(0, len(at), STEP):
+                    number[at[a : a + STEP]] = (v[a : a + STEP] @ own.T).argmax(axis=1)
                 yield frame.assign(list=number)
 
         kinds = ", ".join(f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in names)
@@ -93,10 +103,6 @@ class VectorIndex:
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/lists")
 
-    def lists_of(self, unit: np.ndarray, n: int) -> np.ndarray:
-        """The n lists nearest to each query."""
-        return np.argsort(-(unit @ self.centres.T), axis=1, kind="stable")[:, :n]
-
     def search(self, queries: DataFrame, k: int, query_key: str = "query_id", query: str = "query", where: Column | None = None, probes: int | None = None) -> DataFrame:
         """(query_key, key, score, rank): of each query k rows that pass the filter, by cosine; ties (9 places) go to
         the smaller key.
@@ -104,53 +110,46 @@ class VectorIndex:
         Scores are exact; a row in a list that is not read can be missed.  A query that finds fewer than k rows in its
         lists, as with a narrow filter, is searched in all of them.
         """
-        names, unit = self._asked(queries, query_key, query)
-        mine = self.lists_of(unit, min(probes or self.probes, len(self.centres)))
-        of_list = {int(c): np.flatnonzero((mine == c).any(axis=1)) for c in np.unique(mine)}
-        rows = self.rows().where(F.col("list").isin(list(of_list)))
+        n = min(probes or self.probes, len(self.centres))
+        asked = checkpoint(packed(queries, query_key, query, marks=partial(lists_of, self.centres, n)))
+        rows = self.rows().where(F.col("list").isin(self._lists(asked, n)))
         rows = rows if where is None else rows.where(where)
-        kinds = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {self.key} {rows.schema[self.key].dataType.simpleString()}, score double"
-        key = self.key
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for number, part in frame.groupby("list", sort=False):
-                    at, v = _units(part["vector"])
-                    asked = of_list[int(number)]
-                    ids = part[key].to_numpy()[at]
-                    yield from best_of_batch(v @ unit[asked].T, [names[i] for i in asked], ids, k, query_key, key)
-
-        found = rows.select(key, "vector", "list").mapInPandas(run, kinds)
-        w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-        top = checkpoint(found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))  # k rows a query
-        if len(of_list) == len(self.centres) and (mine.shape[1] == len(self.centres)):
+        top = checkpoint(best_of_blocks(asked, packed(rows, self.key, "vector", of="list"), k, query_key, self.key))  # k rows a query
+        if n == len(self.centres):
             return top
         full = top.groupBy(query_key).count().where(F.col("count") >= k)
         short = queries.join(full, query_key, "left_anti")
         if short.isEmpty():
             return top
         every = self.rows() if where is None else self.rows().where(where)
-        more = nearest_many(every, short, k, key, "vector", query_key, query)
+        more = nearest_many(every, short, k, self.key, "vector", query_key, query)
         return top.join(full, query_key, "left_semi").unionByName(more)
 
     def report(self, queries: DataFrame, query_key: str = "query_id", query: str = "query", probes: int | None = None) -> DataFrame:
         """(query_key, lists, rows_read, rows): how many rows are in the lists that a query reads, and in all."""
-        names, unit = self._asked(queries, query_key, query)
-        mine = self.lists_of(unit, min(probes or self.probes, len(self.centres)))
+        n = min(probes or self.probes, len(self.centres))
         sizes = {r["list"]: r["count"] for r in self.rows().groupBy("list").count().collect()}  # MOST_LISTS rows at most
-        n, every = [sum(sizes.get(int(c), 0) for c in own) for own in mine], sum(sizes.values())
-        table = pd.DataFrame({query_key: names, "lists": mine.shape[1], "rows_read": n, "rows": every})
-        kind = queries.schema[query_key].dataType.simpleString()
-        return self.spark.createDataFrame(table, f"{query_key} {kind}, lists int, rows_read long, rows long")
+        own, held, every = self.centres, np.array([sizes.get(c, 0) for c in range(len(self.centres))]), sum(sizes.values())
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, unit = units(batch.column("v"))
+                rows = [held[lists_of(own, n, unit[a : a + STEP])].sum(axis=1) for a in range(0, len(at), STEP)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]))], names=[query_key, "rows_read"])
 
-    def _asked(self, queries: DataFrame, query_key: str, query: str) -> tuple[list, np.ndarray]:
         asked = queries.select(query_key, F.transform(query, lambda x: x.cast("double")).alias("v"))
-        size = asked.agg(F.sum(F.size("v"))).first()[0] or 0
-        if size > QUERY_NUMBERS:
-            raise ValueError(f"queries of {size} numbers; at most {QUERY_NUMBERS} at a time")
-        held = asked.toPandas()
-        at, unit = _units(held["v"])
-        return held[query_key].to_numpy()[at].tolist(), unit if len(at) else np.zeros((0, self.centres.shape[1]))
+        out = asked.mapInArrow(read, f"`{query_key}` {queries.schema[query_key].dataType.simpleString()}, rows_read long")
+        return out.select(query_key, F.lit(n).alias("lists"), "rows_read", F.lit(every).cast("long").alias("rows"))
+
+    def _lists(self, asked: DataFrame, n: int) -> list[int]:
+        """The lists that some query reads; MOST_LISTS numbers at most."""
+
+        def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for x in batch.column("marks"):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.frombuffer(x.as_buffer(), np.int32)))], names=["list"])
+
+        return sorted(r.list for r in asked.select("marks").mapInArrow(seen, "list int").distinct().collect())
 
 
 def _units(column: pd.Series) -> tuple[np.ndarray, np.ndarray]:

@@ -146,3 +146,24 @@ def test_clustered_vectors_are_read_in_part(spark, tmp_path):
     assert len(narrow) == len(exact)
     plan = index.search(asked.limit(1), 10, where=F.col("kind") == 39, probes=1)
     assert plan.count() == 10
+
+
+def test_searches_by_blocks_hold_no_side_whole(spark, tmp_path, monkeypatch):
+    """Queries stay in tasks, copies beyond the k-th place stay where they are, and small blocks give the same rows."""
+    r = random.Random(8)
+    some = [[r.gauss(0, 1) for _ in range(6)] for _ in range(150)] + [[1.0, 2.0, 3.0, 4.0, 5.0, 6.0]] * 300 + [[0.0] * 6, None]
+    rows = spark.createDataFrame([(n, v) for n, v in enumerate(some)], "id long, vector array<double>").repartition(4)
+    asked = rows.where("id % 4 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
+    unit = np.array(some[:450]) / np.linalg.norm(np.array(some[:450]), axis=1)[:, None]
+    want = []
+    for q in range(0, 450, 4):
+        score = np.round(unit @ unit[q], 9)
+        want += [(q, n, int(i)) for n, i in enumerate(sorted(range(450), key=lambda i: (-score[i], i))[:5], 1)]
+    index = VectorIndex.create(spark, str(tmp_path), rows, "id", "vector", lists=6)
+    monkeypatch.setattr(retrieval, "BLOCK_ROWS", 7)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toPandas", lambda self: pytest.fail("a side goes through the driver"))
+    for found in (retrieval.nearest_many(rows, asked, 5), index.search(asked, 5, probes=6)):
+        assert sorted((x.query_id, x["rank"], x.id) for x in found.collect()) == want
+    assert index.report(asked, probes=2).count() == 113
+    with pytest.raises(Exception, match="several lengths"):
+        retrieval.nearest_many(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], rows.schema).coalesce(1), asked, 5).collect()
