@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from .retrieval import K1, B, terms
 
 #: Postings of a block; documents and postings of a shard, about; buckets of terms, and the one of the shards' documents.
-BLOCK, SHARD, POSTINGS, BUCKETS, DOCUMENTS = 128, 1 << 13, 2_000_000, 32, -1
+BLOCK, SHARD, POSTINGS, BUCKETS, DOCUMENTS = 128, 1 << 13, 500_000, 32, -1
 #: Files of a batch, at most; beyond it blocks are shuffled, each bucket's to so many tasks at most.  Bytes of documents
 #: that go to a worker at a time.
 MOST_FILES, FILES, BATCH_BYTES = 50_000, 1024, 8 << 20
 #: Terms of a search that are pushed down to the files' own filters, and terms of all its queries, at most.
 PUSHED, PAIRS = 2000, 1_000_000
-#: Scores (queries by documents) in one numpy step.
-CELLS = 4_000_000
+#: Scores (queries by documents), and matches of a posting with a query, in one numpy step.
+CELLS, MATCHES = 4_000_000, 500_000
 #: Scores that differ by less than this are not told apart by the bounds.
 SLACK = 1e-6
 
@@ -115,7 +115,7 @@ class TextIndex:
             gone = gone.groupBy("segment", "shard").agg(F.collect_list(posting).alias("postings"))  # SHARD rows or so at most
             found = found.unionByName(gone.withColumn("term", F.lit(None).cast("string")))
         kinds = found.schema["postings"].dataType.elementType["key"].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
-        score = partial(_scored, asked, k, self.mean or 1.0, CELLS)
+        score = partial(_scored, asked, k, self.mean or 1.0, CELLS, MATCHES)
         rows = found.repartition("segment", "shard").sortWithinPartitions("segment", "shard")
         best = rows.mapInArrow(score, f"q int, key {kinds[0]}, score double")
         named = self.spark.createDataFrame([(i, name) for i, name in enumerate(asked.names)], f"q int, `{query_key}` {kinds[1]}")
@@ -209,7 +209,7 @@ class _Asked:
     spare: np.ndarray
 
 
-def _scored(asked: _Asked, k: int, mean: float, cells: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scored(asked: _Asked, k: int, mean: float, cells: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The k best documents of each query from each shard; rows without a term hold the shard's dead documents."""
     number = {t: i for i, t in enumerate(asked.terms)}
     order = np.argsort(asked.term, kind="stable")
@@ -233,10 +233,13 @@ def _scored(asked: _Asked, k: int, mean: float, cells: int, batches: Iterator[pa
         for a in range(0, len(asked.names), many):
             b = min(a + many, len(asked.names))
             lo, hi = (start[term], start[term + 1]) if b - a == len(asked.names) else _between(query, start, term, a, b)
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            cell = (query[at] - a) * len(keys) + np.repeat(code, n)
-            total = np.bincount(cell, np.repeat(part, n), (b - a) * len(keys)).reshape(b - a, len(keys))
+            total = np.zeros((b - a) * len(keys))
+            for c, d in _stretches(hi - lo, most):
+                n = hi[c:d] - lo[c:d]
+                at = np.repeat(lo[c:d] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                cell = (query[at] - a) * len(keys) + np.repeat(code[c:d], n)
+                np.add.at(total, cell, np.repeat(part[c:d], n))
+            total = total.reshape(b - a, len(keys))
             for q in range(b - a):
                 some = np.flatnonzero(total[q])
                 if len(some) > k:
@@ -265,6 +268,15 @@ def _scored(asked: _Asked, k: int, mean: float, cells: int, batches: Iterator[pa
         yield from finish()
 
 
+def _stretches(n: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of postings that hold at most ``most`` pairs of a posting and a query, or one posting."""
+    ends, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
 def _between(query: np.ndarray, start: np.ndarray, term: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each term's queries (ascending) those from a to below b."""
     span = int(query.max(initial=0)) + 1

@@ -167,3 +167,16 @@ def test_searches_by_blocks_hold_no_side_whole(spark, tmp_path, monkeypatch):
     assert index.report(asked, probes=2).count() == 113
     with pytest.raises(Exception, match="several lengths"):
         retrieval.nearest_many(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], rows.schema).coalesce(1), asked, 5).collect()
+
+
+def test_scores_of_frequent_words_are_summed_in_stretches(spark, tmp_path, monkeypatch):
+    """Questions that share frequent words: matches in one step stay few, and scores are the same."""
+    r = random.Random(2)
+    docs = {k: " ".join(r.choices("abcdefgh", k=r.randint(1, 12))) for k in range(120)}
+    asked = [(k, " ".join(r.sample("abcdefgh", 6))) for k in range(20)]
+    index = TextIndex.create(spark, str(tmp_path), spark.createDataFrame(list(docs.items()), "doc long, text string"), "doc")
+    monkeypatch.setattr(textindex, "MATCHES", 50)
+    got = index.search(spark.createDataFrame(asked, "query_id long, query string"), 4).collect()
+    assert sorted((x.query_id, x["rank"], x.key, round(x.score, 6)) for x in got) == bm25(docs, asked, 4)
+    n = np.array([30, 30, 0, 80, 10, 10])
+    assert list(textindex._stretches(n, 50)) == [(0, 1), (1, 3), (3, 4), (4, 6)] and textindex.POSTINGS <= 500_000
