@@ -2,13 +2,14 @@
 
 import os
 import random
+import re
 import time
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from graphloom.operators import chunk, graph, layout, store, upsert
+from graphloom.operators import analytics, chunk, graph, layout, store, upsert
 from graphloom.operators.scan import scanned
 
 
@@ -160,3 +161,40 @@ def test_median_of_counted_values(spark):
             assert x.median_font == (own[len(own) // 2] if own else None)
             assert x.is_heading == bool(own and x.font_size_max is not None and x.font_size_max > 1.2 * own[len(own) // 2])
     assert found.count() == len(rows)
+
+
+def test_shared_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    r = random.Random(5)
+    edges = [(r.randrange(30), r.randrange(12)) for _ in range(400)] + [(None, 1), (1, None)]
+    df = spark.createDataFrame(edges, "src int, dst int")
+    to = {s: {d for x, d in edges if x == s and d is not None} for s in range(30)}
+    want = sorted(((a, b, len(to[a] & to[b])) for a in to for b in to if a < b), key=lambda x: (-x[2], x[:2]))[:25]
+    assert [tuple(x) for x in analytics.shared_pairs(df, 25).collect()] == want
+    monkeypatch.setattr(analytics, "PAIRS", 100)
+    monkeypatch.setattr(analytics, "ROWS", 50)
+    found = analytics.shared_pairs(df, 25)
+    assert [tuple(x) for x in found.collect()] == want
+    tasks = [int(n) for n in re.findall(r"hashpartitioning\(a#\d+, (\d+)\)", found._jdf.queryExecution().executedPlan().toString())]
+    assert tasks and min(tasks) >= 20
+
+
+def test_upserts_are_dealt_once_by_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(upsert, "ROWS", 40)
+    monkeypatch.setattr(store, "ROWS", 5)
+    kinds = "type string, src_label string, src string, dst_label string, dst string, props map<string, string>, seq long"
+    rows = [("T", "A", f"a{n % 7}", "B", f'b"{n % 11}', {"x": str(n), "y": None if n % 2 else "even"}, n) for n in range(300)]
+    ends = spark.createDataFrame([("A", f"a{n}") for n in range(5)] + [("B", f'b"{n}') for n in range(9)], "label string, key string")
+    df = spark.createDataFrame(rows, kinds)
+    want = {}
+    for _, _, a, _, b, props, _ in rows:
+        if int(a[1:]) < 5 and int(b[2:]) < 9:
+            want.setdefault((a, b), {}).update({k: v for k, v in props.items() if v is not None})
+    found = upsert.upserted_edges(df.limit(0), df, ends, 300)
+    assert {(x.src, x.dst): x.props for x in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 8" in plan
+    kept = store.Store(spark, str(tmp_path / "edges"), buckets=3)
+    for _ in range(2):
+        kept.merged_edges(df, ends)
+    assert {(x.src, x.dst): x.props for x in kept.edges().collect()} == want
+    assert len(files(kept.path)) > 3  # a bucket of many rows is several tasks' work
