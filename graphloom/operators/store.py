@@ -8,10 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import checkpoint
-from .upsert import upserted
+from .upsert import EDGE, ROWS, upserted
 
 _ROW = "label string, key string, props map<string, string>, seq long"
-_EDGE = ("type", "src_label", "src", "dst_label", "dst")
 
 
 @dataclass(frozen=True)
@@ -53,15 +52,17 @@ class Store:
         the same table, so a batch that broke off is repeated as a whole.
         """
         batch = checkpoint(incoming.select("label", "key", "props", "seq").withColumn("bucket", self._bucket()))
-        n = batch.agg(F.count("*"), F.count_distinct("label", "key")).first()
-        hit = sorted(r.bucket for r in batch.select("bucket").distinct().collect())  # numbers of buckets
+        sums = batch.groupBy("bucket").agg(F.count("*").alias("n"), F.count_distinct("label", "key").alias("entities")).collect()  # numbers of buckets
+        hit, n = sorted(r.bucket for r in sums), sum(r.n for r in sums)
         if hit:
             known = self._read().where(F.col("bucket").isin(hit))
+            rows = n + known.count()
             # What is overwritten is read first: the merged rows go to the checkpoint folder.
-            after = checkpoint(upserted(known, batch).withColumn("bucket", self._bucket()))
-            out = after.repartition(len(hit), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            out.partitionBy("bucket").parquet(self.path)
-        return Written(n[0], n[1], tuple(hit))
+            after = checkpoint(upserted(known, batch, rows).withColumn("bucket", self._bucket()))
+            files = -(-rows // (ROWS * len(hit)))  # of a bucket
+            out = after.repartition(files * len(hit), "bucket", F.pmod(F.xxhash64("key"), F.lit(files)))
+            out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        return Written(n, sum(r.entities for r in sums), tuple(hit))
 
     def merged_edges(self, incoming: DataFrame, entities: DataFrame) -> Written:
         """Writes relationships (type, src_label, src, dst_label, dst, props, seq); those whose ends are no entity vanish."""
@@ -69,10 +70,10 @@ class Store:
         rows = incoming
         for end in ("src", "dst"):
             rows = rows.join(ends.select(F.col("label").alias(f"{end}_label"), F.col("key").alias(end)), [f"{end}_label", end], "left_semi")
-        name = F.to_json(F.struct(*_EDGE))
+        name = F.to_json(F.struct(*EDGE))
         return self.merged(rows.select(F.col("type").alias("label"), name.alias("key"), "props", "seq"))
 
     def edges(self) -> DataFrame:
         """The relationships of a store that ``merged_edges`` wrote."""
-        ends = F.from_json("key", ", ".join(f"{c} string" for c in _EDGE))
+        ends = F.from_json("key", ", ".join(f"{c} string" for c in EDGE))
         return self.rows().select(ends.alias("e"), "props", "seq").select("e.*", "props", "seq")

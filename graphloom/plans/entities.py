@@ -81,7 +81,7 @@ def edge_upsert(spark, sf_dir):
     part = table(spark, sf_dir, "part").where("p_size > 20").select(F.lit("Part").alias("label"), F.col("p_partkey").cast("string").alias("key"))
     supplier = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.lit("Supplier").alias("label"), F.col("s_suppkey").cast("string").alias("key"))
     rows = table(spark, sf_dir, "lineitem").select(F.lit("SUPPLIES").alias("type"), F.lit("Supplier").alias("src_label"), F.col("l_suppkey").cast("string").alias("src"), F.lit("Part").alias("dst_label"), F.col("l_partkey").cast("string").alias("dst"), F.create_map(F.lit("flag"), F.col("l_returnflag")).alias("props"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
-    out = upsert.upserted_edges(rows.limit(0), rows, part.unionByName(supplier))
+    out = upsert.upserted_edges(rows.limit(0), rows, part.unionByName(supplier), rows.count())
     return out.select("type", "src", "dst", F.col("props")["flag"].alias("flag"))
 
 
