@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_dir
 from ..schemas import EXTRACTION
 from .ontology import Schema, normalized
 from .upsert import provenance, upserted, upserted_edges
@@ -66,9 +68,20 @@ def _end(schema: Schema, label: str, value: Column) -> tuple[Column, Column]:
     return columns[key.name].cast("string"), skip
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    path = f"{shared_dir(rows.sparkSession)}/extracted-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def extracted(responses: DataFrame, schema: Schema, known: DataFrame, known_edges: DataFrame, model: str, extracted_at: float = 0.0):
-    """Writes a batch of responses: (entities, relationships, provenance) after it."""
-    entities, edges = parsed(responses, schema)
+    """Writes a batch of responses: (entities, relationships, provenance) after it.
+
+    Responses and what was parsed are kept as tables in the shared folder: each label reads the ones, all three results
+    the other.
+    """
+    entities, edges = parsed(_kept(responses), schema)
+    entities = _kept(entities)
     after = upserted(known, entities)
     source = entities.select("label", "key", "chunk_id", F.lit(model).alias("model"), F.lit(extracted_at).alias("extracted_at"), F.lit(1).alias("pass_number"), F.lit("full").alias("pass_type"))
     return after, upserted_edges(known_edges, edges, after), provenance(source)

@@ -264,3 +264,24 @@ def test_small_filters(spark):
     u = spark.createDataFrame([("data:image/png;base64,aGk=",), ("http://x",), (None,)], "u string")
     got = [r.d for r in u.select(data_uri(u.u).alias("d")).collect()]
     assert (got[0].mime, bytes(got[0].data), got[1:]) == ("image/png", b"hi", [None, None])
+
+
+def test_extraction_reads_its_responses_once(spark):
+    """All results of a batch read what was kept: the source is asked once, whatever the number of labels and results."""
+    field = lambda owner: ("o", owner, "name", "STRING", True, True, "lowercase", None, None, None, None, None, None, None)
+    schema = ontology.loaded(ontology.tables(spark, ontology=[("o", "1")], node_type=[("o", n, None) for n in "AB"], property=[field("A"), field("B")]), "o")
+    asked = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            asked.add(batch.num_rows)
+            yield batch
+
+    said = [(f"c{n}", 0, '{"entities": [{"label": "%s", "properties": {"name": "X%d"}}]}' % ("AB"[n % 2], n % 3)) for n in range(6)]
+    rows = spark.createDataFrame(said, "chunk_id string, idx int, response string")
+    none = spark.createDataFrame([], "label string, key string, props map<string, string>, seq long")
+    no_edge = spark.createDataFrame([], "type string, src_label string, src string, dst_label string, dst string, props map<string, string>, seq long")
+    entities, edges, source = extract.extracted(rows.mapInArrow(seen, rows.schema), schema, none, no_edge, "m")
+    want = {("AB"[n % 2], f"x{n % 3}") for n in range(6)}
+    assert {(x.label, x.key) for x in entities.collect()} == want and source.count() == 6 and edges.count() == 0
+    assert asked.value == 6
