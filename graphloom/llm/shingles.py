@@ -4,15 +4,19 @@ Candidates are filters only, the sets of shingles decide.  Close copies come fir
 (64-bit SimHash of the distinct shingles, 3 bits) and shared least hashes; what they link need not meet again.  The rest is
 a search that is whole by the pigeonhole principle: two sets with a similarity of p / q share one of their first
 n - ceil(n * p / q) + 1 shingles in any common order (here: those common in a sample last).  Where they first meet, their
-sizes, places and the Hamming distance of 128 parity bits prune; before sets are compared, parity bits as many as shingles
-do.  A bit is the parity of the shingles that fall to it, so two sets differ in no more bits than shingles.
+sizes, places and the Hamming distance of 128 parity bits prune.  Rows that this leaves a partner meet again with parity bits
+as many as shingles, and only what these leave is a pair.  A bit is the parity of the shingles that fall to it, so two sets
+differ in no more bits than shingles.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +34,9 @@ HASHES, PARITY, CLOSE_BITS = 4, 2, 3
 SAMPLE, COMMON = 20_000, 50_000
 #: Tables of up to so many rows are broadcast (16 to 24 bytes a row); larger ones are joined by a shuffle.
 BROADCAST = 500_000
-#: Shingles, and pairs, in one numpy step.
+#: A pair that has met under one of the last so many keys of both is left out.
+BEFORE = 4
+#: Shingles, pairs, and words of bits in one numpy step.
 STEP = 1 << 17
 
 
@@ -234,44 +240,117 @@ def _pairs_of_parts(bounds: np.ndarray, part: np.ndarray, own: np.ndarray, lo: n
             yield left[i], left[j]
 
 
-def rest(rows: DataFrame, known: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
-    """Candidates (a, b) of all that may be similar enough, but for those already in one of the groups ``known`` (id, part)."""
-    order = common(docs, text_col, shingle, max(1, rows.where("n > 0").count() // SAMPLE))
-    first = prefixes(docs, text_col, shingle, order).join(known, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0)
-    some = prefixes(some, text_col, shingle, order)
+class _Wide:
+    """Parity bits of rows, each as many as its column holds, as 64-bit words; more bits are folded to as many as the other
+    row of a pair has."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        sizes = pc.binary_length(column).to_numpy()
+        self.width = sizes // 8
+        self.start = np.append(0, np.cumsum(self.width))
+        self.words = np.frombuffer(b"".join(column.to_pylist()), np.uint64)
+
+    def _folded(self, rows: np.ndarray, width: int) -> np.ndarray:
+        at = self.start[rows][:, None] + np.arange(width)
+        out = self.words[at]
+        for k in range(1, int(self.width[rows].max()) // width):
+            more = np.flatnonzero(self.width[rows] > k * width)
+            out[more] ^= self.words[at[more] + k * width]
+        return out
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many bits differ between the rows of each pair."""
+        out, least = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for width in np.unique(least).tolist():
+            at = np.flatnonzero(least == width)
+            for some in np.array_split(at, -(-len(at) * width // STEP)):
+                x = self._folded(i[some], width) ^ self._folded(j[some], width)
+                out[some] = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _mixed(whole: pa.Table, bounds: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    """The runs of more than one part: a key of one part, such as that of a large group of close copies, has nothing to find."""
+    part = whole.column("part").to_numpy()
+    mixed = np.minimum.reduceat(part, bounds[:-1]) != np.maximum.reduceat(part, bounds[:-1])
+    size = np.diff(bounds)
+    return whole.filter(pa.array(np.repeat(mixed, size))), np.append(0, np.cumsum(size[mixed]))
+
+
+def _likely(col: dict[str, np.ndarray], bounds: np.ndarray, differ: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """Row numbers (i, j) of the runs' pairs, of two parts each, that sizes, places and differing bits leave."""
     p, q = LEAST
+    n, place, part = col["n"].astype(np.int64), col["place"].astype(np.int64), col["part"]
+    for whole_i, whole_j in _pairs_of_parts(bounds, part, col["own"], col["lo"], col["hi"]):
+        for at in range(0, len(whole_i), STEP):
+            i, j = whole_i[at : at + STEP], whole_j[at : at + STEP]
+            ok = part[i] != part[j]
+            i, j = i[ok], j[ok]
+            both = n[i] + n[j]
+            need = -(-both * p // (p + q))
+            apart = both - 2 * need
+            ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (place[i] + place[j] <= apart)
+            i, j, apart = i[ok], j[ok], apart[ok]
+            ok = differ(i, j) <= apart
+            yield i[ok], j[ok]
+
+
+def met(first: DataFrame, some: DataFrame) -> DataFrame:
+    """The rows of ``prefixes`` with parts that are likely to have a partner under their key, by 64 * PARITY bits: one row at
+    most for each that comes in, with the block pair where it meets.  ``some``: see ``hamming.dealt``."""
+    names = ["key", "place", "id", "n", "part", "own", "lo", "hi"]
 
     def work(whole: pa.Table, bounds: np.ndarray):
-        size = np.diff(bounds)
-        part = whole.column("part").to_numpy()
-        # A key of one part only, such as that of a large group of close copies, has nothing left to find.
-        mixed = np.minimum.reduceat(part, bounds[:-1]) != np.maximum.reduceat(part, bounds[:-1])
-        if not mixed.any():
+        whole, bounds = _mixed(whole, bounds)
+        if not whole.num_rows:
             return
-        whole, bounds = whole.filter(pa.array(np.repeat(mixed, size))), np.append(0, np.cumsum(size[mixed]))
         col = {x: whole.column(x).to_numpy() for x in whole.column_names}
-        n, place, part = col["n"].astype(np.int64), col["place"].astype(np.int64), col["part"]
-        bits, out = np.stack([col[f"s{k}"].view(np.uint64) for k in range(PARITY)]), []
-        for whole_i, whole_j in _pairs_of_parts(bounds, part, col["own"], col["lo"], col["hi"]):
-            for at in range(0, len(whole_i), STEP):
-                i, j = whole_i[at : at + STEP], whole_j[at : at + STEP]
-                ok = part[i] != part[j]
-                i, j = i[ok], j[ok]
-                both = n[i] + n[j]
-                need = -(-both * p // (p + q))
-                apart = both - 2 * need
-                ok = (np.minimum(n[i] - place[i], n[j] - place[j]) >= need) & (place[i] + place[j] <= apart)
-                i, j, apart = i[ok], j[ok], apart[ok]
-                ok = np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0, dtype=np.int64) <= apart
-                if ok.any():
-                    x, y = col["id"][i[ok]], col["id"][j[ok]]
-                    out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
+        bits, seen = np.stack([col[f"s{k}"].view(np.uint64) for k in range(PARITY)]), np.zeros(whole.num_rows, bool)
+        for i, j in _likely(col, bounds, lambda i, j: np.bitwise_count(bits[:, i] ^ bits[:, j]).sum(axis=0, dtype=np.int64)):
+            seen[i] = seen[j] = True
+        yield from whole.select(names).filter(pa.array(seen)).to_batches()
+
+    return by_run(dealt(first, some=some), work, "key long, place int, id long, n int, part long, own int, lo int, hi int")
+
+
+def partners(rows: DataFrame, parity: DataFrame) -> DataFrame:
+    """Candidates (a, b) among the rows of ``met``, by all their parity bits (node, parity).
+
+    Two sets that share many shingles meet under each of them.  Who passes under one has passed under all that come before
+    in the common order, as sizes and bits are the same and places less; so a pair is left out where one of the last BEFORE keys
+    of both is the same.
+    """
+    rows = rows.repartition("id").groupBy("id", "place", "key", "n", "part", "own").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))
+    along = Window.partitionBy("id").orderBy("place")
+    last = [f"b{k}" for k in range(BEFORE)]
+    rows = rows.withColumns({x: F.coalesce(F.lag("key", k + 1).over(along), F.lit(0)) for k, x in enumerate(last)})
+    rows = rows.join(parity.withColumnRenamed("node", "id"), "id").withColumn("at", F.explode("at"))
+
+    def work(whole: pa.Table, bounds: np.ndarray):
+        whole, bounds = _mixed(whole, bounds)
+        if not whole.num_rows:
+            return
+        col = {x: whole.column(x).to_numpy() for x in whole.column_names if x != "parity"}
+        before, out = np.stack([col[x] for x in last]), []
+        for i, j in _likely(col, bounds, _Wide(whole.column("parity")).apart):
+            known = ((before[:, None, i] == before[None, :, j]) & (before[:, None, i] != 0)).any(axis=(0, 1))
+            x, y = col["id"][i[~known]], col["id"][j[~known]]
+            out.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1))
         if out:
             a, b = np.unique(np.concatenate(out, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return by_run(dealt(first, some=some), work, "a long, b long")
+    return by_run(rows.select("key", "place", "id", "n", "part", "own", "at.lo", "at.hi", *last, "parity"), work, "a long, b long")
+
+
+def rest(rows: DataFrame, known: DataFrame, docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """Candidates (a, b) of all that may be similar enough, but for those already in one of the groups ``known`` (id, part)."""
+    order = common(docs, text_col, shingle, max(1, rows.where("n > 0").count() // SAMPLE))
+    first = prefixes(docs, text_col, shingle, order).join(known, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    some = docs.where(F.pmod(F.xxhash64(text_col), F.lit(SAMPLED)) == 0)
+    some = prefixes(some, text_col, shingle, order)
+    parity = rows.where("n > 0").groupBy("node").agg(F.first("parity").alias("parity"))
+    return partners(met(first, some), parity)
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import hamming
 
@@ -100,3 +101,32 @@ def test_rows_of_a_common_part_meet_the_others_only():
         got = [(min(i, j), max(i, j)) for a, b in S._pairs_of_parts(bounds, part, own, lo, hi) for i, j in zip(a.tolist(), b.tolist()) if part[i] != part[j]]
         want = [(i, j) for a, b in zip(bounds[:-1], bounds[1:]) for i in range(a, b) for j in range(i + 1, b) if part[i] != part[j] and (lo[i] == hi[i] or own[i] != own[j])]
         assert sorted(got) == want
+
+
+def test_sets_below_the_threshold_make_no_pairs_and_links_few(spark):
+    from graphloom.llm import shingles as S
+
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgh", k=6)) for _ in range(3000)]
+    lines = [" ".join(r.choices(words, k=20)) for _ in range(30)]
+    texts = [" ".join(lines[k] for k in sorted(r.sample(range(30), 23))) for _ in range(80)]  # most pairs: 0.5 to 0.75 alike
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = S.sets(df, "doc_id", "text", 5)
+    alone = rows.select("id", F.col("node").alias("part")).where("false")
+    found = S.rest(rows, alone, df, "text", 5).count()
+    s = [shingles(t) for t in texts]
+    links = sum(9 * len(s[i] & s[j]) >= 4 * (len(s[i]) + len(s[j])) for i in range(80) for j in range(i))
+    assert links <= found <= 3 * links + 100  # 3,160 pairs, which share some ten first shingles each
+
+
+def test_wide_parity_bits_differ_as_those_of_one_pair():
+    import numpy as np
+    import pyarrow as pa
+
+    from graphloom.llm import shingles as S
+
+    r = np.random.default_rng(6)
+    bits = [r.bytes(8 << k) for k in (0, 1, 1, 3, 4, 0, 6)]
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(7), np.arange(7)))
+    got = S._Wide(pa.chunked_array([pa.array(bits[:3]), pa.array(bits[3:])])).apart(i, j)
+    assert got.tolist() == [S._apart(bits[a], bits[b]) for a, b in zip(i, j)]
