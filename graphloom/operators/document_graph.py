@@ -43,33 +43,44 @@ def interleaved(blocks: DataFrame, visuals: DataFrame) -> DataFrame:
     return rows.groupBy("document_id", "page_number").agg(F.array_join(F.transform(items, lambda i: i["text"]), "\n\n").alias("text"))
 
 
+#: Elements that a task of ``built`` sorts, about.
+ROWS = 200_000
+
+
 def built(document: DataFrame, page: DataFrame, element: DataFrame) -> Graph:
     """The graph of parsed documents: pages and elements with their chains, captions, and sections from headings.
 
     ``page``: id, document_id, page_number; ``element``: id, document_id, page_number, seq, type, text, level.
     """
+    least = int(element.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-element.count() // ROWS))
     edge = lambda rows, a, b: rows.select(F.col(a).alias("src"), F.col(b).alias("dst"), "document_id")
     head = element.where("type = 'heading'")
     section = head.select(F.concat_ws("_sec_", "document_id", "seq").alias("id"), "document_id", F.col("seq").alias("ordinal"), F.col("text").alias("title"), clamp_level(F.coalesce("level", F.lit(1))).alias("level"))
-    section = layout.section_parents(section)
+    # Titles are whole lines, and edges have no use for them.
+    tree = layout.section_parents(section.drop("title"), tasks=tasks)
+    section = layout.section_parents(section, tasks=tasks)
     parent = F.concat_ws("_sec_", "document_id", "parent_ordinal")
-    below = section.where("parent_ordinal is not null").withColumn("parent", parent)
-    under = layout.current_section(element).where("section_seq is not null").withColumn("section", F.concat_ws("_sec_", "document_id", "section_seq"))
-    at = element.select("document_id", F.col("seq").alias("caption_seq"), F.col("id").alias("caption"))
-    to = element.select("document_id", F.col("seq").alias("target_seq"), F.col("id").alias("target"))
+    below = tree.where("parent_ordinal is not null").withColumn("parent", parent)
+    under = layout.current_section(element.select("document_id", "seq", "id", "type").repartition(tasks, "document_id")).where("section_seq is not null").withColumn("section", F.concat_ws("_sec_", "document_id", "section_seq"))
+    at = element.where("type = 'caption'").select("document_id", F.col("seq").alias("caption_seq"), F.col("id").alias("caption"))
+    to = element.where("type in ('image', 'table')").select("document_id", F.col("seq").alias("target_seq"), F.col("id").alias("target"))
     captions = layout.captions(element).join(at, ["document_id", "caption_seq"]).join(to, ["document_id", "target_seq"])
     named = lambda seq: F.concat_ws("_sec_", "document_id", seq)
-    siblings = layout.next_sections(section).select(named("src").alias("src"), named("dst").alias("dst"), "document_id")
+    siblings = layout.next_sections(tree).select(named("src").alias("src"), named("dst").alias("dst"), "document_id")
     doc = lambda rows: rows.withColumn("_d", F.col("document_id"))
+    on = ["document_id", "page_number"]
+    by_page = element.select(*on, "seq", "id").repartition(tasks, *on)
+    pages = page.select(*on, F.col("id").alias("page")).repartition(tasks, *on)
     return Graph(
         {"document": document, "page": page, "element": element, "section": section},
         {
             "HAS_PAGE": edge(doc(page), "_d", "id"),
-            "NEXT_PAGE": chain(page, ["document_id"], ["page_number"]).select("src", "dst", "document_id"),
-            "HAS_ELEMENT": edge(element.join(page.select("document_id", "page_number", F.col("id").alias("page")), ["document_id", "page_number"]), "page", "id").unionByName(edge(under, "section", "id")),
-            "NEXT_ELEMENT": chain(element, ["document_id", "page_number"], ["seq"]).select("src", "dst", "document_id"),
+            "NEXT_PAGE": chain(page.select(*on, "id").repartition(tasks, "document_id"), ["document_id"], ["page_number"]).select("src", "dst", "document_id"),
+            "HAS_ELEMENT": edge(by_page.join(pages, on), "page", "id").unionByName(edge(under, "section", "id")),
+            "NEXT_ELEMENT": chain(by_page, on, ["seq"]).select("src", "dst", "document_id"),
             "CAPTION_OF": edge(captions, "caption", "target"),
-            "HAS_SECTION": edge(doc(section.where("parent_ordinal is null")), "_d", "id"),
+            "HAS_SECTION": edge(doc(tree.where("parent_ordinal is null")), "_d", "id"),
             "HAS_SUBSECTION": edge(below, "parent", "id"),
             "NEXT_SECTION": siblings,
         },

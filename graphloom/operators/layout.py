@@ -31,7 +31,7 @@ class _Headings:
         return []
 
 
-def heading_paths(sections: DataFrame, doc: str = "document_id", ordinal: str = "ordinal", level: str = "level", title: str = "title") -> DataFrame:
+def heading_paths(sections: DataFrame, doc: str = "document_id", ordinal: str = "ordinal", level: str = "level", title: str = "title", tasks: int | None = None) -> DataFrame:
     """Adds parent_ordinal, the nearest section before with a lower level (null for roots), and path: titles from the root
     down, with ' > ' between; a missing title is (untitled).
 
@@ -43,12 +43,12 @@ def heading_paths(sections: DataFrame, doc: str = "document_id", ordinal: str =
     named = [F.col(doc), F.col(ordinal), *(F.col(c).alias(f"_{c}") for c in rest)]
     schema = ", ".join([f"`{ordinal}` {kind(ordinal)}", *(f"`{c}` {kind(c)}" for c in rest), f"parent_ordinal {kind(ordinal)}", "path string"])
     fed = [ordinal, f"_{level}", f"_{title}", ordinal, *(f"_{c}" for c in rest)]
-    return streamed(sections.select(*named), [doc], [ordinal], fed, _Headings, schema).select(*sections.columns, "parent_ordinal", "path")
+    return streamed(sections.select(*named), [doc], [ordinal], fed, _Headings, schema, tasks).select(*sections.columns, "parent_ordinal", "path")
 
 
-def section_parents(sections: DataFrame, doc: str = "document_id", ordinal: str = "ordinal", level: str = "level") -> DataFrame:
+def section_parents(sections: DataFrame, doc: str = "document_id", ordinal: str = "ordinal", level: str = "level", tasks: int | None = None) -> DataFrame:
     """Adds parent_ordinal: the nearest section before with a lower level (null for roots), see ``heading_paths``."""
-    return heading_paths(sections.withColumn("_title", F.lit("")), doc, ordinal, level, "_title").drop("_title", "path")
+    return heading_paths(sections.withColumn("_title", F.lit("")), doc, ordinal, level, "_title", tasks).drop("_title", "path")
 
 
 def next_sections(sections: DataFrame, doc: str = "document_id") -> DataFrame:

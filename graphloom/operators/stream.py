@@ -27,8 +27,9 @@ class Automaton(Protocol):
         """Gives what is left when the group ends."""
 
 
-def streamed(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Automaton], schema: str) -> DataFrame:
-    """(*keys, *schema): the rows that each group's automaton gives, fed with ``columns`` in the order of ``order``."""
+def streamed(rows: DataFrame, keys: list[str], order: list[str], columns: list[str], start: Callable[[], Automaton], schema: str, tasks: int | None = None) -> DataFrame:
+    """(*keys, *schema): the rows that each group's automaton gives, fed with ``columns`` in the order of ``order``; groups are
+    dealt to ``tasks``, if given."""
     data = rows.select(*keys, *order, *(c for c in columns if c not in keys + order))
     at = [data.columns.index(c) for c in columns]
     n, kinds = len(keys), ", ".join(f"`{k}` {data.schema[k].dataType.simpleString()}" for k in keys)
@@ -58,4 +59,4 @@ def streamed(rows: DataFrame, keys: list[str], order: list[str], columns: list[s
         if held:
             yield batch()
 
-    return data.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, whole)
+    return data.repartition(*([tasks] if tasks else []), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, whole)

@@ -60,3 +60,13 @@ def test_names_and_prompt(spark):
     assert naming.endpoint_fields("Party", "Party", "name", "name") == ("source_party_name", "target_party_name")
     text = naming.prompt(ontology.loaded(ontology.legal_sample(spark), "legal_demo"))
     assert "- Party: name string (key)" in text and "- Party PARTY_TO Contract: role" in text
+
+
+def test_tasks_of_a_graph_follow_from_its_elements(spark, sf, monkeypatch):
+    from graphloom.plans import upkeep
+
+    monkeypatch.setattr(D, "ROWS", 100, raising=False)
+    g = upkeep._graph(spark, sf)
+    least = g.nodes["element"].count() // 100
+    for name in ("HAS_ELEMENT", "NEXT_ELEMENT", "NEXT_PAGE", "HAS_SUBSECTION"):
+        assert g.edges[name].rdd.getNumPartitions() >= least > 4
